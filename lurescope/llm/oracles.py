@@ -16,6 +16,38 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size,
 from w
 """
 
+OP6 = r"""
+with low as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents
+), items as (
+  select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from benchmark
+), wins as (
+  select distinct item, least(len(ws), 10) as n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') as gram
+  from (select item, ws, unnest(range(1, greatest(2, len(ws) - 8))) as i from items where len(ws) > 0)
+), grams as (
+  select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as gram
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i
+        from low cross join (select distinct n from wins) where len(ws) >= n)
+), found as (
+  select g.doc_id, g.i, g.n, w.item from grams g join wins w on g.gram = w.gram and g.n = w.n
+), hits as (
+  select doc_id, count(distinct p) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from found)) group by doc_id
+), owned as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha
+  from (select distinct doc_id, item from found) group by doc_id
+)
+select l.doc_id, cast(len(l.ws) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(o.n_items, 0) as bigint) as n_items, coalesce(o.sha, sha256('')) as items_sha256,
+       coalesce(h.n_hit, 0) > 0 as contaminated
+from low l left join hits h using (doc_id) left join owned o using (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op6_decontamination": OP6,
     "op1_exact_dedup": OP1,
 }
