@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lurescope.llm.decontam import decontaminate
 from lurescope.llm.exact_dedup import exact_dedup
 from lurescope.llm.mixing import mix
+from lurescope.llm.secrets import KINDS, listed, scan_secrets
 from lurescope.sources.tables import table
 
 
@@ -30,8 +31,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    verdicts = lambda v: F.size(F.filter("secrets", lambda x: x["verdict"] == v)).cast("long")
+    base = F.filter("secrets", lambda x: x["ord"] < len(KINDS))
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
+        of("owned").alias("n_owned"), verdicts("live").alias("n_live"), verdicts("example").alias("n_example"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_secret_scan": op7_secret_scan,
 }
