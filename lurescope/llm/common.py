@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a key filter (4 MB, whatever the input).
+FILTER_BITS = 1 << 25
 #: A key is heavy when it holds at least 1/HEAVY_PARTS of the rows, so there are at most HEAVY_PARTS of them.
 HEAVY_PARTS = 1000
 
@@ -45,3 +49,30 @@ def skew_safe_join(left: DataFrame, right: DataFrame, keys: list[str], weight: s
     hot = tagged.filter("_heavy").drop("_heavy")
     cold = tagged.filter("_heavy is null").select(*left.columns)
     return hot.unionByName(cold.join(right.filter(~heavy), keys, "left"))
+
+
+def key_filter(keys: DataFrame):
+    """A function of a long column that is true for every ``key`` of ``keys`` and false for most others.
+
+    A bitmap of fixed size is what driver and tasks get; where keys are so many that it
+    fills up, more rows pass it, which costs time and loses nothing.
+    """
+    spark = keys.sparkSession
+    word = F.shiftrightunsigned(F.pmod(F.col("key"), F.lit(FILTER_BITS)), 5)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 31 as int))")
+    words = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    seen = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may_be(key: pd.Series) -> pd.Series:
+        at = np.mod(key.to_numpy(np.int64), FILTER_BITS)
+        return pd.Series((seen.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return may_be
+
+
+def key_of(sha: str, bits: int = 60):
+    """The leading bits of a hex digest column as a long."""
+    return F.shiftrightunsigned(F.conv(F.substring(sha, 1, 15), 16, 10).cast("long"), 60 - bits)

@@ -14,17 +14,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import new_path, skew_safe_join, stage
+from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, stage
 
 #: Characters that equality ignores: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Bits of the filter that tells keys seen once from keys seen more often (4 MB, whatever the input).
-FILTER_BITS = 1 << 25
 
 
 def build_directory(counts: dict[int, int], max_depth: int, capacity: int) -> tuple[int, np.ndarray, list[tuple[int, int, int, int]]]:
@@ -79,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = F.translate(text, BLANKS, "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), norm.alias("norm"))
     rows = rows.withColumn("sha", F.sha2("norm", 256))
-    rows = rows.withColumn("key", F.shiftrightunsigned(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"), 60 - hash_bits))
+    rows = rows.withColumn("key", key_of("sha", hash_bits))
     entries = stage(rows.select("doc_id", "n", "sha", "key"), "dedup-entries")
     total = entries.count()
     keys = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), "dedup-keys")
@@ -90,16 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depth, directory, buckets = build_directory(counts, max_depth, capacity)
     spark.createDataFrame(buckets, "bucket long, depth int, prefix long, n_keys long").write.parquet(new_path(spark, "dedup-directory"))
 
-    slot = F.pmod(F.col("key"), F.lit(FILTER_BITS))
-    words = keys.groupBy(F.shiftrightunsigned(slot, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 31 as int))")).alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-    seen = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def may_repeat(key: pd.Series) -> pd.Series:
-        at = np.mod(key.to_numpy(np.int64), FILTER_BITS)
-        return pd.Series((seen.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+    may_repeat = key_filter(keys)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of equal texts among a task's rows, one row with their number and the best of them."""

@@ -16,6 +16,17 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size,
 from w
 """
 
+OP2 = """
+with p as (select page_id, coalesce(html, '') as h, sha256(coalesce(html, '')) as digest from pages),
+f as (
+  select *, case when strlen(h) >= 100 then min(page_id) over (partition by digest) end as first from p
+)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, digest as payload_digest,
+       case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when first is not null and page_id is distinct from first then first end as refers_to
+from f
+"""
+
 OP6 = r"""
 with low as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -48,6 +59,7 @@ from low l left join hits h using (doc_id) left join owned o using (doc_id)
 """
 
 SQL: dict[str, str] = {
+    "op2_warc": OP2,
     "op6_decontamination": OP6,
     "op1_exact_dedup": OP1,
 }
