@@ -76,3 +76,28 @@ def key_filter(keys: DataFrame):
 def key_of(sha: str, bits: int = 60):
     """The leading bits of a hex digest column as a long."""
     return F.shiftrightunsigned(F.conv(F.substring(sha, 1, 15), 16, 10).cast("long"), 60 - bits)
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that outlives a task in its Python worker, for what one model needs again and again."""
+    import sys
+    import types
+
+    module = sys.modules.setdefault("_lurescope_worker_cache", types.ModuleType("_lurescope_worker_cache"))
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()  # one model at a time
+        held[name] = {}
+    return held[name]
+
+
+def in_fold(id_col: str, parts: int, part: int):
+    """Whether crc32 of an id's text leaves ``part``; a null id does not."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
+
+
+def sample_by_class(rows: DataFrame, class_col: str, id_col: str, per_class: int, seed: int = 29) -> DataFrame:
+    """About ``per_class`` rows of each class, those whose seeded hash is smallest; all rows of a small class."""
+    n = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    return rows.join(F.broadcast(n.orderBy(F.desc("_n")).limit(1000)), class_col).filter(share * F.col("_n") < per_class).drop("_n")

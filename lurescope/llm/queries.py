@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lurescope.llm.decontam import decontaminate
 from lurescope.llm.exact_dedup import exact_dedup
+from lurescope.llm.langid import identify
 from lurescope.llm.mixing import mix
 from lurescope.llm.secrets import KINDS, listed, scan_secrets
 from lurescope.llm.warc import round_trip
@@ -23,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("file", "offset")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
