@@ -101,3 +101,9 @@ def sample_by_class(rows: DataFrame, class_col: str, id_col: str, per_class: int
     n = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
     share = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     return rows.join(F.broadcast(n.orderBy(F.desc("_n")).limit(1000)), class_col).filter(share * F.col("_n") < per_class).drop("_n")
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+    """Bound what goes to a Python worker at once, for rows that hold whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import stage
+from lurescope.llm.common import small_batches, stage
 
 WINDOW = 10
 #: Words in a shard of the index, about.
@@ -177,6 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     is bounded; hits of the blocks are united per document. Other columns are ignored.
     An empty benchmark leaves every document without hits.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0
     n_blocks = int(size // block_bytes) + 1

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, stage
+from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, small_batches, stage
 
 #: Characters that equality ignores: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -71,6 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``hash_bits`` (60 at most) shortens keys, ``capacity`` is keys per bucket.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     max_depth = min(max_depth, hash_bits)
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.translate(text, BLANKS, "")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import in_fold, sample_by_class, worker_cache
+from lurescope.llm.common import in_fold, sample_by_class, small_batches, worker_cache
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The vocabulary's mark of a word's start.
@@ -167,6 +167,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the
     language first in order. Columns of ``docs`` stay, but for ones with the new names.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, stage
+from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, small_batches, stage
 
 END = "\r\n\r\n"
 #: What stands between records, with the first seven bytes of the next.
@@ -37,6 +37,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     repeat that id are responses too, and a null id comes last. Blanks and control
     characters in a url become %20; a null url is left out. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("sha", F.sha2("html", 256)).withColumn("n", F.octet_length("html")).withColumn("key", key_of("sha"))
@@ -177,6 +178,7 @@ def read_warc(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
     ``keep`` returns payloads too. ``complete`` is false for a record that its file
     ends within. An empty folder of archives gives no records.
     """
+    small_batches(spark)
     looks = stage(candidates(spark, path, keep), "warc-candidates")
     ends = looks.filter("rel is null").select("file", "block", "total")
     base = (F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base")
