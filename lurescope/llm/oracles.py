@@ -58,8 +58,36 @@ select l.doc_id, cast(len(l.ws) as bigint) as n_words, cast(coalesce(h.n_hit, 0)
 from low l left join hits h using (doc_id) left join owned o using (doc_id)
 """
 
+OP9 = r"""
+with recursive low as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as ws
+  from documents
+), sh as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as s
+  from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) as i from low where len(ws) > 0)
+), size as (
+  select doc_id, count(*) as n from sh group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all
+), link as (
+  select a, b from shared x join size p on p.doc_id = a join size q on q.doc_id = b
+  where 100 * x.n >= 75 * (p.n + q.n - x.n)
+), edge as (
+  select a, b from link union select b, a from link
+), reach as (
+  select doc_id as v, doc_id as r from size
+  union
+  select e.b, r.r from reach r join edge e on e.a = r.v
+)
+select l.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(m.c, l.doc_id) as component_id, coalesce(m.c, l.doc_id) = l.doc_id as kept
+from low l left join size z using (doc_id) left join (select v as doc_id, min(r) as c from reach group by v) m using (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_warc": OP2,
     "op6_decontamination": OP6,
     "op1_exact_dedup": OP1,
+    "op9_near_dedup": OP9,
 }

@@ -11,6 +11,7 @@ from lurescope.llm.decontam import decontaminate
 from lurescope.llm.exact_dedup import exact_dedup
 from lurescope.llm.langid import identify
 from lurescope.llm.mixing import mix
+from lurescope.llm.near_dedup import near_dedup
 from lurescope.llm.secrets import KINDS, listed, scan_secrets
 from lurescope.llm.warc import round_trip
 from lurescope.sources.tables import table
@@ -53,6 +54,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -60,4 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op9_near_dedup": op9_near_dedup,
 }
