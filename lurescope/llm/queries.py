@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lurescope.llm.decontam import decontaminate
 from lurescope.llm.exact_dedup import exact_dedup
+from lurescope.llm.html_text import extract
 from lurescope.llm.langid import identify
 from lurescope.llm.mixing import mix
 from lurescope.llm.near_dedup import near_dedup
@@ -54,6 +55,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op8_html_text": op8_html_text,
     "op9_near_dedup": op9_near_dedup,
 }
