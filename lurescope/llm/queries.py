@@ -14,6 +14,7 @@ from lurescope.llm.langid import identify
 from lurescope.llm.mixing import mix
 from lurescope.llm.near_dedup import near_dedup
 from lurescope.llm.secrets import KINDS, listed, scan_secrets
+from lurescope.llm.toxicity import toxicity
 from lurescope.llm.warc import round_trip
 from lurescope.sources.tables import table
 
@@ -30,6 +31,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
