@@ -13,6 +13,7 @@ from lurescope.llm.html_text import extract
 from lurescope.llm.langid import identify
 from lurescope.llm.mixing import mix
 from lurescope.llm.near_dedup import near_dedup
+from lurescope.llm.quality import quality
 from lurescope.llm.secrets import KINDS, listed, scan_secrets
 from lurescope.llm.toxicity import toxicity
 from lurescope.llm.warc import round_trip
@@ -68,6 +69,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -78,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_html_text": op8_html_text,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
