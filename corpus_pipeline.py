@@ -1,18 +1,69 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, mixing.
+
+Each stage takes what its predecessor kept and returns the columns of documents; the
+last adds size, source_size, target, copies and taken. Part of subpackage llm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lurescope.llm.common import in_fold, key_filter, stage
+from lurescope.llm.decontam import decontaminate
+from lurescope.llm.exact_dedup import exact_dedup
+from lurescope.llm.langid import fit_languages, predict_languages
+from lurescope.llm.mixing import mix
+from lurescope.llm.near_dedup import near_dedup
+from lurescope.sources.tables import table
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``dropped``; only rows that may be dropped are shuffled."""
+    dropped = stage(dropped.select("doc_id").distinct(), "dropped")
+    may_be = key_filter(dropped.select(F.xxhash64("doc_id").alias("key")))
+    flagged = docs.withColumn("_may", may_be(F.xxhash64(F.col("doc_id").cast("long"))))
+    sure = flagged.filter("not _may").drop("_may")
+    return sure.unionByName(flagged.filter("_may").drop("_may").join(dropped, "doc_id", "left_anti").select(*sure.columns))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject texts without a letter, and texts of which no language has half of the likelihood."""
+    model = fit_languages(docs.filter(~in_fold("doc_id", 5, 0)), "text", "lang", "doc_id")
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict_languages(docs, model, "text", "_lang", "_score")
+    return found.filter("_lang <> 'und' and _score >= 0.5").drop("_lang", "_score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return without(docs, exact_dedup(docs).filter("not kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without(docs, near_dedup(docs).filter("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("size(hits) > 0"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the number of copies."""
+    taken = mix(docs).filter("copies > 0").groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "copies", "taken")))
+    return docs.drop("size", "source_size", "target", "copies", "taken").join(taken, "doc_id")
 
-from lurescope.llm.common import stage
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontamination), ("mixing", mixing)]
 #: The stages' models, trees and knapsacks have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
