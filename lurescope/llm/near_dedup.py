@@ -2,8 +2,8 @@
 
 A document is the set of its word shingles, sketched by minwise tokens. In each tree a
 node's documents branch by tokens that the node selects: two of them per step, so a
-pair of similarity 0.75 stays together in a tree with probability 0.9, and in at
-least one of six trees with more than 0.99999. Nodes of few documents are compared
+pair of similarity 0.75 stays together in a tree with probability 0.91, and in at
+least one of four trees with 0.9999. Nodes of few documents are compared
 exhaustively on sketches, larger ones branch on, and nodes that stay large after the
 last step (groups of copies) are compared in parts. Pairs that sketches let pass are
 confirmed on full sets.
@@ -11,7 +11,9 @@ confirmed on full sets.
 Confirming works in two rounds, because only connections are asked for. First each
 node proposes a star around the documents it saw first. Then all remaining pairs of a
 node whose ends are not yet connected are confirmed, so that no link between
-different components is lost, and copies are never expanded into all pairs.
+different components is lost, and copies are never expanded into all pairs. Documents
+that are only somewhat alike would make very many such pairs, so in the second round
+sketches of twelve times as many tokens decide which pairs are worth their full sets.
 """
 
 from __future__ import annotations
@@ -31,17 +33,19 @@ SHINGLE = 5
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 75
 #: Minwise tokens of a document; each tree starts from two of them, and a node selects two.
-TOKENS, TREES, BRANCH, DEPTH = 64, 6, 2, 3
+TOKENS, TREES, BRANCH, DEPTH = 64, 4, 2, 2
 #: Nodes of so many documents or fewer are compared whole; parts of larger ones have about PART.
 SMALL, PART = 24, 512
 #: Of 64 tokens' low bytes, so many agree for all but 3 in 100,000 pairs of similarity 0.75; so many make a star's ray.
 PASS, RAY = 34, 45
+#: Tokens of the second round's sketches; so many low bytes agree for all but 3 in 100,000 pairs of similarity 0.75.
+SHARP, SHARP_PASS = 768, 528
 #: Documents compared with one side of a pair in one task.
 FANOUT = 256
 
 _RNG = np.random.default_rng(20240917)
-_ODD = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _RNG.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
+_ODD = _RNG.integers(1, 1 << 63, SHARP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, SHARP, dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
 
 
@@ -72,11 +76,12 @@ def shingle_set(text: bytes | None, cache: dict[bytes, int]) -> np.ndarray:
     return np.unique(mix64(rolled))
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
-    """TOKENS 32-bit minwise tokens of a set."""
-    best = np.full(TOKENS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(shingles), 4096):
-        best = np.minimum(best, ((shingles[i : i + 4096, None] ^ _XOR) * _ODD).min(axis=0))
+def minwise(shingles: np.ndarray, n: int = TOKENS) -> np.ndarray:
+    """``n`` 32-bit minwise tokens of a set."""
+    best = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = 4096 * TOKENS // n
+    for i in range(0, len(shingles), step):
+        best = np.minimum(best, ((shingles[i : i + step, None] ^ _XOR[:n]) * _ODD[:n]).min(axis=0))
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
@@ -158,7 +163,7 @@ def build_nodes(reps: DataFrame) -> DataFrame:
     return stage(done.join(reps.select("doc", "sketch"), "doc").select("path", "part", "cnt", "doc", "sketch"), "near-nodes")
 
 
-def _by_node(batches: Iterator[pa.RecordBatch], key: int, names: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _by_node(batches: Iterator[pa.RecordBatch], key: int, names: list[str], sketch: str = "sketch", width: int = TOKENS) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Rows arrive by node (the first ``key`` columns): each node's further columns and its sketches."""
     held: list = []
     current = None
@@ -166,7 +171,7 @@ def _by_node(batches: Iterator[pa.RecordBatch], key: int, names: list[str]) -> I
         if not batch.num_rows:
             continue
         cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+        sk = np.frombuffer(b"".join(batch.column(sketch).to_pylist()), dtype=np.uint8).reshape(-1, width)
         new = np.zeros(batch.num_rows, dtype=bool)
         new[0] = True
         for c in cols[:key]:
@@ -211,37 +216,71 @@ def stars(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(task, "a long, b long").distinct()
 
 
-def rest(nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Second round: all pairs of a node that sketches let pass and that are not connected yet nor tested.
+def open_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the nodes that hold several components: path, slot, doc, label, top, sketch.
 
-    In a node of several parts the documents of its largest component stay in their
-    part and the others, which are few, visit every part.
+    In a node of several parts the documents of its largest component (top) stay in
+    their part and the others, which are few, visit every part.
     """
     at = nodes.join(labels.select(F.col("v").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    # Only nodes that hold several components.
     held = at.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("path").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.max(F.struct("n", "label")).alias("top")).filter("k > 1").select("path", "w", F.col("top.label").alias("top"))
-    total = nodes.count()
-    here = skew_safe_join(at, mixed, ["path"], "w", total).filter("w is not null")
+    here = skew_safe_join(at, mixed, ["path"], "w", nodes.count()).filter("w is not null")
     parts = F.when(F.col("cnt") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("cnt") / PART)).cast("long")
     guest = (F.col("label") != F.col("top")) & (parts > 1)
     slots = F.when(guest, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("part"))
-    rows = here.select("path", F.explode(slots).alias("slot"), "doc", "label", "top", "sketch")
+    return here.select("path", F.explode(slots).alias("slot"), "doc", "label", "top", "sketch")
+
+
+def unsettled(rows: DataFrame) -> DataFrame:
+    """Ids of documents that some pair needs which sketches let pass and whose ends are not connected yet."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
+        found: set[int] = set()
         for (docs, label, top), sk in _by_node(batches, 2, ["path", "slot", "doc", "label", "top"]):
             for i in np.flatnonzero(label != top):
-                same = (sk == sk[i]).sum(axis=1)
-                ok = (same >= PASS) & (label != label[i])
-                found += [(int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[ok]]
-            if len(found) > 20_000:
-                found = list(set(found))
-                yield _pairs(found)
-                found = []
-        yield _pairs(list(set(found)))
+                ok = ((sk == sk[i]).sum(axis=1) >= PASS) & (label != label[i])
+                if ok.any():
+                    found.add(int(docs[i]))
+                    found.update(docs[ok].tolist())
+            if len(found) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["doc"])
+                found = set()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["doc"])
 
     ordered = rows.repartition("path", "slot").sortWithinPartitions("path", "slot", "doc")
+    return ordered.mapInArrow(task, "doc long").distinct()
+
+
+def sharpen(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc, sharp (low bytes of SHARP tokens) of the documents with these ids."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            sharp = [minwise(shingle_set(t.as_py(), cache), SHARP).astype(np.uint8).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sharp, pa.binary())], ["doc", "sharp"])
+
+    may_be = key_filter(ids.select(F.xxhash64("doc").alias("key")))
+    texts = docs.filter("text is not null and doc_id is not null").withColumn("key", F.xxhash64("doc_id")).filter(may_be("key")).select(F.col("doc_id").alias("doc"), "text")
+    return texts.join(ids, "doc").select("doc", "text").mapInArrow(task, "doc long, sharp binary")
+
+
+def rest(rows: DataFrame, sharp: DataFrame, tested: DataFrame) -> DataFrame:
+    """Second round: all pairs of a node that both sketches let pass and that are not connected yet nor tested."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for (docs, label, top), sk in _by_node(batches, 2, ["path", "slot", "doc", "label", "top"], "sharp", SHARP):
+            for i in np.flatnonzero(label != top):
+                ok = ((sk == sk[i]).sum(axis=1) >= SHARP_PASS) & (label != label[i])
+                found.update((int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[ok])
+            if len(found) > 50_000:
+                yield _pairs(list(found))
+                found = set()
+        yield _pairs(list(found))
+
+    ordered = rows.select("path", "slot", "doc", "label", "top").join(sharp, "doc").repartition("path", "slot").sortWithinPartitions("path", "slot", "doc")
     return ordered.mapInArrow(task, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 
@@ -297,7 +336,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = stage(stars(nodes), "near-stars")
     links = stage(confirm(first, slim), "near-links")
     labels = components(links)
-    second = stage(rest(nodes, labels, first), "near-rest")
+    rows_ = stage(open_nodes(nodes, labels), "near-open")
+    ids = stage(unsettled(rows_), "near-unsettled")
+    second = stage(rest(rows_, stage(sharpen(ids, slim), "near-sharp"), first), "near-rest")
     if not second.isEmpty():
         more = stage(confirm(second, slim), "near-links")
         if not more.isEmpty():
