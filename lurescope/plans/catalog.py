@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lurescope.functions import text as tx
+from lurescope.functions import urls
+from lurescope.operators import graph, stages
+from lurescope.operators import relational as rel
+from lurescope.sources import model
+from lurescope.sources.model import with_views
 from lurescope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,15 +31,512 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+CAMPAIGN, ACTOR, FAMILY = 7, 7, "Brand#11"
+
+
+def _campaign_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = model.campaign_kits(spark, sf_dir).filter(F.col("campaign_id") == CAMPAIGN)
+    return model.indicators(spark, sf_dir).join(members, "kit_id")
+
+
 @query(
     "campaign_top_indicators",
+    with_views("indicators", "campaign_kits") + f"""
+    select type, value, count(*) as n from indicators join campaign_kits using (kit_id)
+    where campaign_id = {CAMPAIGN} group by all order by n desc, type, value limit 20""",
+)
+def campaign_top_indicators(spark, sf_dir):
+    return rel.count_by(_campaign_hits(spark, sf_dir), "type", "value", n=20)
+
+
+@query(
+    "campaign_stats_counts",
+    with_views("indicators", "campaign_kits", "kits", "kit_actors", "family_kits", "kit_victims") + """
+    select campaign_id, count(distinct c.kit_id) as kits, count(distinct a.actor_id) as actors, count(distinct v.victim_id) as victims,
+           min(k.created_at) as first_seen, max(k.created_at) as last_seen
+    from campaign_kits c join kits k using (kit_id) left join kit_actors a using (kit_id) left join kit_victims v using (kit_id) group by campaign_id""",
+)
+def campaign_stats_counts(spark, sf_dir):
+    c = model.campaign_kits(spark, sf_dir)
+    base = c.join(model.kits(spark, sf_dir).select("kit_id", "created_at"), "kit_id").groupBy("campaign_id").agg(
+        F.countDistinct("kit_id").alias("kits"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+    actors = c.join(model.kit_actors(spark, sf_dir), "kit_id").groupBy("campaign_id").agg(F.countDistinct("actor_id").alias("actors"))
+    hurt = c.join(model.kit_victims(spark, sf_dir), "kit_id").groupBy("campaign_id").agg(F.countDistinct("victim_id").alias("victims"))
+    return base.join(actors, "campaign_id").join(hurt, "campaign_id")
+
+
+@query(
+    "actor_stats_counts",
+    with_views("indicators", "campaign_kits", "kit_actors", "kits") + """
+    , i as (select actor_id, count(*) as indicators from indicators group by 1)
+    select actor_id, count(distinct a.kit_id) as kits, count(distinct c.campaign_id) as campaigns, any_value(i.indicators) as indicators,
+           min(k.created_at) as first_seen, max(k.created_at) as last_seen
+    from kit_actors a join kits k using (kit_id) join campaign_kits c using (kit_id) join i using (actor_id) group by actor_id""",
+)
+def actor_stats_counts(spark, sf_dir):
+    a = model.kit_actors(spark, sf_dir)
+    base = a.join(model.kits(spark, sf_dir).select("kit_id", "created_at"), "kit_id").groupBy("actor_id").agg(
+        F.count(F.lit(1)).alias("kits"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+    campaigns = a.join(model.campaign_kits(spark, sf_dir), "kit_id").groupBy("actor_id").agg(F.countDistinct("campaign_id").alias("campaigns"))
+    found = model.indicators(spark, sf_dir).groupBy("actor_id").agg(F.count(F.lit(1)).alias("indicators"))
+    return base.join(campaigns, "actor_id").join(found, "actor_id")
+
+
+@query(
+    "family_stats_counts",
+    with_views("family_kits", "kits", "kit_actors") + """
+    select family, count(distinct f.kit_id) as kits, count(distinct k.file_size) as distinct_sizes, count(distinct a.actor_id) as actors, min(k.created_at) as first_seen
+    from family_kits f join kits k using (kit_id) join kit_actors a using (kit_id) group by family""",
+)
+def family_stats_counts(spark, sf_dir):
+    f = model.family_kits(spark, sf_dir)
+    base = f.join(model.kits(spark, sf_dir).select("kit_id", "created_at", "file_size"), "kit_id").groupBy("family").agg(
+        F.count(F.lit(1)).alias("kits"), F.countDistinct("file_size").alias("distinct_sizes"), F.min("created_at").alias("first_seen"))
+    return base.join(f.join(model.kit_actors(spark, sf_dir), "kit_id").groupBy("family").agg(F.countDistinct("actor_id").alias("actors")), "family")
+
+
+@query(
+    "campaign_timeline_month",
+    with_views("campaign_kits", "kits") + f"""
+    select strftime(created_at, '%Y-%m') as month, count(*) as n from campaign_kits join kits using (kit_id) where campaign_id = {CAMPAIGN} group by 1""",
+)
+def campaign_timeline_month(spark, sf_dir):
+    c = model.campaign_kits(spark, sf_dir).filter(F.col("campaign_id") == CAMPAIGN)
+    return c.join(model.kits(spark, sf_dir), "kit_id").groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "campaign_top_actors",
+    with_views("campaign_kits", "kit_actors", "actors") + f"""
+    select name, count(distinct kit_id) as n from campaign_kits join kit_actors using (kit_id) join actors using (actor_id)
+    where campaign_id = {CAMPAIGN} group by 1 order by n desc, name limit 10""",
+)
+def campaign_top_actors(spark, sf_dir):
+    c = model.campaign_kits(spark, sf_dir).filter(F.col("campaign_id") == CAMPAIGN)
+    counts = c.join(model.kit_actors(spark, sf_dir), "kit_id").groupBy("actor_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(model.actors(spark, sf_dir), "actor_id").select("name", "n").orderBy(F.desc("n"), "name").limit(10)
+
+
+@query(
+    "campaign_top_families",
+    with_views("campaign_kits", "family_kits") + f"""
+    select family, count(*) as n from campaign_kits join family_kits using (kit_id) where campaign_id = {CAMPAIGN} group by 1 order by n desc, family limit 10""",
+)
+def campaign_top_families(spark, sf_dir):
+    c = model.campaign_kits(spark, sf_dir).filter(F.col("campaign_id") == CAMPAIGN)
+    return rel.count_by(c.join(model.family_kits(spark, sf_dir), "kit_id"), "family", n=10)
+
+
+@query(
+    "campaign_top_victims",
+    with_views("campaign_kits", "kit_victims", "victims") + f"""
+    select email, count(*) as n from campaign_kits join kit_victims using (kit_id) join victims using (victim_id)
+    where campaign_id = {CAMPAIGN} group by 1 order by n desc, email limit 10""",
+)
+def campaign_top_victims(spark, sf_dir):
+    c = model.campaign_kits(spark, sf_dir).filter(F.col("campaign_id") == CAMPAIGN)
+    return rel.count_by(c.join(model.kit_victims(spark, sf_dir), "kit_id").join(model.victims(spark, sf_dir), "victim_id"), "email", n=10)
+
+
+@query("target_brand_distribution", with_views("parts", "indicators") + """
+    select brand, count(distinct kit_id) as kits from indicators join parts on cast(value as bigint) = part where brand is not null group by 1""")
+def target_brand_distribution(spark, sf_dir):
+    hits = model.indicators(spark, sf_dir).select("kit_id", F.col("value").cast("long").alias("part"))
+    return hits.join(model.parts(spark, sf_dir).filter("brand is not null"), "part").groupBy("brand").agg(F.countDistinct("kit_id").alias("kits"))
+
+
+@query("victim_source_breakdown", with_views("kit_victims") + " select source, count(*) as n, count(distinct victim_id) as victims from kit_victims group by 1")
+def victim_source_breakdown(spark, sf_dir):
+    return model.kit_victims(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("victim_id").alias("victims"))
+
+
+@query("campaign_victims_latest", with_views("campaign_kits", "kit_victims", "victims") + f"""
+    select victim_id, email, max(observed_at) as last_observed from kit_victims join campaign_kits using (kit_id) join victims using (victim_id)
+    where campaign_id = {CAMPAIGN} group by all""")
+def campaign_victims_latest(spark, sf_dir):
+    c = model.campaign_kits(spark, sf_dir).filter(F.col("campaign_id") == CAMPAIGN)
+    last = model.kit_victims(spark, sf_dir).join(c, "kit_id").groupBy("victim_id").agg(F.max("observed_at").alias("last_observed"))
+    return last.join(model.victims(spark, sf_dir).select("victim_id", "email"), "victim_id")
+
+
+@query("victim_observations", with_views("kit_victims", "kits") + """
+    select victim_id, kit_id, source, observed_at, status from kit_victims left join kits using (kit_id) where victim_id % 97 = 1""")
+def victim_observations(spark, sf_dir):
+    seen = model.kit_victims(spark, sf_dir).filter("victim_id % 97 = 1")
+    return seen.join(model.kits(spark, sf_dir).select("kit_id", "status"), "kit_id", "left")
+
+
+@query("actors_with_counts_left_outer", with_views("actors", "indicators") + """
+    select a.actor_id, name, count(distinct kit_id) as kits, count(kit_id) as indicators from actors a left join indicators i on a.actor_id = i.actor_id and confidence >= 98 group by all""")
+def actors_with_counts_left_outer(spark, sf_dir):
+    sure = model.indicators(spark, sf_dir).filter("confidence >= 98").select("actor_id", "kit_id")
+    return model.actors(spark, sf_dir).join(sure, "actor_id", "left").groupBy("actor_id", "name").agg(F.countDistinct("kit_id").alias("kits"), F.count("kit_id").alias("indicators"))
+
+
+@query("kits_text_search", "select page_id, url from pages where url ilike '%thth%' or html ilike '%EREA%'")
+def kits_text_search(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter(rel.ilike_any("thth", "url") | rel.ilike_any("EREA", "html")).select("page_id", "url")
+
+
+@query("kits_page", with_views("kits") + " select kit_id, created_at, status from kits where status = 'analyzed' and source_feed = '1-URGENT' order by created_at desc, kit_id limit 50 offset 50")
+def kits_page(spark, sf_dir):
+    found = model.kits(spark, sf_dir).filter("status = 'analyzed' and source_feed = '1-URGENT'").select("kit_id", "created_at", "status")
+    return rel.page(found, [F.desc("created_at"), "kit_id"], 50, 50)
+
+
+@query("kit_with_members", with_views("kits", "indicators", "kit_actors") + """
+    , i as (select kit_id, list(type || ':' || value order by line) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
+    select kit_id, status, array_to_string(found, ',') as found, array_to_string(list_transform(who, lambda x: cast(x as varchar)), ',') as who from kits left join i using (kit_id) left join a using (kit_id) where kit_id % 1000 = 1""")
+def kit_with_members(spark, sf_dir):
+    ours = model.kits(spark, sf_dir).filter("kit_id % 1000 = 1").select("kit_id", "status")
+    found = F.transform(F.array_sort(F.collect_list(F.struct("line", "type", "value"))), lambda x: F.concat(x["type"], F.lit(":"), x["value"]))
+    i = model.indicators(spark, sf_dir).filter("kit_id % 1000 = 1").groupBy("kit_id").agg(F.array_join(found, ",").alias("found"))
+    a = model.kit_actors(spark, sf_dir).filter("kit_id % 1000 = 1").groupBy("kit_id").agg(F.array_join(F.array_sort(F.collect_list("actor_id")).cast("array<string>"), ",").alias("who"))
+    return ours.join(i, "kit_id", "left").join(a, "kit_id", "left")
+
+
+@query("indicators_search", with_views("indicators") + " select kit_id, line, type, value, confidence from indicators where value ilike '%77%' and type = 'R' order by confidence desc, kit_id, line limit 50")
+def indicators_search(spark, sf_dir):
+    found = model.indicators(spark, sf_dir).filter((F.col("type") == "R") & F.col("value").contains("77"))
+    return rel.page(found.select("kit_id", "line", "type", "value", "confidence"), [F.desc("confidence"), "kit_id", "line"])
+
+
+@query("indicator_type_stats", with_views("indicators") + " select type, count(*) as n from indicators group by 1")
+def indicator_type_stats(spark, sf_dir):
+    return rel.count_by(model.indicators(spark, sf_dir), "type")
+
+
+@query("victims_list", with_views("victims") + """
+    select victim_id, email, balance from (select victim_id, email, case when balance > 0 then balance end as balance from victims where domain = 'BUILDING' and lower(email) like '%1%')
+    order by balance desc nulls last, email limit 50""")
+def victims_list(spark, sf_dir):
+    found = model.victims(spark, sf_dir).filter((F.col("domain") == "BUILDING") & F.lower("email").like("%1%"))
+    found = found.select("victim_id", "email", F.when(F.col("balance") > 0, F.col("balance")).alias("balance"))
+    return rel.page(found, [F.desc_nulls_last("balance"), "email"])
+
+
+@query("campaign_shared_families", with_views("campaign_kits", "family_kits") + " select distinct campaign_id, family from campaign_kits join family_kits using (kit_id)")
+def campaign_shared_families(spark, sf_dir):
+    return rel.sharing(model.campaign_kits(spark, sf_dir), model.family_kits(spark, sf_dir), "kit_id", "campaign_id", "family")
+
+
+@query("rule_hits_json_unnest", with_views("results") + " select cast(json_extract(result_data, '$.k') as bigint) as rule, count(distinct kit_id) as kits from results group by 1")
+def rule_hits_json_unnest(spark, sf_dir):
+    rule = F.from_json("result_data", "k bigint")["k"]
+    return model.results(spark, sf_dir).groupBy(rule.alias("rule")).agg(F.countDistinct("kit_id").alias("kits"))
+
+
+@query("kits_with_rule_exists", with_views("results") + """
+    select distinct o_orderkey as kit_id from orders where exists (select 1 from results r where r.kit_id = o_custkey and r.analysis_type = 'error' and cast(json_extract(result_data, '$.k') as bigint) > 90)""")
+def kits_with_rule_exists(spark, sf_dir):
+    hit = model.results(spark, sf_dir).filter((F.col("analysis_type") == "error") & (F.from_json("result_data", "k bigint")["k"] > 90)).select(F.col("kit_id").alias("investigation_id"))
+    return model.kits(spark, sf_dir).join(hit, "investigation_id", "left_semi").select("kit_id")
+
+
+@query("latest_result_per_key", with_views("results") + """
+    select kit_id, analysis_type, event_id, created_at from (select *, row_number() over (partition by kit_id, analysis_type order by created_at desc, event_id desc) as r from results) where r = 1""")
+def latest_result_per_key(spark, sf_dir):
+    return rel.newest_per_key(model.results(spark, sf_dir).select("kit_id", "analysis_type", "event_id", "created_at"), ["kit_id", "analysis_type"], F.desc("created_at"), F.desc("event_id"))
+
+
+@query("upsert_results", with_views("results") + """
+    , b as (select kit_id, analysis_type, event_id, created_at, duration from results)
+    select kit_id, analysis_type, event_id, created_at, duration from (
+      select *, row_number() over (partition by kit_id, analysis_type order by created_at desc, side desc) as r from (
+        select *, 0 as side from (select *, row_number() over (partition by kit_id, analysis_type order by created_at desc, event_id desc) as q from b where event_id % 2 = 0) where q = 1
+        union all select *, 1 as side from (select *, row_number() over (partition by kit_id, analysis_type order by created_at desc, event_id desc) as q from b where event_id % 2 = 1) where q = 1)) where r = 1""")
+def upsert_results(spark, sf_dir):
+    r = model.results(spark, sf_dir).select("kit_id", "analysis_type", "event_id", "created_at", "duration")
+    latest = lambda part: rel.newest_per_key(r.filter(f"event_id % 2 = {part}"), ["kit_id", "analysis_type"], F.desc("created_at"), F.desc("event_id"))
+    return rel.upsert(latest(0), latest(1), ["kit_id", "analysis_type"], "created_at")
+
+
+@query("ioc_dedup_max_confidence", with_views("indicators") + """
+    select type, value, confidence, kit_id, line from (select *, row_number() over (partition by type, value order by confidence desc, kit_id, line) as r from indicators) where r = 1""")
+def ioc_dedup_max_confidence(spark, sf_dir):
+    i = model.indicators(spark, sf_dir).select("type", "value", "confidence", "kit_id", "line")
+    return rel.newest_per_key(i, ["type", "value"], F.desc("confidence"), F.asc("kit_id"), F.asc("line"))
+
+
+@query("consecutive_collapse_shape", with_views("results") + """
+    , p as (select *, lag(analysis_type) over (partition by kit_id order by created_at, event_id) as before from results)
+    select kit_id, string_agg(analysis_type, '>' order by created_at, event_id) as shape from p where before is null or before <> analysis_type group by 1""")
+def consecutive_collapse_shape(spark, sf_dir):
+    runs = rel.collapse_runs(model.results(spark, sf_dir), "kit_id", ["created_at", "event_id"], "analysis_type")
+    return runs.select("kit_id", F.array_join("tokens", ">").alias("shape"))
+
+
+@query("dwell_by_lead", with_views("results") + """
+    select event_id, kit_id, epoch_us(coalesce(lead(created_at) over (partition by kit_id order by created_at, event_id), created_at)) - epoch_us(created_at) as dwell_us,
+      lead(created_at) over (partition by kit_id order by created_at, event_id) is null as is_final from results""")
+def dwell_by_lead(spark, sf_dir):
+    after = F.lead("created_at").over(Window.partitionBy("kit_id").orderBy("created_at", "event_id"))
+    r = model.results(spark, sf_dir).withColumn("after", after)
+    return r.select("event_id", "kit_id", (F.unix_micros(F.coalesce("after", "created_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))).alias("dwell_us"), F.col("after").isNull().alias("is_final"))
+
+
+@query("first_last_seen", with_views("kit_victims") + " select victim_id, min(observed_at) as first_seen, max(observed_at) as last_seen, count(*) as n from kit_victims group by 1")
+def first_last_seen(spark, sf_dir):
+    return model.kit_victims(spark, sf_dir).groupBy("victim_id").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+
+
+@query("audit_recent", "select event_id, user_id, ts from events where ts >= (select max(ts) from events) - interval 2 days and event_type = 'error' and event_type like 'err%' order by ts desc, event_id limit 100")
+def audit_recent(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    recent = e.crossJoin(F.broadcast(last)).filter(F.col("ts") >= F.col("last") - F.expr("interval 2 days"))
+    return recent.filter((F.col("event_type") == "error") & F.col("event_type").startswith("err")).select("event_id", "user_id", "ts").orderBy(F.desc("ts"), "event_id").limit(100)
+
+
+@query("ioc_emails_raw", "select doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}'))) as email from documents")
+def ioc_emails_raw(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(tx.all_matches(F.col("text"), tx.EMAIL), F.lower)).alias("email"))
+
+
+@query("ioc_ips")
+def ioc_ips(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.public_ipv4(F.col("text"))).alias("ip"))
+
+
+@query("ioc_phones")
+def ioc_phones(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.phones(F.col("text"))).alias("phone"))
+
+
+@query("ioc_histogram")
+def ioc_histogram(spark, sf_dir):
+    """Indicators of all text files by line, best per file, type and value, then counted by type."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    found = lines.select("doc_id", "line", F.explode(tx.iocs(F.substring("body", 1, 100000))).alias("x")).select("doc_id", "line", "x.*")
+    best = rel.newest_per_key(found, ["doc_id", "type", "value"], F.desc("confidence"), F.asc("line"))
+    return best.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"))
+
+
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+def _root_sql(suffixes: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{s}'" for s in suffixes)
+    return f"case when len(l) >= 3 and array_to_string(l[-2:], '.') in ({listed}) then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end"
+
+
+@query("url_root_domain", f"select page_id, h as host, {_root_sql(urls.ROOT_SUFFIXES)} as root from (select page_id, h, string_split(h, '.') as l from (select page_id, {_HOST} as h from pages))")
+def url_root_domain(spark, sf_dir):
+    h = urls.host(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", h.alias("host"), urls.root_domain(h).alias("root"))
+
+
+@query("url_etld1", f"select {_root_sql(urls.ETLD_SUFFIXES)} as etld1, count(*) as n from (select string_split({_HOST}, '.') as l from pages) group by 1")
+def url_etld1(spark, sf_dir):
+    return rel.count_by(table(spark, sf_dir, "pages").select(urls.etld1(F.col("url")).alias("etld1")), "etld1")
+
+
+@query("path_template", rf"""
+    select page_id, case when p = '' then h else h || '/' || p end as template from (
+      select page_id, h, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+        lambda s: case when regexp_matches(s, '^(?i:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[0-9a-f]{{8,}}|\d+|[a-z0-9_\-]{{16,}}={{0,2}})$')
+             or (regexp_matches(s, '^(?i:[0-9a-f]{{4,}})$') and regexp_matches(s, '[0-9]') and regexp_matches(s, '(?i)[a-f]')) then '{{t}}' else lower(s) end), '/') as p
+      from (select page_id, {_HOST} as h, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path from pages))""")
+def path_template(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.path_template(F.col("url")).alias("template"))
+
+
+@query("link_scores")
+def link_scores(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", urls.link_score(F.col("url"), F.when(F.col("page_id") % 3 == 0, "form_action").otherwise("html_link"), F.lit("m.ththth.example.net")).alias("score"))
+
+
+@query("file_hashes", "select doc_id, sha256(text) as sha256, md5(text) as md5, cast(strlen(text) as bigint) as size from documents")
+def file_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query("exact_duplicates", "select doc_id, sha256(text) as sha, min(doc_id) over (partition by sha256(text)) as canonical from documents qualify count(*) over (partition by sha256(text)) > 1")
+def exact_duplicates(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    groups = d.groupBy("sha").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return d.join(groups, "sha")
+
+
+@query("host_groups_with_pairs", f"""
+    with p as (select page_id, string_split({_HOST}, '.') as l, length(html) as size from pages), k as (select page_id, size, {_root_sql(urls.ETLD_SUFFIXES)} as host from p)
+    select a.host, count(*) as pairs from k a join k b on a.host = b.host and a.page_id < b.page_id and greatest(a.size, b.size) <= 1.15 * least(a.size, b.size) group by 1""")
+def host_groups_with_pairs(spark, sf_dir):
+    # The size bucket bounds what meets: sizes within 1.15 are at most one bucket of that ratio apart.
+    k = table(spark, sf_dir, "pages").select("page_id", urls.etld1(F.col("url")).alias("host"), F.length("html").cast("long").alias("size"))
+    k = k.withColumn("bucket", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1.15))))
+    a = k.select("host", F.col("page_id").alias("a"), F.col("size").alias("size_a"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    b = k.select("host", "bucket", F.col("page_id").alias("b"), F.col("size").alias("size_b"))
+    near = a.join(b, ["host", "bucket"]).filter("a < b and greatest(size_a, size_b) <= 1.15 * least(size_a, size_b)")
+    return near.groupBy("host").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("jaccard_token_sets", """
+    with t as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations)
+    select a.conv_id, a.turn, case when len(list_distinct(a.w || b.w)) = 0 then 1.0 else len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) end as jaccard
+    from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1""")
+def jaccard_token_sets(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(tx.all_matches(F.lower("text"), "[a-z]+")).alias("w"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", rel.jaccard(F.col("w"), F.col("v")).alias("jaccard"))
+
+
+@query("injected_set_difference", """
+    with base as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark), d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as w from documents)
+    select doc_id, count(*) as injected, md5(string_agg(w, ',' order by w)) as fingerprint from d where w not in (select w from base) group by 1""")
+def injected_set_difference(spark, sf_dir):
+    words = lambda name, *k: table(spark, sf_dir, name).select(*k, F.explode(F.array_distinct(tx.all_matches(F.lower("text"), "[a-z]+"))).alias("w"))
+    own = words("documents", "doc_id").join(words("benchmark").distinct(), "w", "left_anti")
+    return own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("injected"), F.md5(F.array_join(F.array_sort(F.collect_list("w")), ",")).alias("fingerprint"))
+
+
+@query("allowlist_reconcile", """
+    with d as (select n_nationkey as k, n_name as v from nation where n_nationkey % 3 <> 0), c as (select n_nationkey as k, case when n_nationkey % 5 = 0 then upper(n_name) || '!' else n_name end as v from nation where n_nationkey % 4 <> 0)
+    select coalesce(d.k, c.k) as k, d.v as new, c.v as old, case when c.k is null then 'insert' when d.k is null then 'delete' when d.v is not distinct from c.v then 'unchanged' else 'update' end as action from d full join c on d.k = c.k""")
+def allowlist_reconcile(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    desired = n.filter("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    value = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.upper("n_name"), F.lit("!"))).otherwise(F.col("n_name"))
+    return rel.three_way_diff(desired, n.filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("k"), value.alias("v")), "k", "v")
+
+
+@query("phash_hamming_neighbors", """
+    with b as (select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as s from embeddings)
+    select a.vec_id as a, b.vec_id as b, cast(list_sum(list_transform(range(1, 65), lambda i: abs(a.s[i] - b.s[i]))) as integer) as distance from b a join b on a.vec_id < b.vec_id
+    where list_sum(list_transform(range(1, 65), lambda i: abs(a.s[i] - b.s[i]))) <= 16""")
+def phash_hamming_neighbors(spark, sf_dir):
+    from lurescope.operators.similarity import hamming_pairs
+
+    return hamming_pairs(model.perceptual_hashes(spark, sf_dir), "vec_id", "phash", 16)
+
+
+@query("kit_tree_descendants", with_views("kits").replace("with ", "with recursive ", 1) + """
+    , tree as (select kit_id as root, kit_id, 0 as depth from kits where kit_id <= 9 union all select root, k.kit_id, depth + 1 from tree t join kits k on k.parent_kit_id = t.kit_id)
+    select root, depth, count(*) as kits from tree group by all""")
+def kit_tree_descendants(spark, sf_dir):
+    k = model.kits(spark, sf_dir)
+    return graph.descendants(k, k.filter("kit_id <= 9")).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("kits"))
+
+
+@query("kit_tree_ancestors", with_views("kits").replace("with ", "with recursive ", 1) + """
+    , up as (select kit_id, parent_kit_id as ancestor, 1 as depth from kits where kit_id % 97 = 5 and parent_kit_id is not null
+      union all select u.kit_id, k.parent_kit_id, depth + 1 from up u join kits k on k.kit_id = u.ancestor where depth < 5 and k.parent_kit_id is not null)
+    select kit_id, ancestor, depth from up""")
+def kit_tree_ancestors(spark, sf_dir):
+    k = model.kits(spark, sf_dir)
+    return graph.ancestors(k, k.filter("kit_id % 97 = 5"), 5)
+
+
+@query("deletion_preview", with_views("kits", "indicators", "kit_actors", "kit_victims").replace("with ", "with recursive ", 1) + """
+    , tree as (select kit_id from kits where kit_id = 3 union all select k.kit_id from tree t join kits k on k.parent_kit_id = t.kit_id)
+    select (select count(*) from tree) as kits, (select count(*) from indicators where kit_id in (select kit_id from tree)) as indicators,
+      (select count(*) from kit_actors where kit_id in (select kit_id from tree)) as actor_links, (select count(*) from kit_victims where kit_id in (select kit_id from tree)) as observations""")
+def deletion_preview(spark, sf_dir):
+    k = model.kits(spark, sf_dir)
+    gone = graph.descendants(k, k.filter("kit_id = 3")).select("kit_id")
+    n = lambda df, name: df.join(gone, "kit_id", "left_semi").agg(F.count(F.lit(1)).alias(name))
+    out = n(k.select("kit_id"), "kits")
+    for df, name in ((model.indicators(spark, sf_dir), "indicators"), (model.kit_actors(spark, sf_dir), "actor_links"), (model.kit_victims(spark, sf_dir), "observations")):
+        out = out.crossJoin(n(df, name))
+    return out
+
+
+@query("investigation_completion", with_views("kits") + """
+    select investigation_id, count(*) as kits, count(*) filter (status = 'pending') as open, coalesce(max(cast(len(cast(kit_id as varchar)) as integer) - 1), 0) as depth, count(*) filter (status = 'pending') = 0 as complete from kits group by 1""")
+def investigation_completion(spark, sf_dir):
+    depth = F.length(F.col("kit_id").cast("string")) - 1
+    pending = F.count_if(F.col("status") == "pending")
+    return model.kits(spark, sf_dir).groupBy("investigation_id").agg(F.count(F.lit(1)).alias("kits"), pending.alias("open"), F.coalesce(F.max(depth), F.lit(0)).alias("depth"), (pending == 0).alias("complete"))
+
+
+@query("range_join_resources", with_views("results") + """
+    , s as (select kit_id, event_id as stage, created_at as lo, lead(created_at) over (partition by kit_id order by created_at, event_id) as hi from results where analysis_type = 'signup')
+    select s.kit_id, stage, count(*) as resources from s join results r on r.kit_id = s.kit_id and r.created_at >= lo and r.created_at < hi where r.analysis_type <> 'signup' group by all""")
+def range_join_resources(spark, sf_dir):
+    r = model.results(spark, sf_dir)
+    hi = F.lead("created_at").over(Window.partitionBy("kit_id").orderBy("created_at", "event_id"))
+    spans = r.filter("analysis_type = 'signup'").select("kit_id", F.col("event_id").alias("stage"), F.col("created_at").alias("lo"), hi.alias("hi"))
+    inside = rel.within_intervals(r.filter("analysis_type <> 'signup'").select("kit_id", F.col("created_at").alias("at")), spans, "kit_id", "at", "lo", "hi")
+    return inside.groupBy("kit_id", "stage").agg(F.count(F.lit(1)).alias("resources"))
+
+
+@query("pair_score_components", with_views("indicators") + """
+    , k as (select distinct kit_id, type, lower(value) as value, case type when 'R' then 30 when 'A' then 15 else 8 end as weight from indicators)
+    select a.kit_id as a, b.kit_id as b, least(40, cast(sum(a.weight) as bigint)) as ioc_score, count(*) as shared from k a join k b on a.type = b.type and a.value = b.value and a.kit_id < b.kit_id
+    where a.kit_id % 50 = 1 group by all""")
+def pair_score_components(spark, sf_dir):
+    from lurescope.operators.scoring import shared_indicator_scores
+
+    weights = {"R": 30, "A": 15}
+    return shared_indicator_scores(model.indicators(spark, sf_dir), weights, 8, F.col("kit_id") % 50 == 1)
+
+
+@query("entity_ranking", with_views("indicators", "kit_actors") + """
+    , k as (select distinct kit_id, type, value, case type when 'R' then 30 when 'A' then 15 else 8 end as weight from indicators),
+    p as (select a.kit_id as a, b.kit_id as b, least(40, sum(a.weight)) as score from k a join k b on a.type = b.type and a.value = b.value and a.kit_id <> b.kit_id where a.kit_id % 500 = 1 group by all),
+    e as (select a as kit_id, actor_id, cast(max(score) as bigint) as score, count(distinct b) as supporting from p join kit_actors on b = kit_actors.kit_id group by all)
+    select kit_id, actor_id, score, supporting from (select *, row_number() over (partition by kit_id order by score desc, supporting desc, actor_id) as r from e where score >= 5) where r <= 10""")
+def entity_ranking(spark, sf_dir):
+    from lurescope.operators.scoring import rank_entities, shared_indicator_scores
+
+    pairs = shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8, F.col("kit_id") % 500 == 1, ordered=False)
+    return rank_entities(pairs, model.kit_actors(spark, sf_dir), "actor_id")
+
+
+@query("rules_scan_counts", "select rule, count(*) as pages from (select unnest(list_filter([case when contains(html, '<script') and contains(html, 'track(') then 'tracker' end, case when regexp_matches(lower(html), '<div class=\"ad\">') then 'advert' end, case when contains(html, '%%%') or contains(html, '$$$') then 'junk' end], lambda x: x is not null)) as rule from pages) group by 1")
+def rules_scan_counts(spark, sf_dir):
+    from lurescope.operators.rules import parse_rules, scan
+
+    source = """
+    rule tracker { strings: $a = "<script" $b = "track(" condition: all of them }
+    rule advert { strings: $a = "<DIV class=\\"ad\\">" nocase condition: $a }
+    rule junk { strings: $p1 = "%%%" $p2 = "$$$" condition: any of ($p*) }
     """
-    select l_returnflag as type, cast(l_partkey as varchar) as value, count(*) as n
-    from lineitem where l_partkey % 50 = 7
-    group by 1, 2 order by n desc, value, type limit 20
-    """,
-)
-def campaign_top_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = table(spark, sf_dir, "lineitem").filter("l_partkey % 50 = 7")
-    counts = hits.groupBy(F.col("l_returnflag").alias("type"), F.col("l_partkey").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "value", "type").limit(20)
+    return scan(table(spark, sf_dir, "pages"), "html", parse_rules(source)).select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("stage_role_classify")
+def stage_role_classify(spark, sf_dir):
+    s = model.stages(spark, sf_dir)
+    total = F.count(F.lit(1)).over(Window.partitionBy("kit_id"))
+    last = F.max("seq").over(Window.partitionBy("kit_id"))
+    no = F.lit(False)
+    role = stages.role_of(F.col("seq"), total, F.lit(""), F.col("body"), F.col("seq") == last, F.lit(None).cast("double"), gate=no, email_gate=no, login=F.col("body").contains("password"), form=no)
+    return s.select("kit_id", "seq", role.alias("stage_role"))
+
+
+@query("flow_alignment")
+def flow_alignment(spark, sf_dir):
+    s = model.stages(spark, sf_dir).select("kit_id", "seq", "role", F.array_distinct(tx.all_matches(F.lower("body"), "[a-z]+")).alias("tokens"))
+    k = s.select("kit_id").distinct()
+    pairs = k.select(F.col("kit_id").alias("a")).withColumn("b", F.col("a") + 1).join(k.select(F.col("kit_id").alias("b")), "b", "left_semi")
+    return stages.align_flows(s, pairs.select("a", "b"))
+
+
+@query("stage_clusters")
+def stage_clusters(spark, sf_dir):
+    from lurescope.operators.similarity import token_clusters
+
+    s = model.stages(spark, sf_dir)
+    rows = s.select(F.concat_ws(":", "kit_id", "seq").alias("stage"), "role", F.array_distinct(tx.all_matches(F.lower("body"), "[a-z]+")).alias("tokens"))
+    return token_clusters(rows, "stage", "role", "tokens", 0.85)
+
+
+@query("tlsh_pairs_blocked")
+def tlsh_pairs_blocked(spark, sf_dir):
+    from lurescope.operators.similarity import tlsh_digests, tlsh_pairs
+
+    return tlsh_pairs(tlsh_digests(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tlsh", 30)
+
+
+@query("page_visible_text", r"select page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 4000) as text from pages")
+def page_visible_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.visible_text(F.col("html")).alias("text"))
+
+
+@query("stream_victim_state", with_views("kit_victims") + " select victim_id, min(observed_at) as first_seen, max(observed_at) as last_seen, count(distinct kit_id) as kits from kit_victims group by 1")
+def stream_victim_state(spark, sf_dir):
+    from lurescope.streaming.victims import victim_state
+
+    return victim_state(spark, f"{sf_dir}/orders.parquet")
