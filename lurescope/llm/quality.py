@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import in_fold, sample_by_class, small_batches
-from lurescope.llm.toxicity import labelled
+from lurescope.llm.common import in_fold, small_batches
+from lurescope.llm.toxicity import label_marks, labelled
 
 #: Words of a passage.
 PASSAGE = 64
@@ -121,20 +121,19 @@ class QualityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit_quality(rows: DataFrame, per_label: int = PER_LABEL) -> QualityModel:
-    """Learn from ``rows`` (id, text, label): about ``per_label`` whole texts of each label, chosen by a hash of the id.
+def fit_quality(rows: DataFrame, counts: dict[int, int]) -> QualityModel:
+    """Learn from ``rows`` (id, text, label; see labelled), whole texts.
 
-    Scores are set to the labels' true shares; with one label only, that label's.
+    Scores are set to the labels' shares by ``counts``; with one label only, that label's.
     """
     model = QualityModel()
-    counts = {int(r[0]): r[1] for r in rows.groupBy("label").count().collect()}
     bags, y = [], []
-    for text, label in sample_by_class(rows, "label", "id", per_label).orderBy(F.xxhash64(F.lit(3), F.col("id"))).select("text", "label").toLocalIterator():
+    for text, label in rows.orderBy(F.xxhash64(F.lit(3), F.col("id"))).select("text", "label").toLocalIterator():
         bags.append(passages(text))
         y.append(int(label))
     if len(set(y)) == 2:
         model.fit(bags, np.array(y))
-        model.shift = float(np.log(counts[1] / counts[0]))
+        model.shift = float(np.log(max(1, counts.get(1, 0)) / max(1, counts.get(0, 0))))
     else:
         model.p["c"][:] = 0.0
         model.shift = {frozenset(): 0.0, frozenset({1}): 3.0, frozenset({0}): -3.0}[frozenset(y)]
@@ -155,6 +154,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
 def quality(docs: DataFrame, labels: DataFrame, bar: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted per row of ``docs``."""
-    model = fit_quality(labelled(docs, labels, "quality"))
+    marks = label_marks(labels, "quality")
+    counts = {int(r[0]): r[1] for r in marks.groupBy("label").count().collect()}
+    model = fit_quality(labelled(docs, marks, PER_LABEL), counts)
     out = score_quality(docs.select("doc_id", "text", in_fold("doc_id", 4, 2).alias("held_out")), model)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= bar).cast("int").alias("predicted"))

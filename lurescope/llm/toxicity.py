@@ -270,13 +270,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(rows: DataFrame, per_label: int = PER_LABEL) -> ToxicityModel:
-    """Learn from ``rows`` (id, text, label): about ``per_label`` whole texts of each label, chosen by a hash of the id.
+def fit_toxicity(rows: DataFrame) -> ToxicityModel:
+    """Learn from ``rows`` (id, text, label; see labelled), whole texts.
 
     The lexicon comes from two thirds of them and the weights from the rest, so that
     chance terms don't count for more than they are worth.
     """
-    got = [(tokens(t), t, int(y)) for t, y in sample_by_class(rows, "label", "id", per_label).orderBy(F.xxhash64(F.lit(3), F.col("id"))).select("text", "label").toLocalIterator()]
+    got = [(tokens(t), t, int(y)) for t, y in rows.orderBy(F.xxhash64(F.lit(3), F.col("id"))).select("text", "label").toLocalIterator()]
     part = [i % 3 != 0 for i in range(len(got))]
     learned = lambda rows: ToxicityModel(learn_lexicon(rows), rows)
     trial = learned([(t, y) for (t, _, y), p in zip(got, part, strict=True) if p])
@@ -303,14 +303,22 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     return docs.drop(score_col).withColumn(score_col, score(F.col(text_col).cast("string")))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """id, text, label of the documents that may be learned from (fold 2 of 4 is held out)."""
-    marks = labels.filter(F.col(label_col).isNotNull() & ~in_fold("doc_id", 4, 2)).select("doc_id", F.col(label_col).cast("int").alias("label"))
-    return marks.join(docs.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+def label_marks(labels: DataFrame, label_col: str) -> DataFrame:
+    """doc_id, label of what may be learned from (fold 2 of 4 is held out)."""
+    return labels.filter(F.col(label_col).isNotNull() & ~in_fold("doc_id", 4, 2)).select("doc_id", F.col(label_col).cast("int").alias("label"))
+
+
+def labelled(docs: DataFrame, marks: DataFrame, per_label: int) -> DataFrame:
+    """id, text, label of about ``per_label`` documents of each label, chosen by a hash of the id.
+
+    The choice is made among ids, so that only few are sent to where the texts are read.
+    """
+    chosen = sample_by_class(marks, "label", "doc_id", per_label)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted per row of ``docs``."""
-    model = fit_toxicity(labelled(docs, labels, "toxic"))
+    model = fit_toxicity(labelled(docs, label_marks(labels, "toxic"), PER_LABEL))
     out = score_toxicity(docs.select("doc_id", "text", in_fold("doc_id", 4, 2).alias("held_out")), model)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= bar).cast("int").alias("predicted"))
