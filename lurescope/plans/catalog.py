@@ -185,7 +185,7 @@ def kits_page(spark, sf_dir):
 
 
 @query("kit_with_members", with_views("kits", "indicators", "kit_actors") + """
-    , i as (select kit_id, list(type || ':' || value order by line) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
+    , i as (select kit_id, list(type || ':' || value order by line, type, value) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
     select kit_id, status, array_to_string(found, ',') as found, array_to_string(list_transform(who, lambda x: cast(x as varchar)), ',') as who from kits left join i using (kit_id) left join a using (kit_id) where kit_id % 1000 = 1""")
 def kit_with_members(spark, sf_dir):
     ours = model.kits(spark, sf_dir).filter("kit_id % 1000 = 1").select("kit_id", "status")
