@@ -69,7 +69,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.expr("cast(array() as array<struct<s:int,e:int,ord:int,kind:string,value_hash:string,live:boolean>>)")
     found = []
     for i, (kind, pattern, group, least) in enumerate(KINDS):
-        hits = F.filter(spans(F.col("text"), pattern, group), lambda x, least=least: F.length(x["value"]) >= least)
+        hits = F.filter(spans(F.col("text"), pattern, group), _at_least(least))
         found.append(F.when(F.col("text").rlike(pattern), F.transform(hits, _with(i, kind))).otherwise(none))
     token = F.when(F.col("text").rlike(r"[A-Za-z0-9+/_=-]{20}"), F.transform(F.filter(spans(F.col("text"), TOKEN, 0), lambda x: live_looking(x["value"])), _with(len(KINDS), "owned"))).otherwise(none)
     base = F.concat(*found)
@@ -94,6 +94,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_any.unionByName(rows.filter("size(spans) = 0").select("doc_id", empty.alias("secrets")))
 
 
+def _at_least(n: int):
+    # A lambda with a default argument would be called with the element's index.
+    return lambda x: F.length(x["value"]) >= n
+
+
 def _with(order: int, kind: str):
     def add(x: Column) -> Column:
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.sha2(x["value"], 256).alias("value_hash"), live_looking(x["value"]).alias("live"))
