@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, small_batches, stage
 
 END = "\r\n\r\n"
-#: What stands between records, with the first seven bytes of the next.
-BETWEEN = END + "WARC/1."
+#: A record's magic with the byte before it. It has no part that is its own beginning, so a reader that
+#: meets the end of a split or buffer inside it needs no step back (the whole blank line would).
+BETWEEN = "\nWARC/1."
 MAGIC = len("WARC/1.")
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 100
@@ -68,11 +69,13 @@ class Body:
     """A record's block as its bytes come: the HTTP header, then count, digest and, if wanted, bytes of the payload."""
 
     def __init__(self, length: int, http: bool, keep: bool) -> None:
-        self.left, self.head, self.keep = length, b"" if http else None, keep
+        self.left, self.head, self.keep, self.drop = length, b"" if http else None, keep, 0
         self.http_length: int | None = None
         self.size, self.sha, self.parts = 0, hashlib.sha256(), []
 
     def feed(self, data: bytes) -> None:
+        # A block that begins with the magic: the line feed read with it still belongs to the header.
+        data, self.drop = data[self.drop :], max(0, self.drop - len(data))
         data = data[: self.left]
         self.left -= len(data)
         if self.head is not None:
@@ -134,9 +137,10 @@ def _split_candidates(file: str, block: int, pieces: Iterator[bytes], keep: bool
                 body.feed(BETWEEN.encode())
         for _, _, body in waiting:
             body.feed(raw)
-        if (head := _header(piece)) is not None:
+        if (head := _header(piece) or _header(piece + b"\n")) is not None:
             fields, skip, length = head
             body = Body(length, _is_http(fields), keep)
+            body.drop = max(0, skip - len(piece))
             body.feed(piece[skip:])
             row = [file, block, start, start + MAGIC + skip + length + 4]
             found.append([row, fields, body])

@@ -29,12 +29,12 @@ def tricky(seed, n=60):
     bits = ["\r\n\r\nWARC/1.1\r\n", "WARC/1.0", "\r\n", "\r\n\r\n", "\r", "é☃", "x" * 50, RECORD.format(3, "abc"), RECORD.format(100000, "abc"), "\r\n\r\n" + RECORD.format(40, "y" * 30), "HTTP/1.1 200 OK\r\n\r\n"]
     rows = [(i, f"http://a.test/{i} \r\nWARC/1.1", "".join(r.choice(bits) for _ in range(r.randint(0, 12))), "s", "k") for i in range(n)]
     rows += [(n, None, None, None, None), (n + 1, "u", "", None, None), (n + 2, "u", "WARC/1.1\r\n" * 15, None, None), (n + 3, "u", "WARC/1.1\r\n" * 15, None, None), (n + 3, "u", "WARC/1.1\r\n" * 15, None, None)]
-    return rows + [(n + 4 + i, "u", "copy" * 60, None, None) for i in range(8)]
+    return rows + [(n + 4 + i, "u", "copy" * 60, None, None) for i in range(20)]
 
 
 def test_round_trip_with_magic_in_payloads(spark):
-    for split, seed in (("64m", 1), ("1100b", 2), ("333b", 3)):
-        rows = tricky(seed, 12)
+    for split, seed in (("64m", 1), ("700b", 2)):
+        rows = tricky(seed, 30)
         old = spark.conf.get("spark.sql.files.maxPartitionBytes")
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
