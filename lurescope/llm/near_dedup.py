@@ -108,37 +108,56 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, n_shingles long, set_key binary, tokens binary")
 
 
+_ROOTS = np.random.default_rng(7).permutation(TOKENS)[: TREES * BRANCH]
+
+
+def root_paths(tokens: np.ndarray) -> np.ndarray:
+    """Each document's places one step below the roots of the trees, a column for each selected token."""
+    return mix64((np.arange(len(_ROOTS), dtype=np.uint64) + np.uint64(1) << np.uint64(33)) + tokens[:, _ROOTS].astype(np.uint64))
+
+
+def child_paths(path: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
+    """One step on: the paths by the two tokens that each node selects."""
+    first = (mix64(path) % np.uint64(TOKENS)).astype(np.int64)
+    second = (first + 1 + (mix64(path + np.uint64(1)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
+    rows = np.arange(len(path))
+    return [mix64(path ^ mix64((at.astype(np.uint64) << np.uint64(33)) + tokens[rows, at].astype(np.uint64))) for at in (first, second)]
+
+
+def all_paths(tokens: np.ndarray) -> np.ndarray:
+    """The paths of DEPTH 2 of each document: those of the first step, then those of the second."""
+    one = root_paths(tokens)
+    two = [p for c in range(one.shape[1]) for p in child_paths(one[:, c], tokens)]
+    return np.column_stack([one, *two])
+
+
+def _tokens_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
+
+
+def _placed(path: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(doc, pa.int64())], ["path", "doc"])
+
+
 def roots(reps: DataFrame) -> DataFrame:
-    """Each document's places one step below the roots of the trees: path, doc."""
-    chosen = np.random.default_rng(7).permutation(TOKENS)[: TREES * BRANCH]
+    """path, doc one step below the roots."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
-            path = mix64((np.arange(len(chosen), dtype=np.uint64) + np.uint64(1) << np.uint64(33)) + tokens[:, chosen].astype(np.uint64))
-            doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), len(chosen))
-            yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), pa.array(doc, pa.int64())], ["path", "doc"])
+            if batch.num_rows:
+                yield _placed(root_paths(_tokens_of(batch)).ravel(), np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), len(_ROOTS)))
 
     return reps.select("doc", "tokens").mapInArrow(task, "path long, doc long")
 
 
 def children(rows: DataFrame) -> DataFrame:
-    """One step on: ``rows`` (path, doc, tokens) to the paths by the tokens that each node selects."""
+    """``rows`` (path, doc, tokens) one step on."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
-            path = batch.column("path").to_numpy().view(np.uint64)
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
-            first = (mix64(path) % np.uint64(TOKENS)).astype(np.int64)
-            second = (first + 1 + (mix64(path + np.uint64(1)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
-            for at in (first, second):
-                below = mix64(path ^ mix64((at.astype(np.uint64) << np.uint64(33)) + tokens[np.arange(len(at)), at].astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), pa.array(doc, pa.int64())], ["path", "doc"])
+            if batch.num_rows:
+                for below in child_paths(batch.column("path").to_numpy().view(np.uint64), _tokens_of(batch)):
+                    yield _placed(below, batch.column("doc").to_numpy(zero_copy_only=False))
 
     return rows.mapInArrow(task, "path long, doc long")
 
@@ -217,7 +236,7 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 
 def open_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the nodes that hold several components: path, slot, doc, label, top, sketch.
+    """Rows of the nodes that hold several components: path, slot, part, doc, label, top, sketch.
 
     In a node of several parts the documents of its largest component (top) stay in
     their part and the others, which are few, visit every part.
@@ -229,7 +248,7 @@ def open_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     parts = F.when(F.col("cnt") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("cnt") / PART)).cast("long")
     guest = (F.col("label") != F.col("top")) & (parts > 1)
     slots = F.when(guest, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("part"))
-    return here.select("path", F.explode(slots).alias("slot"), "doc", "label", "top", "sketch")
+    return here.select("path", F.explode(slots).alias("slot"), "part", "doc", "label", "top", "sketch")
 
 
 def unsettled(rows: DataFrame) -> DataFrame:
@@ -253,12 +272,15 @@ def unsettled(rows: DataFrame) -> DataFrame:
 
 
 def sharpen(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, sharp (low bytes of SHARP tokens) of the documents with these ids."""
+    """doc, sharp (low bytes of SHARP tokens, then all paths) of the documents with these ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
-            sharp = [minwise(shingle_set(t.as_py(), cache), SHARP).astype(np.uint8).tobytes() for t in batch.column("text").cast(pa.binary())]
+            sharp = []
+            for t in batch.column("text").cast(pa.binary()):
+                tokens = minwise(shingle_set(t.as_py(), cache), SHARP)
+                sharp.append(tokens.astype(np.uint8).tobytes() + all_paths(tokens[None, :TOKENS]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sharp, pa.binary())], ["doc", "sharp"])
 
     may_be = key_filter(ids.select(F.xxhash64("doc").alias("key")))
@@ -267,20 +289,41 @@ def sharpen(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def rest(rows: DataFrame, sharp: DataFrame, tested: DataFrame) -> DataFrame:
-    """Second round: all pairs of a node that both sketches let pass and that are not connected yet nor tested."""
+    """Second round: all pairs of a node that both sketches let pass and that are not connected yet nor tested.
+
+    A pair that meets in several nodes is proposed by the first of them: the paths of
+    both documents tell which second steps they share, and what they share for certain
+    comes before anything later. Two documents that visit every part of a node are
+    proposed in the part of the one with the smaller id.
+    """
+    n_roots = TREES * BRANCH
+    width = SHARP + 8 * (n_roots + n_roots * BRANCH)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for (docs, label, top), sk in _by_node(batches, 2, ["path", "slot", "doc", "label", "top"], "sharp", SHARP):
+        for (node, visit, part, docs, label, top), data in _by_node(batches, 2, ["path", "slot", "node", "visit", "part", "doc", "label", "top"], "sharp", width):
+            sk = data[:, :SHARP]
+            ways = np.ascontiguousarray(data[:, SHARP:]).view(np.uint64)
+            below, here = ways[:, n_roots:], node[:1].astype(np.int64).view(np.uint64)[0]
+            second = np.flatnonzero(below[0] == here)
+            first = np.flatnonzero(ways[0, :n_roots] == here)
             for i in np.flatnonzero(label != top):
-                ok = ((sk == sk[i]).sum(axis=1) >= SHARP_PASS) & (label != label[i])
-                found.update((int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[ok])
+                at = np.flatnonzero(((sk == sk[i]).sum(axis=1) >= SHARP_PASS) & (label != label[i]))
+                if not len(at):
+                    continue
+                same = below[at] == below[i]
+                shared = np.where(same.any(axis=1), same.argmax(axis=1), n_roots * BRANCH)
+                ok = shared == second[0] if len(second) else shared // BRANCH >= first[0]
+                lower = np.where(docs[at] < docs[i], part[at], part[i])
+                ok &= (label[at] == top[at]) | (lower == visit[i])
+                found.update((int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[at[ok]])
             if len(found) > 50_000:
                 yield _pairs(list(found))
                 found = set()
         yield _pairs(list(found))
 
-    ordered = rows.select("path", "slot", "doc", "label", "top").join(sharp, "doc").repartition("path", "slot").sortWithinPartitions("path", "slot", "doc")
+    rows = rows.select("path", "slot", F.col("path").alias("node"), F.col("slot").alias("visit"), "part", "doc", "label", "top")
+    ordered = rows.join(sharp, "doc").repartition("path", "slot").sortWithinPartitions("path", "slot", "doc")
     return ordered.mapInArrow(task, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 
