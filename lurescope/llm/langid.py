@@ -26,7 +26,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: A longer run of letters is scored in parts of so many.
 LONGEST = 64
 #: Words whose likelihoods a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Probability of a letter that no piece has, and what an unseen piece counts.
 FLOOR, UNSEEN = 1e-7, 0.02
 
@@ -103,15 +103,45 @@ def chunks(text: str | None) -> list[str]:
 
 def word_likelihoods(word: str, trie: dict, probs: list[tuple[float, ...]], none: tuple[float, ...]) -> list[float]:
     """Log-likelihood of a word in each language, over all segmentations."""
-    n = len(word) + 1
-    forward = [none] + [None] * n
-    for i, j, p in lattice(trie, MARK + word):
-        at, q = forward[i], probs[p]
-        got = forward[j]
-        forward[j] = [a * b for a, b in zip(at, q, strict=True)] if got is None else [g + a * b for g, a, b in zip(got, at, q, strict=True)]
+    word = MARK + word
+    n = len(word)
+    forward: list = [None] * (n + 1)
+    forward[0] = none
+    for i in range(n):
+        at, node = forward[i], trie
+        for j in range(i, n):
+            node = node.get(word[j])
+            if node is None:
+                if j == i:
+                    _reach(forward, i + 1, at, probs[-1])
+                break
+            p = node.get("")
+            if p is not None:
+                _reach(forward, j + 1, at, probs[p])
+            elif j == i:
+                _reach(forward, i + 1, at, probs[-1])
     return [math.log(max(x, 1e-300)) for x in forward[n]]
 
 
+# The common width is written out; it is the inner loop.
+def _reach(forward: list, j: int, at: list[float], q: tuple[float, ...]) -> None:
+    got = forward[j]
+    if len(q) == 4:
+        a, b, c, d = at
+        e, f, g, h = q
+        if got is None:
+            forward[j] = [a * e, b * f, c * g, d * h]
+        else:
+            got[0] += a * e
+            got[1] += b * f
+            got[2] += c * g
+            got[3] += d * h
+    elif got is None:
+        forward[j] = [x * y for x, y in zip(at, q, strict=True)]
+    else:
+        forward[j] = [z + x * y for z, x, y in zip(got, at, q, strict=True)]
+
+
 class LanguageModel:
     """Languages, a trie of pieces and the pieces' probabilities (the last row is the floor, for -1)."""
 
