@@ -162,8 +162,12 @@ def campaign_victims_latest(spark, sf_dir):
 @query("victim_observations", with_views("kit_victims", "kits") + """
     select victim_id, kit_id, source, observed_at, status from kit_victims left join kits using (kit_id) where victim_id % 97 = 1""")
 def victim_observations(spark, sf_dir):
-    seen = model.kit_victims(spark, sf_dir).filter("victim_id % 97 = 1")
-    return seen.join(model.kits(spark, sf_dir).select("kit_id", "status"), "kit_id", "left")
+    return victim_observations_whole(spark, sf_dir).filter("victim_id % 97 = 1")
+
+
+@query("victim_observations_whole", with_views("kit_victims", "kits") + " select victim_id, kit_id, source, observed_at, status from kit_victims left join kits using (kit_id)")
+def victim_observations_whole(spark, sf_dir):
+    return model.kit_victims(spark, sf_dir).join(model.kits(spark, sf_dir).select("kit_id", "status"), "kit_id", "left")
 
 
 @query("actors_with_counts_left_outer", with_views("actors", "indicators") + """
@@ -188,10 +192,21 @@ def kits_page(spark, sf_dir):
     , i as (select kit_id, list(type || ':' || value order by line, type, value) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
     select kit_id, status, array_to_string(found, ',') as found, array_to_string(list_transform(who, lambda x: cast(x as varchar)), ',') as who from kits left join i using (kit_id) left join a using (kit_id) where kit_id % 1000 = 1""")
 def kit_with_members(spark, sf_dir):
-    ours = model.kits(spark, sf_dir).filter("kit_id % 1000 = 1").select("kit_id", "status")
+    return _with_members(spark, sf_dir, "kit_id % 1000 = 1")
+
+
+@query("kit_with_members_whole", with_views("kits", "indicators", "kit_actors") + """
+    , i as (select kit_id, list(type || ':' || value order by line, type, value) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
+    select kit_id, status, array_to_string(found, ',') as found, array_to_string(list_transform(who, lambda x: cast(x as varchar)), ',') as who from kits left join i using (kit_id) left join a using (kit_id)""")
+def kit_with_members_whole(spark, sf_dir):
+    return _with_members(spark, sf_dir, "true")
+
+
+def _with_members(spark: SparkSession, sf_dir: str, chosen: str) -> DataFrame:
+    ours = model.kits(spark, sf_dir).filter(chosen).select("kit_id", "status")
     found = F.transform(F.array_sort(F.collect_list(F.struct("line", "type", "value"))), lambda x: F.concat(x["type"], F.lit(":"), x["value"]))
-    i = model.indicators(spark, sf_dir).filter("kit_id % 1000 = 1").groupBy("kit_id").agg(F.array_join(found, ",").alias("found"))
-    a = model.kit_actors(spark, sf_dir).filter("kit_id % 1000 = 1").groupBy("kit_id").agg(F.array_join(F.array_sort(F.collect_list("actor_id")).cast("array<string>"), ",").alias("who"))
+    i = model.indicators(spark, sf_dir).filter(chosen).groupBy("kit_id").agg(F.array_join(found, ",").alias("found"))
+    a = model.kit_actors(spark, sf_dir).filter(chosen).groupBy("kit_id").agg(F.array_join(F.array_sort(F.collect_list("actor_id")).cast("array<string>"), ",").alias("who"))
     return ours.join(i, "kit_id", "left").join(a, "kit_id", "left")
 
 
@@ -428,6 +443,15 @@ def kit_tree_ancestors(spark, sf_dir):
     return graph.ancestors(k, k.filter("kit_id % 97 = 5"), 5)
 
 
+@query("kit_tree_ancestors_whole", with_views("kits").replace("with ", "with recursive ", 1) + """
+    , up as (select kit_id, parent_kit_id as ancestor, 1 as depth from kits where parent_kit_id is not null
+      union all select u.kit_id, k.parent_kit_id, depth + 1 from up u join kits k on k.kit_id = u.ancestor where depth < 5 and k.parent_kit_id is not null)
+    select kit_id, ancestor, depth from up""")
+def kit_tree_ancestors_whole(spark, sf_dir):
+    k = model.kits(spark, sf_dir)
+    return graph.ancestors(k, k, 5)
+
+
 @query("deletion_preview", with_views("kits", "indicators", "kit_actors", "kit_victims").replace("with ", "with recursive ", 1) + """
     , tree as (select kit_id from kits where kit_id = 3 union all select k.kit_id from tree t join kits k on k.parent_kit_id = t.kit_id)
     select (select count(*) from tree) as kits, (select count(*) from indicators where kit_id in (select kit_id from tree)) as indicators,
@@ -472,6 +496,13 @@ def pair_score_components(spark, sf_dir):
     return shared_indicator_scores(model.indicators(spark, sf_dir), weights, 8, F.col("kit_id") % 50 == 1)
 
 
+@query("pair_score_components_whole")
+def pair_score_components_whole(spark, sf_dir):
+    from lurescope.operators.scoring import shared_indicator_scores
+
+    return shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8)
+
+
 @query("entity_ranking", with_views("indicators", "kit_actors") + """
     , k as (select distinct kit_id, type, value, case type when 'R' then 30 when 'A' then 15 else 8 end as weight from indicators),
     p as (select a.kit_id as a, b.kit_id as b, least(40, sum(a.weight)) as score from k a join k b on a.type = b.type and a.value = b.value and a.kit_id <> b.kit_id where a.kit_id % 500 = 1 group by all),
@@ -484,6 +515,14 @@ def entity_ranking(spark, sf_dir):
     return rank_entities(pairs, model.kit_actors(spark, sf_dir), "actor_id")
 
 
+@query("entity_ranking_whole")
+def entity_ranking_whole(spark, sf_dir):
+    from lurescope.operators.scoring import rank_entities, shared_indicator_scores
+
+    pairs = shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8, ordered=False)
+    return rank_entities(pairs, model.kit_actors(spark, sf_dir), "actor_id")
+
+
 @query("rules_scan_counts", "select rule, count(*) as pages from (select unnest(list_filter([case when contains(html, '<script') and contains(html, 'track(') then 'tracker' end, case when regexp_matches(lower(html), '<div class=\"ad\">') then 'advert' end, case when contains(html, '%%%') or contains(html, '$$$') then 'junk' end], lambda x: x is not null)) as rule from pages) group by 1")
 def rules_scan_counts(spark, sf_dir):
     from lurescope.operators.rules import parse_rules, scan
