@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import re
 import uuid
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,13 +36,14 @@ LEET = str.maketrans("013457@$", "oieastas")
 CONTEXT = 8
 #: Labelled rows of each label that are learned from.
 PER_LABEL = 3000
-#: Terms of the lexicon, and the least number of documents that speak for one.
-MOST_TERMS, LEAST_DOCS = 150, 3
+#: The least number of documents that speak for a term.
+LEAST_DOCS = 3
 #: Least log-likelihood ratio of a term: about one in fifty thousand by chance.
 CLEAR = 18.0
 STEM_FROM, STEM_TO = 4, 9
 CACHE_WORDS = 300_000
-_ODD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09)
+#: Share of two texts' words that makes them near copies.
+NEAR = 0.75
 FEATURES = 9
 
 
@@ -138,16 +138,28 @@ def tokens(text: str | None) -> list[str]:
 
 
 def distinct_rows(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
-    """Rows without near copies of earlier ones, which would make chance words look like terms."""
-    seen: set[tuple] = set()
-    out = []
-    for toks, y in rows:
-        own = {zlib.crc32(t.encode()) for t in toks}
-        low = [min((h * odd & 0xFFFFFFFF for h in own), default=0) for odd in _ODD]
-        bands = [(i, low[i], low[i + 1]) for i in range(0, len(low), 2)]
-        if not any(b in seen for b in bands):
-            out.append((toks, y))
-        seen.update(bands)
+    """Rows without near copies of kept ones, which would make chance words look like terms.
+
+    A near copy shares at least NEAR of the two sets' words. Sets that do share one of
+    their rarest words, which alone are looked up; each pair met is then compared in full.
+    """
+    sets = [set(toks) for toks, _ in rows]
+    often = Counter(t for own in sets for t in own)
+    holders: dict[str, list[int]] = {}
+    out, blank = [], False
+    for i, own in enumerate(sets):
+        if not own:
+            if not blank:
+                out.append(rows[i])
+            blank = True
+            continue
+        rare = sorted(own, key=lambda t: (often[t], t))[: len(own) - math.ceil(NEAR * len(own)) + 1]
+        met = {j for t in rare for j in holders.get(t, ()) if NEAR * len(own) <= len(sets[j]) <= len(own) / NEAR}
+        if any(both >= NEAR * (len(own) + len(sets[j]) - both) for j in met for both in (len(own & sets[j]),)):
+            continue
+        out.append(rows[i])
+        for t in rare:
+            holders.setdefault(t, []).append(i)
     return out
 
 
@@ -189,8 +201,6 @@ def learn_lexicon(rows: list[tuple[list[str], int]]) -> list[tuple[str, bool, fl
     kept: dict[str, tuple[bool, float]] = {}
     # The clearest first; of terms as clear as each other the longest, so that a stem is as long as its words allow.
     for t in sorted(found, key=lambda t: (-round(found[t][0], 6), -len(t), t)):
-        if len(kept) >= MOST_TERMS:
-            break
         if any(t.startswith(k) or k.startswith(t) for k in kept):
             continue
         _, a, b = found[t]

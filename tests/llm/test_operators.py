@@ -280,6 +280,19 @@ def test_automaton_finds_what_edit_distance_says():
         assert automaton.match(w) == (None if want is None else (want[2], want[0])), w
 
 
+def test_only_near_copies_are_dropped_before_learning():
+    r = random.Random(4)
+    rows = [([f"c{k}" for k in range(30)] + [f"o{r.randrange(10**6)}" for _ in range(30)], i % 2) for i in range(300)]
+    rows += [(toks[:-3] + ["x1", "x2", "x3"], y) for toks, y in rows[:40]] + [([], 0), ([], 1)]
+    assert toxicity.distinct_rows(rows) == rows[:300] + [([], 0)]
+
+
+def test_lexicon_keeps_every_clear_term():
+    terms = [chr(97 + k // 26) + chr(97 + k % 26) + "zzq" for k in range(200)]
+    rows = [([t, f"n{k}a{j}", f"n{k}b{j}"], 1) for k, t in enumerate(terms) for j in range(25)] + [([f"m{k}", f"l{k}"], 0) for k in range(9000)]
+    assert set(terms) <= {t for t, _, _ in toxicity.learn_lexicon(rows)}
+
+
 LABELS = "doc_id long, quality int, toxic int, text string"
 
 
