@@ -29,7 +29,9 @@ SEEDS = ("bastard", "clown", "disgusting", "idiot", "loser", "moron", "pathetic"
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes reported claims claimed word words term terms phrase comment commented".split())
 ADDRESS = frozenset("you your youre u ur yourself du dich dein ihr euch tu te toi vous votre ton tes tú usted ustedes vosotros eres".split())
 QUOTES = frozenset("\"'“”„«»‘’‚‹›`")
-WORD = re.compile(r"[^\W_]+|[\"“”„«»‚‹›`]")
+#: '@' and '$' stand for letters inside words and before them.
+WORD = re.compile(r"[@$]*[^\W_]+(?:[@$]+[^\W_]+)*[@$]*|[\"“”„«»‚‹›`]")
+MARKS = re.compile(r"[@$]+")
 #: Characters that stand for letters; fixed values.
 LEET = str.maketrans("013457@$", "oieastas")
 #: Words on either side of a hit that are its context.
@@ -77,7 +79,7 @@ class Automaton:
         return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
     def _limit(self) -> int:
-        return max((self.allowed(w) for w, stem in self.terms if not stem), default=0)
+        return max((self.allowed(w) for w, _ in self.terms), default=0)
 
     def _state(self, items: set[tuple[int, int, str]]) -> int:
         """Close under letters of a term that the text leaves out; the third part is a letter awaited for a swap."""
@@ -97,8 +99,8 @@ class Automaton:
             self.next.append({})
             self.sets.append(key)
             ends = [(k, e) for n, e, s in key if not s for k in self.ends[n]]
-            self.finals.append([(k, e) for k, e in ends if e <= (0 if self.terms[k][1] else self.allowed(self.terms[k][0]))])
-            self.stems.append([(k, e) for k, e in ends if self.terms[k][1] and e == 0])
+            self.finals.append([(k, e) for k, e in ends if e <= self.allowed(self.terms[k][0])])
+            self.stems.append([(k, e) for k, e in self.finals[-1] if self.terms[k][1]])
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -137,6 +139,11 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def parts(token: str) -> list[str]:
+    """What '@' and '$' divide, as in addresses and prices."""
+    return [p for p in MARKS.split(token) if p] if "@" in token or "$" in token else [token]
+
+
 def distinct_rows(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
     """Rows without near copies of kept ones, which would make chance words look like terms.
 
@@ -185,7 +192,7 @@ def learn_lexicon(rows: list[tuple[list[str], int]]) -> list[tuple[str, bool, fl
     words: tuple[Counter, Counter] = (Counter(), Counter())
     stems: tuple[Counter, Counter] = (Counter(), Counter())
     for toks, y in rows:
-        own = {t for t in toks if t[0].isalpha()}
+        own = {p for t in toks for p in parts(t) if p[0].isalpha()}
         words[y].update(own)
         stems[y].update({t[:k] for t in own for k in range(STEM_FROM, min(len(t), STEM_TO) + 1)})
 
@@ -206,7 +213,7 @@ def learn_lexicon(rows: list[tuple[list[str], int]]) -> list[tuple[str, bool, fl
         _, a, b = found[t]
         kept[t] = (words[1][t] < 0.7 * a, odds(a, b))
     for w in SEEDS:
-        if w not in kept and not any(stem and w.startswith(k) for k, (stem, _) in kept.items()):
+        if w not in kept:
             kept[w] = (False, odds(words[1][w], words[0][w]) if words[1][w] + words[0][w] >= 5 else 2.0)
     return sorted((t, stem, w) for t, (stem, w) in kept.items() if w > 0)
 
@@ -219,7 +226,7 @@ class ToxicityModel:
         # Words that only look misspelled: documents of label 0 hold them as often.
         words = (Counter(), Counter())
         for toks, y in rows:
-            words[y].update(set(toks))
+            words[y].update({p for t in toks for p in (t, *parts(t))})
         n1 = max(1, sum(y for _, y in rows))
         n0 = max(1, len(rows) - n1)
         own, automaton = {w for w, _, _ in lexicon}, Automaton([(w, stem) for w, stem, _ in lexicon])
@@ -235,11 +242,11 @@ class ToxicityModel:
         if len(known) > CACHE_WORDS:
             known.clear()
         for t in set(toks).difference(known):
-            got = automaton.match(t) if t not in self.benign else None
-            if got is None and not t.isalpha():
-                got = automaton.match(t.translate(LEET))
-                got = (got[0], got[1] + 1) if got else None
-            known[t] = got
+            # The word as it stands, what marks divide, and the letters that its signs stand for.
+            got = [m for p in dict.fromkeys((t, *parts(t))) if p not in self.benign and (m := automaton.match(p))]
+            if not got and not t.isalpha() and (m := automaton.match(t.translate(LEET))):
+                got = [(m[0], m[1] + 1)]
+            known[t] = min(got, key=lambda x: x[1], default=None)
         hits = [(i, *known[t]) for i, t in enumerate(toks) if known[t]]
         out = np.zeros(FEATURES)
         if not hits:
@@ -247,7 +254,7 @@ class ToxicityModel:
         inside = np.cumsum([t in QUOTES for t in toks]) if any(t in QUOTES for t in toks) else None
         for i, k, errors in hits:
             weight = self.lexicon[k][2] * 0.7**errors
-            near = toks[max(0, i - CONTEXT) : i] + toks[i + 1 : i + 1 + CONTEXT]
+            near = [t.strip("@$") for t in toks[max(0, i - CONTEXT) : i] + toks[i + 1 : i + 1 + CONTEXT]]
             quoted = inside is not None and inside[i] % 2 == 1 and inside[min(len(toks) - 1, i + 4 * CONTEXT)] > inside[i]
             reported = any(t in REPORTING for t in near)
             live = 0.0 if quoted and reported else 0.35 if quoted else 0.7 if reported else 1.0

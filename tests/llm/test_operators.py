@@ -293,6 +293,20 @@ def test_lexicon_keeps_every_clear_term():
     assert set(terms) <= {t for t, _, _ in toxicity.learn_lexicon(rows)}
 
 
+def test_misspelled_stems_and_signs_are_caught():
+    automaton = toxicity.Automaton([("achlich", True), ("bomente", True), ("abca", True), ("pathetic", False)])
+    for w, want in (("achlichkeit", (0, 0)), ("achlihckeit", (0, 1)), ("aclichkeit", (0, 1)), ("axhlich", (0, 1)), ("bomntes", (1, 1)), ("axhlixhkeit", None), ("abxadef", None)):
+        assert automaton.match(w) == want, w
+    model = toxicity.ToxicityModel([("pathetic", False, 2.0), ("stup", True, 2.0), ("stupid", False, 2.0), ("worthless", False, 2.0)])
+    for text in ("so p@thetic", "so w0rthle$$", "$tupid", "@stupid", "mail stupid@example.org", "p@th3tic$"):
+        assert model.features(text)[6] > 0, text
+    assert not model.features("a dollar is 1$ @ home").any()
+    # Seeds under a learned stem stay terms, so that their own misspellings hit.
+    rows = [(["stup" + x, f"n{k}"], 1) for k, x in enumerate(["or", "ore", "ors", "ide"] * 10)] + [([f"m{k}"], 0) for k in range(400)]
+    lexicon = toxicity.learn_lexicon(rows)
+    assert ("stup", True) in {(t, stem) for t, stem, _ in lexicon} and "stupid" in {t for t, _, _ in lexicon}
+
+
 LABELS = "doc_id long, quality int, toxic int, text string"
 
 
