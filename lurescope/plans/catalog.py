@@ -322,7 +322,7 @@ def ioc_phones(spark, sf_dir):
 def ioc_histogram(spark, sf_dir):
     """Indicators of all text files by line, best per file, type and value, then counted by type."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    found = lines.select("doc_id", "line", F.explode(tx.iocs(F.substring("body", 1, 100000))).alias("x")).select("doc_id", "line", "x.*")
+    found = lines.select("doc_id", "line", F.explode(tx.iocs(F.col("body"))).alias("x")).select("doc_id", "line", "x.*")
     best = rel.newest_per_key(found, ["doc_id", "type", "value"], F.desc("confidence"), F.asc("line"))
     return best.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"))
 
@@ -574,6 +574,11 @@ def page_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.visible_text(F.col("html")).alias("text"))
 
 
+@query("page_visible_text_whole", r"select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages")
+def page_visible_text_whole(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.visible_text(F.col("html"), None).alias("text"))
+
+
 @query("stream_victim_state", with_views("kit_victims") + " select victim_id, min(observed_at) as first_seen, max(observed_at) as last_seen, count(distinct kit_id) as kits from kit_victims group by 1")
 def stream_victim_state(spark, sf_dir):
     from lurescope.streaming.victims import victim_state
