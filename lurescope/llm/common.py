@@ -97,10 +97,20 @@ def in_fold(id_col: str, parts: int, part: int):
 
 
 def sample_by_class(rows: DataFrame, class_col: str, id_col: str, per_class: int, seed: int = 29) -> DataFrame:
-    """About ``per_class`` rows of each class, those whose seeded hash is smallest; all rows of a small class."""
-    n = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
+    """About ``per_class`` rows of each class, those whose seeded hash is smallest; all rows of a small class.
+
+    Counts of the HEAVY_PARTS largest classes are broadcast; rows of further ones are shuffled.
+    """
+    n = rows.filter(F.col(class_col).isNotNull()).groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
+    top = n.orderBy(F.desc("_n"), class_col).limit(HEAVY_PARTS)
+    counted = rows.join(F.broadcast(top), class_col)
+    if n.limit(HEAVY_PARTS + 1).count() > HEAVY_PARTS:
+        # Staged, so that both joins divide the classes in the same way.
+        top = stage(top, "classes")
+        rest = rows.join(F.broadcast(top), class_col, "left_anti").join(n, class_col)
+        counted = rows.join(F.broadcast(top), class_col).unionByName(rest)
     share = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    return rows.join(F.broadcast(n.orderBy(F.desc("_n")).limit(1000)), class_col).filter(share * F.col("_n") < per_class).drop("_n")
+    return counted.filter(share * F.col("_n") < per_class).drop("_n")
 
 
 def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:

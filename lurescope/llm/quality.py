@@ -59,8 +59,6 @@ def passages(text: str | None) -> np.ndarray:
             sum(map(str.isalpha, part)) / n, min(n, PASSAGE) / PASSAGE, 0.0,
         )
         seen |= own
-        if len(seen) > 100_000:
-            seen = own
     return out
 
 

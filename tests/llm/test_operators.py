@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lurescope.llm import decontam, exact_dedup, graphs, html_text, langid, mixing, near_dedup, quality, queries, secrets, toxicity
+from lurescope.llm import common, decontam, exact_dedup, graphs, html_text, langid, mixing, near_dedup, quality, queries, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, sha string, norm string, score double, size long"
 
@@ -341,6 +341,18 @@ def test_classifiers(spark, empty, which):
     assert score(df, marks.limit(0)).count() == len(rows)
 
 
+def test_every_class_is_sampled(spark):
+    rows = [(i, f"l{i % 1200}") for i in range(2400)] + [(9000 + i, "big") for i in range(500)] + [(99_999, None)]
+    got = Counter(r["lang"] for r in common.sample_by_class(spark.createDataFrame(rows, "id long, lang string"), "lang", "id", 50).collect())
+    assert {k: v for k, v in got.items() if k != "big"} == {f"l{i}": 2 for i in range(1200)} and 20 < got["big"] < 90
+
+
+def test_earlier_words_are_kept_for_the_whole_text():
+    x = quality.passages(" ".join([f"w{k}" for k in range(120_000)] + [f"w{k}" for k in range(quality.PASSAGE * 2)]))
+    repeated = quality._CLASSES + 2
+    assert x[-1, repeated] == 1.0 and x[1, repeated] == 0.0
+
+
 def test_quality_gradients():
     r = np.random.default_rng(0)
     model = quality.QualityModel()
