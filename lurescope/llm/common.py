@@ -4,22 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a key filter (4 MB, whatever the input).
-FILTER_BITS = 1 << 25
+#: Bits of a key filter: so many for each key, and between these bounds (32 MB at most).
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 28
 #: A key is heavy when it holds at least 1/HEAVY_PARTS of the rows, so there are at most HEAVY_PARTS of them.
 HEAVY_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, one is made here if driver and executors are one process;
+    a cluster without the setting is an error, as its executors could not read it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lurescope-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -51,23 +60,28 @@ def skew_safe_join(left: DataFrame, right: DataFrame, keys: list[str], weight: s
     return hot.unionByName(cold.join(right.filter(~heavy), keys, "left"))
 
 
-def key_filter(keys: DataFrame):
+def key_filter(keys: DataFrame, bits_per_key: int = BITS_PER_KEY, most: int = MOST_BITS):
     """A function of a long column that is true for every ``key`` of ``keys`` and false for most others.
 
-    A bitmap of fixed size is what driver and tasks get; where keys are so many that it
-    fills up, more rows pass it, which costs time and loses nothing.
+    A bitmap is what driver and tasks get. It has ``bits_per_key`` bits for each key and
+    ``most`` at most; where keys are so many that it fills up, more rows pass, which
+    costs time and loses nothing.
     """
     spark = keys.sparkSession
-    word = F.shiftrightunsigned(F.pmod(F.col("key"), F.lit(FILTER_BITS)), 5)
-    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 31 as int))")
-    words = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    wanted = keys.count() * bits_per_key
+    size = LEAST_BITS
+    while size < min(wanted, most):
+        size *= 2
+    word = F.shiftrightunsigned(F.pmod(F.col("key"), F.lit(size)), 5).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(key, {size}) & 31 as int))")
+    bits = np.zeros(size >> 5, dtype=np.uint32)
+    words = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
     seen = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def may_be(key: pd.Series) -> pd.Series:
-        at = np.mod(key.to_numpy(np.int64), FILTER_BITS)
+        at = np.mod(key.to_numpy(np.int64), size)
         return pd.Series((seen.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
 
     return may_be
@@ -78,19 +92,55 @@ def key_of(sha: str, bits: int = 60):
     return F.shiftrightunsigned(F.conv(F.substring(sha, 1, 15), 16, 10).cast("long"), 60 - bits)
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that outlives a task in its Python worker, for what one model needs again and again."""
+def worker_cache(name: str | None) -> dict:
+    """A dict that outlives a task in its Python worker, for what one model needs again and again.
+
+    A worker holds one model's at a time; a task that needs none passes null, so that
+    what an earlier operator held is given back.
+    """
     import sys
     import types
 
     module = sys.modules.setdefault("_lurescope_worker_cache", types.ModuleType("_lurescope_worker_cache"))
     held = module.__dict__.setdefault("held", {})
     if name not in held:
-        held.clear()  # one model at a time
+        if held:
+            held.clear()  # one model at a time
+            give_back()
+        if name is None:
+            return {}
         held[name] = {}
     return held[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def shipped(spark: SparkSession, model) -> Callable:
+    """A function that gives a worker ``model``; it is sent by value, so workers need no installed copy of the package."""
+    sent, name = spark.sparkContext.broadcast(cloudpickle.dumps(model)), uuid.uuid4().hex
+
+    def get():
+        import pickle
+
+        held = worker_cache(name)
+        if "model" not in held:
+            held["model"] = pickle.loads(sent.value)
+        return held["model"]
+
+    return get
+
+
 def in_fold(id_col: str, parts: int, part: int):
     """Whether crc32 of an id's text leaves ``part``; a null id does not."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))

@@ -10,23 +10,26 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import in_fold, sample_by_class, small_batches, worker_cache
+from lurescope.llm.common import in_fold, sample_by_class, shipped, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The vocabulary's mark of a word's start.
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: A longer run of letters is scored in parts of so many.
-LONGEST = 64
-#: Words whose likelihoods a worker keeps.
-CACHE_WORDS = 500_000
+#: Characters such as superscripts, fractions and number forms are alphanumeric, but neither digits nor letters.
+_NO_LETTERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NO_LETTERS)}]+")
+#: Words of so many letters are summed in plain floating point, unless that is too small, and are kept by a worker.
+SHORT = 64
+#: Longer runs of letters are learned from in parts of so many, whose likelihood plain floats hold; they are scored whole.
+LEARNED = 32
+#: Letters of the words whose likelihoods a worker keeps, and the least likelihood that plain floats hold well.
+CACHE_LETTERS, TINY = 1_000_000, 1e-250
 #: Probability of a letter that no piece has, and what an unseen piece counts.
 FLOOR, UNSEEN = 1e-7, 0.02
 
@@ -70,7 +73,11 @@ def lattice(trie: dict, word: str) -> list[tuple[int, int, int]]:
 
 def learn(words: Counter, pieces: list[str], trie: dict, rounds: int = 4) -> np.ndarray:
     """Piece probabilities of one language by EM over the words' lattices."""
-    arcs = [(lattice(trie, MARK + w), len(w) + 1, c) for w, c in words.items()]
+    runs: Counter = Counter()
+    for w, c in words.items():
+        for i in range(0, len(w), LEARNED):
+            runs[w[i : i + LEARNED]] += c
+    arcs = [(lattice(trie, MARK + w), len(w) + 1, c) for w, c in runs.items()]
     counts = np.zeros(len(pieces))
     for lat, _, c in arcs:
         for i, j, p in lat:
@@ -93,17 +100,16 @@ def learn(words: Counter, pieces: list[str], trie: dict, rounds: int = 4) -> np.
     return (counts + UNSEEN) / (counts.sum() + UNSEEN * len(pieces))
 
 
-def chunks(text: str | None) -> list[str]:
-    """A text's words in lower case, the longest ones in parts."""
-    words = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > LONGEST for w in words):
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+def words_of(text: str | None) -> list[str]:
+    """A text's runs of letters in lower case."""
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def word_likelihoods(word: str, trie: dict, probs: list[tuple[float, ...]], none: tuple[float, ...]) -> list[float]:
     """Log-likelihood of a word in each language, over all segmentations."""
-    word = MARK + word
+    if len(word) > SHORT:
+        return long_likelihoods(word, trie, probs)
+    marked, word = word, MARK + word
     n = len(word)
     forward: list = [None] * (n + 1)
     forward[0] = none
@@ -120,7 +126,35 @@ def word_likelihoods(word: str, trie: dict, probs: list[tuple[float, ...]], none
                 _reach(forward, j + 1, at, probs[p])
             elif j == i:
                 _reach(forward, i + 1, at, probs[-1])
-    return [math.log(max(x, 1e-300)) for x in forward[n]]
+    return [math.log(x) for x in forward[n]] if min(forward[n], default=1.0) > TINY else long_likelihoods(marked, trie, probs)
+
+
+def long_likelihoods(word: str, trie: dict, probs: list[tuple[float, ...]]) -> list[float]:
+    """The same for a word of any length: columns that no piece can reach any more are dropped, and small sums are scaled up."""
+    word, width = MARK + word, len(probs[-1])
+    ahead: deque[list[float] | None] = deque([[1.0] * width])
+    scale = [0.0] * width
+    for i in range(len(word)):
+        at, node = ahead.popleft(), trie
+        for k, x in enumerate(at):
+            if x < 1e-100:
+                at[k] *= 1e100
+                scale[k] -= 100 * math.log(10.0)
+                for column in ahead:
+                    if column is not None:
+                        column[k] *= 1e100
+        for j in range(i, len(word)):
+            node = node.get(word[j])
+            p = None if node is None else node.get("")
+            q = probs[p] if p is not None else probs[-1] if j == i else None
+            if q is not None:
+                while len(ahead) <= j - i:
+                    ahead.append(None)
+                got = ahead[j - i]
+                ahead[j - i] = [x * y for x, y in zip(at, q, strict=True)] if got is None else [z + x * y for z, x, y in zip(got, at, q, strict=True)]
+            if node is None:
+                break
+    return [math.log(x) + s for x, s in zip(ahead[0], scale, strict=True)]
 
 
 # The common width is written out; it is the inner loop.
@@ -143,35 +177,42 @@ def _reach(forward: list, j: int, at: list[float], q: tuple[float, ...]) -> None
 
 
 class LanguageModel:
-    """Languages, a trie of pieces and the pieces' probabilities (the last row is the floor, for -1)."""
+    """Languages, pieces and the pieces' probabilities (the last row is the floor, for -1)."""
 
     def __init__(self, langs: list[str], pieces: list[str], probs: np.ndarray) -> None:
-        self.langs, self.pieces, self.name = langs, pieces, uuid.uuid4().hex
+        self.langs, self.pieces = langs, pieces
         self.probs = np.vstack([probs, np.full((1, len(langs)), FLOOR)])
+        self.trie: dict | None = None
+
+    def _open(self) -> None:
+        """The trie, rows of probabilities that equal pieces share, and the words seen so far: made where they are used."""
+        self.trie, rows = build_trie(self.pieces), {}
+        self.rows = [rows.setdefault(r, r) for r in map(tuple, self.probs.tolist())]
+        self.at: dict[str, np.ndarray] = {}
+        self.letters = 0
+
+    def of_word(self, word: str) -> np.ndarray:
+        got = self.at.get(word)
+        if got is None:
+            got = np.array(word_likelihoods(word, self.trie, self.rows, (1.0,) * len(self.langs)))
+            if len(word) <= SHORT:
+                if self.letters > CACHE_LETTERS:
+                    self.at, self.letters = {}, 0
+                self.at[word] = got
+                self.letters += len(word)
+        return got
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        held = worker_cache(self.name)
-        if not held:
-            held.update(trie=build_trie(self.pieces), probs=[tuple(r) for r in self.probs.tolist()], at={}, table=np.zeros((CACHE_WORDS, len(self.langs))))
-        trie, probs, at, table = held["trie"], held["probs"], held["at"], held["table"]
-        one = (1.0,) * len(self.langs)
+        if self.trie is None:
+            self._open()
         langs, scores = [], []
         for text in texts:
-            words = chunks(text)
-            if not words or not self.langs:
+            counts = Counter(words_of(text))
+            if not counts or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = np.zeros(len(self.langs))
-            for start in range(0, len(words), 50_000):
-                part = words[start : start + 50_000]
-                if len(at) + len(part) > CACHE_WORDS:
-                    at.clear()
-                for w in part:
-                    if w not in at:
-                        table[len(at)] = word_likelihoods(w, trie, probs, one)
-                        at[w] = len(at)
-                total += table[[at[w] for w in part]].sum(axis=0)
+            total = np.array(list(counts.values()), dtype=float) @ np.array([self.of_word(w) for w in counts])
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1.0 / np.exp(np.minimum(0.0, total - total[best])).sum()))
@@ -183,7 +224,7 @@ def fit_languages(rows: DataFrame, text_col: str, lang_col: str, id_col: str, vo
     labelled = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     words: dict[str, Counter] = {}
     for lang, text in sample_by_class(labelled, "lang", "id", per_lang).select("lang", "text").toLocalIterator():
-        words.setdefault(lang, Counter()).update(chunks(text))
+        words.setdefault(lang, Counter()).update(words_of(text))
     pieces = load_pieces(vocabulary)
     trie = build_trie(pieces)
     langs = sorted(k for k, c in words.items() if c)
@@ -195,16 +236,18 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     """``docs`` with the predicted language and its share of the likelihood (0 to 1).
 
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the
-    language first in order. Columns of ``docs`` stay, but for ones with the new names.
+    language first in order. Repeated rows are each returned; an empty table gives an
+    empty result. Columns of ``docs`` stay, but for ones with the new names. Words of
+    any length are scored whole.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def score(text):
         import pandas as pd
 
-        langs, scores = sent.value.predict(text.tolist())
+        langs, scores = held().predict(text.tolist())
         return pd.DataFrame({"lang": langs, "score": scores})
 
     out = docs.drop(pred_col, score_col).withColumn("_got", score(F.col(text_col).cast("string")))

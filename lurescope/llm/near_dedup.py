@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import key_filter, skew_safe_join, small_batches, stage
+from lurescope.llm.common import key_filter, skew_safe_join, small_batches, stage, worker_cache
 from lurescope.llm.graphs import components
 
 SHINGLE = 5
@@ -61,12 +61,15 @@ def shingle_set(text: bytes | None, cache: dict[bytes, int]) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(cache) > 200_000:
+    if len(cache) > 100_000:
         cache.clear()
-    for w in words:
-        if w not in cache:
-            cache[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter((cache[w] for w in words), dtype=np.uint64, count=len(words))
+    fresh = {w: xxhash.xxh64_intdigest(w) for w in set(words).difference(cache)}
+    if len(fresh) <= 100_000:
+        cache.update(fresh)
+        fresh = cache
+    else:
+        fresh = {**cache, **fresh}
+    h = np.fromiter((fresh[w] for w in words), dtype=np.uint64, count=len(words))
     if len(words) < SHINGLE:
         return mix64((h * _POWERS[: len(words)]).sum(keepdims=True) + np.uint64(len(words)))
     n = len(words) - SHINGLE + 1
@@ -95,6 +98,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (of equal sets), tokens (TOKENS uint32)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         cache: dict[bytes, int] = {}
         for batch in batches:
             sizes, keys, tokens = [], [], []
@@ -236,19 +240,45 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 
 def open_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the nodes that hold several components: path, slot, part, doc, label, top, sketch.
-
-    In a node of several parts the documents of its largest component (top) stay in
-    their part and the others, which are few, visit every part.
+    """Cells of the nodes that hold several components: path, g, p, kind, doc, label, sketch.
+
+    Documents of a node's largest component need no comparison with each other; the
+    others are its guests. A node's documents are dealt into parts and its guests into
+    groups, and each group meets each part in a cell of its own, so that a task gets
+    one group and one part, however large the node. Kinds: 0 lives in the part and is
+    of the largest component, 1 lives in the part and is a guest elsewhere, 2 visits.
+    A node of one part and group is one cell without visitors.
     """
     at = nodes.join(labels.select(F.col("v").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     held = at.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("path").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.max(F.struct("n", "label")).alias("top")).filter("k > 1").select("path", "w", F.col("top.label").alias("top"))
+    mixed = held.groupBy("path").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), F.max(F.struct("n", "label")).alias("top")).filter("k > 1")
+    mixed = mixed.select("path", "w", F.col("top.label").alias("top"), (F.col("w") - F.col("top.n")).alias("guests"))
     here = skew_safe_join(at, mixed, ["path"], "w", nodes.count()).filter("w is not null")
-    parts = F.when(F.col("cnt") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("cnt") / PART)).cast("long")
-    guest = (F.col("label") != F.col("top")) & (parts > 1)
-    slots = F.when(guest, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("part"))
-    return here.select("path", F.explode(slots).alias("slot"), "part", "doc", "label", "top", "sketch")
+    parts = F.when(F.col("cnt") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("cnt") / PART)).cast("int")
+    groups = F.ceil(F.col("guests") / PART).cast("int")
+    cell = lambda g, p, kind: F.struct(g.cast("int").alias("g"), p.cast("int").alias("p"), kind.cast("int").alias("kind"))
+    guest = F.col("label") != F.col("top")
+    lives = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: cell(g, F.col("part"), guest))
+    mine = F.pmod(F.xxhash64(F.lit(1), "path", "doc"), groups)
+    visits = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: cell(mine, p, F.lit(2)))
+    alone = (parts == 1) & (groups == 1)
+    cells = F.when(alone | ~guest, lives).otherwise(F.concat(lives, visits))
+    return here.select("path", F.explode(cells).alias("c"), "doc", "label", "sketch").select("path", "c.g", "c.p", "c.kind", "doc", "label", "sketch")
+
+
+def _meetings(kind: np.ndarray, docs: np.ndarray, label: np.ndarray, sk: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a cell: each guest and the rows that it may be linked with, each pair of the node once."""
+    lives = np.flatnonzero(kind < 2)
+    come = np.flatnonzero(kind == 2)
+    here = not len(come)
+    for i in np.flatnonzero(kind == 1) if here else come:
+        ok = ((sk[lives] == sk[i]).sum(axis=1) >= least) & (label[lives] != label[i]) & ((kind[lives] == 0) | (docs[lives] > docs[i]))
+        if ok.any():
+            yield int(i), lives[ok]
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("path", "g", "p").sortWithinPartitions("path", "g", "p", "doc")
 
 
 def unsettled(rows: DataFrame) -> DataFrame:
@@ -256,19 +286,16 @@ def unsettled(rows: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[int] = set()
-        for (docs, label, top), sk in _by_node(batches, 2, ["path", "slot", "doc", "label", "top"]):
-            for i in np.flatnonzero(label != top):
-                ok = ((sk == sk[i]).sum(axis=1) >= PASS) & (label != label[i])
-                if ok.any():
-                    found.add(int(docs[i]))
-                    found.update(docs[ok].tolist())
+        for (kind, docs, label), sk in _by_node(batches, 3, ["path", "g", "p", "kind", "doc", "label"]):
+            for i, at in _meetings(kind, docs, label, sk, PASS):
+                found.add(int(docs[i]))
+                found.update(docs[at].tolist())
             if len(found) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["doc"])
                 found = set()
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["doc"])
 
-    ordered = rows.repartition("path", "slot").sortWithinPartitions("path", "slot", "doc")
-    return ordered.mapInArrow(task, "doc long").distinct()
+    return _by_cell(rows).mapInArrow(task, "doc long").distinct()
 
 
 def sharpen(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -293,50 +320,56 @@ def rest(rows: DataFrame, sharp: DataFrame, tested: DataFrame) -> DataFrame:
 
     A pair that meets in several nodes is proposed by the first of them: the paths of
     both documents tell which second steps they share, and what they share for certain
-    comes before anything later. Two documents that visit every part of a node are
-    proposed in the part of the one with the smaller id.
+    comes before anything later.
     """
     n_roots = TREES * BRANCH
     width = SHARP + 8 * (n_roots + n_roots * BRANCH)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for (node, visit, part, docs, label, top), data in _by_node(batches, 2, ["path", "slot", "node", "visit", "part", "doc", "label", "top"], "sharp", width):
+        for (node, kind, docs, label), data in _by_node(batches, 3, ["path", "g", "p", "node", "kind", "doc", "label"], "sharp", width):
             sk = data[:, :SHARP]
             ways = np.ascontiguousarray(data[:, SHARP:]).view(np.uint64)
             below, here = ways[:, n_roots:], node[:1].astype(np.int64).view(np.uint64)[0]
             second = np.flatnonzero(below[0] == here)
             first = np.flatnonzero(ways[0, :n_roots] == here)
-            for i in np.flatnonzero(label != top):
-                at = np.flatnonzero(((sk == sk[i]).sum(axis=1) >= SHARP_PASS) & (label != label[i]))
-                if not len(at):
-                    continue
+            for i, at in _meetings(kind, docs, label, sk, SHARP_PASS):
                 same = below[at] == below[i]
                 shared = np.where(same.any(axis=1), same.argmax(axis=1), n_roots * BRANCH)
                 ok = shared == second[0] if len(second) else shared // BRANCH >= first[0]
-                lower = np.where(docs[at] < docs[i], part[at], part[i])
-                ok &= (label[at] == top[at]) | (lower == visit[i])
                 found.update((int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[at[ok]])
             if len(found) > 50_000:
                 yield _pairs(list(found))
                 found = set()
         yield _pairs(list(found))
 
-    rows = rows.select("path", "slot", F.col("path").alias("node"), F.col("slot").alias("visit"), "part", "doc", "label", "top")
-    ordered = rows.join(sharp, "doc").repartition("path", "slot").sortWithinPartitions("path", "slot", "doc")
-    return ordered.mapInArrow(task, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    rows = rows.select("path", "g", "p", F.col("path").alias("node"), "kind", "doc", "label")
+    return _by_cell(rows.join(sharp, "doc")).mapInArrow(task, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are links on full sets. ``docs``: doc_id, text; only texts that some pair has are moved."""
+    """The pairs that are links on full sets. ``docs``: doc_id, text; only texts that some pair has are moved.
+
+    Documents of many pairs are given in several copies, each to FANOUT pairs or so, on either side.
+    """
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     may_be = key_filter(ends.select(F.xxhash64("id").alias("key")))
     texts = docs.filter(F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id")).filter(may_be("key")).select("doc_id", "text")
-    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FANOUT).cast("int").alias("salts"))
-    hub = texts.join(fan, texts["doc_id"] == fan["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("b"), F.lit(0).alias("side"), "text")
-    salted = skew_safe_join(pairs, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w")), ["a"], "w", pairs.count())
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("w") / FANOUT)).cast("int")
-    ray = salted.select("a", salt.alias("salt"), "b").join(texts, F.col("b") == texts["doc_id"]).select("a", "salt", "b", F.lit(1).alias("side"), "text")
+    n = pairs.count()
+
+    def dealt(pairs: DataFrame, end: str, other: str, salt: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs with a copy's number of one end's text, and those copies."""
+        many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("w"))
+        copies = F.ceil(F.col("w") / FANOUT).cast("int")
+        salted = skew_safe_join(pairs, many.filter(F.col("w") > FANOUT), [end], "w", n)
+        salted = salted.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(other), copies).cast("int"), F.lit(0))).drop("w")
+        copied = many.select(F.col(end).alias("doc_id"), copies.alias("copies")).join(texts, "doc_id")
+        return salted, copied.select(F.col("doc_id").alias(end), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(salt), "text")
+
+    pairs, hubs = dealt(pairs, "a", "b", "salt")
+    pairs, rays = dealt(pairs, "b", "a", "turn")
+    hub = hubs.select("a", "salt", F.lit(-1).cast("long").alias("b"), F.lit(0).alias("side"), "text")
+    ray = pairs.join(rays, ["b", "turn"]).select("a", "salt", "b", F.lit(1).alias("side"), "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
