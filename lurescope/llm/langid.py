@@ -21,15 +21,14 @@ from lurescope.llm.common import in_fold, sample_by_class, shipped, small_batche
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The vocabulary's mark of a word's start.
 MARK = "▁"
-#: Characters such as superscripts, fractions and number forms are alphanumeric, but neither digits nor letters.
-_NO_LETTERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{re.escape(_NO_LETTERS)}]+")
+#: Runs of letters, and of such as superscripts and number forms, which are alphanumeric but neither digits nor letters.
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of so many letters are summed in plain floating point, unless that is too small, and are kept by a worker.
 SHORT = 64
 #: Longer runs of letters are learned from in parts of so many, whose likelihood plain floats hold; they are scored whole.
 LEARNED = 32
-#: Letters of the words whose likelihoods a worker keeps, and the least likelihood that plain floats hold well.
-CACHE_LETTERS, TINY = 1_000_000, 1e-250
+#: Words whose likelihoods a worker keeps in each of two generations, and the least likelihood that plain floats hold well.
+CACHE_WORDS, TINY = 125_000, 1e-250
 #: Probability of a letter that no piece has, and what an unseen piece counts.
 FLOOR, UNSEEN = 1e-7, 0.02
 
@@ -100,9 +99,14 @@ def learn(words: Counter, pieces: list[str], trie: dict, rounds: int = 4) -> np.
     return (counts + UNSEEN) / (counts.sum() + UNSEEN * len(pieces))
 
 
-def words_of(text: str | None) -> list[str]:
-    """A text's runs of letters in lower case."""
-    return LETTERS.findall(text.lower()) if text else []
+def words_of(text: str | None) -> Counter:
+    """A text's runs of letters in lower case, with their numbers."""
+    found = Counter(LETTERS.findall(text.lower()) if text else ())
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
 def word_likelihoods(word: str, trie: dict, probs: list[tuple[float, ...]], none: tuple[float, ...]) -> list[float]:
@@ -185,34 +189,45 @@ class LanguageModel:
         self.trie: dict | None = None
 
     def _open(self) -> None:
-        """The trie, rows of probabilities that equal pieces share, and the words seen so far: made where they are used."""
+        """The trie, rows of probabilities that equal pieces share, and room for words: made where they are used."""
         self.trie, rows = build_trie(self.pieces), {}
         self.rows = [rows.setdefault(r, r) for r in map(tuple, self.probs.tolist())]
-        self.at: dict[str, np.ndarray] = {}
-        self.letters = 0
-
-    def of_word(self, word: str) -> np.ndarray:
-        got = self.at.get(word)
-        if got is None:
-            got = np.array(word_likelihoods(word, self.trie, self.rows, (1.0,) * len(self.langs)))
-            if len(word) <= SHORT:
-                if self.letters > CACHE_LETTERS:
-                    self.at, self.letters = {}, 0
-                self.at[word] = got
-                self.letters += len(word)
-        return got
+        self.young, self.old = self._words(), self._words()
+
+    def _words(self) -> tuple[dict[str, int], np.ndarray]:
+        return {}, np.zeros((CACHE_WORDS, len(self.langs)))
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Rows of log-likelihoods of at most CACHE_WORDS words; the words met last are kept."""
+        at, table = self.young
+        if len(at) + len(words) > CACHE_WORDS:
+            self.young, self.old = self._words(), self.young
+            at, table = self.young
+        one = (1.0,) * len(self.langs)
+        for w in words:
+            if w not in at:
+                held = self.old[0].get(w)
+                table[len(at)] = word_likelihoods(w, self.trie, self.rows, one) if held is None else self.old[1][held]
+                at[w] = len(at)
+        return table[[at[w] for w in words]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if self.trie is None:
             self._open()
         langs, scores = [], []
         for text in texts:
-            counts = Counter(words_of(text))
+            counts = words_of(text)
             if not counts or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = np.array(list(counts.values()), dtype=float) @ np.array([self.of_word(w) for w in counts])
+            words, total = list(counts), np.zeros(len(self.langs))
+            for i in range(0, len(words), 20_000):
+                part = [w for w in words[i : i + 20_000] if len(w) <= SHORT]
+                total += np.array([counts[w] for w in part], dtype=float) @ self.of_words(part)
+            for w in words:
+                if len(w) > SHORT:
+                    total += counts[w] * np.array(long_likelihoods(w, self.trie, self.rows))
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1.0 / np.exp(np.minimum(0.0, total - total[best])).sum()))
