@@ -3,20 +3,23 @@
 A page is read as a sequence of text blocks, each with its path of block-level tags
 from the root. Text length and punctuation are summed per path, set in ratio to the
 path's nodes, smoothed over neighbouring blocks and fused into one score. Paths above
-a threshold mark content; the smallest element that holds the most of their score is
-the article, and all its blocks that no boilerplate element holds are its text.
+a threshold are content; the smallest element that holds most of their text, or the
+elements named as articles, are the region, from which faint paths are left out.
+Elements that are boilerplate by their tag or role are no part of the text; class and
+id names are a prior only, which strong paths overcome. All steps take linear time.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import small_batches
+from lurescope.llm.common import small_batches, worker_cache
 
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "plaintext"}
@@ -32,189 +35,243 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-#: Words of class, id and role names that mark boilerplate.
+#: Words of class and id names that speak for boilerplate, and those that speak for content.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall"
     r"|nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|pager|toc|sidebar|side|aside|rail|widget|complementary|header|masthead|topbar|toolbar|footer|foot|bottombar|contentinfo"
     r"|share|sharing|social|related|recommend\w*|trending|popular|comments?|comment-?list|disqus|respond|replies|reply|discussion|legal|copyright|disclaimer|search|login|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
+CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|main|body|text|page)(?:$|[\s_-]|\d)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
+CDATA = re.compile(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: From a tag's name to its end, past quoted values.
+REST = re.compile(r"[^\"'>]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^\"'>]*+)*+>")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：،؟]")
 #: A path is content if its score is so large a part of the best path's.
 THRESHOLD = 0.2
+#: Paths of the region with a smaller part than this are left out; first inside named articles, then elsewhere.
+FAINT = (0.01, 0.1)
+#: What class and id names that speak for boilerplate leave of a path's score.
+PRIOR = 0.1
 
 
-class Block:
-    __slots__ = ("path", "chain", "text", "dropped")
+class Tree:
+    """Block elements in page order (0 is the page), and the text blocks in them.
 
-    def __init__(self, path: str, chain: tuple, text: str, dropped: bool) -> None:
-        self.path, self.chain, self.text, self.dropped = path, chain, text, dropped
+    Paths are numbers that equal sequences of tags share; an element that its names
+    mark as boilerplate is a step of its own kind.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.path = [0], [""], [0]
+        self.dropped, self.doubted = [False], [False]
+        self.steps: dict[tuple[int, str, bool], int] = {}
+        self.at: list[int] = []
+        self.texts: list[str] = []
+
+    def add(self, parent: int, tag: str, dropped: bool, doubted: bool) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        step = (self.path[parent], tag, doubted)
+        self.path.append(self.steps.setdefault(step, len(self.steps) + 1))
+        self.dropped.append(dropped or self.dropped[parent])
+        self.doubted.append(doubted or self.doubted[parent])
+        return len(self.tag) - 1
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag == "header" and in_article:
-        return False
-    if tag in DROPPED:
-        return True
-    if not attrs:
-        return False
-    for m in ATTR.finditer(attrs):
+def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role or being hidden, and whether its names speak for it."""
+    if tag in DROPPED and not (tag == "header" and in_article):
+        return True, False
+    doubted = False
+    for m in ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and BOILERPLATE.search(value):
-            return True
-        if name == "class" and tag == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", value, re.I):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            doubted |= bool(BOILERPLATE.search(value)) and not CONTENT.search(value)
+        if name == "class" and tag == "article":
+            doubted |= bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", value, re.I))
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, doubted
+
+
+class _Open:
+    """Open elements: name, tree element (-1 for inline ones) and where each name stands."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.element: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, element: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if element >= 0:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.element.append(element)
+
+    def cut(self, i: int) -> None:
+        while len(self.names) > i:
+            self.places[self.names.pop()].pop()
+            if self.element.pop() >= 0:
+                self.blocks.pop()
+
+    def last(self, name: str) -> int:
+        held = self.places.get(name)
+        return held[-1] if held else -1
+
+    def block(self) -> int:
+        return self.element[self.blocks[-1]] if self.blocks else 0
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. An element's number makes its chain unique, its names make its path."""
-    out: list[Block] = []
-    # Open elements: name, number, whether it or one above it is boilerplate, inline.
-    stack: list[tuple[str, int, bool, bool]] = []
+def read_page(page: str) -> Tree:
+    """The page's elements and text blocks, each byte looked at a bounded number of times."""
+    tree, open_ = Tree(), _Open()
     held: list[str] = []
-    number = 0
+    quoted, last = True, page.rfind(">")
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            names = [s for s in stack if not s[3]]
-            out.append(Block("/".join(s[0] for s in names), tuple(s[1] for s in names), text, bool(stack) and stack[-1][2]))
+            tree.at.append(open_.block())
+            tree.texts.append(text)
 
-    def pop_to(i: int) -> None:
-        if any(not s[3] for s in stack[i:]):
+    def close(i: int) -> None:
+        if open_.blocks and open_.blocks[-1] >= i:
             flush()
-        del stack[i:]
+        open_.cut(i)
 
     at, end = 0, len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
             held.append(page[at:])
             break
-        held.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                held.append(html.escape(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:]))
+        held.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            at = COMMENT.match(page, lt).end()
+            continue
+        if page.startswith("<![CDATA[", lt):
+            m = CDATA.match(page, lt)
+            held.append(html.escape(m[1]))
+            at = m.end()
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            at = page.find(">", lt) + 1
+            continue
+        m = NAME.match(page, lt)
+        if m is None:
+            held.append("<")
+            at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in VOID:
-                if tag == "br":
-                    held.append(" ")
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in INLINE or all(s[3] for s in stack[i:]):
-                        pop_to(i)
-                    else:  # an inline element that blocks outlived
-                        pass
-                    break
+        rest = REST.match(page, m.end()) if quoted else None
+        if rest is None:
+            quoted = False  # a quote that nothing closes: from here on tags end at the next bracket
+            at = page.find(">", m.end()) + 1
+        else:
+            at = rest.end()
+        tag, attrs = m[1].lower(), page[m.end() : at - 1]
+        if tag == "br":
+            held.append(" ")
+        if page[lt + 1] == "/":
+            i = open_.last(tag)
+            # An inline element that a block outlived stays as it is.
+            if i >= 0 and (tag not in INLINE or not open_.blocks or open_.blocks[-1] < i):
+                close(i)
             continue
         if tag in VOID:
-            if tag == "br":
-                held.append(" ")
-            elif tag == "hr":
+            if tag == "hr":
                 flush()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            if tag == "plaintext" or close is None:
-                at = end
-            else:
-                at = (page.find(">", close.start()) + 1) or end
+            shut = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            if tag == "plaintext" or shut is None:
+                break
+            at = (page.find(">", shut.start()) + 1) or end
             continue
-        inline = tag in INLINE
-        if not inline:
-            flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if not stack[i][3] and stack[i][0] != "p":
-                        break
-            if tag in IMPLIED:
-                ends, bound = IMPLIED[tag]
-                low = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in bound:
-                        break
-                    if stack[i][0] in ends:
-                        low = i
-                if low is not None:
-                    del stack[low:]
-        if m[3].endswith("/") and tag in ("svg", "path", "use"):
+        if tag in INLINE:
+            open_.push(tag, -1)
+            continue
+        if attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        above = stack[-1][2] if stack else False
-        within = any(s[0] in ("article", "main") for s in stack)
-        number += 1
-        stack.append((tag, number, above or _boilerplate(tag, m[3], within), inline))
+        flush()
+        if tag in CLOSES_P and open_.blocks and open_.names[open_.blocks[-1]] == "p":
+            open_.cut(open_.blocks[-1])
+        if tag in IMPLIED:
+            ends, bound = IMPLIED[tag]
+            above = max((open_.last(b) for b in bound), default=-1)
+            low = [places[bisect_right(places, above)] for e in ends if (places := open_.places.get(e)) and places[-1] > above]
+            if low:
+                open_.cut(min(low))
+        within = bool(open_.places.get("article") or open_.places.get("main"))
+        open_.push(tag, tree.add(open_.block(), tag, *_judge(tag, attrs, within)))
     flush()
-    return out
-
-
-def path_scores(blocks: list[Block]) -> dict[str, float]:
-    """Of each path: text and punctuation in ratio to its nodes, smoothed over neighbours, fused."""
-    length = np.array([len(b.text) for b in blocks], dtype=float)
-    marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], dtype=float)
-    paths: dict[str, list[int]] = {}
-    for i, b in enumerate(blocks):
-        paths.setdefault(b.path, []).append(i)
-    text_ratio, mark_ratio = np.zeros(len(blocks)), np.zeros(len(blocks))
-    for at in paths.values():
-        text_ratio[at], mark_ratio[at] = length[at].sum() / len(at), marks[at].sum() / len(at)
+    return tree
+
+
+def path_scores(path: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Of each block, its path's score: text and punctuation in ratio to the path's nodes, smoothed over neighbours, fused."""
+    _, kind = np.unique(path, return_inverse=True)
+    nodes = np.bincount(kind)
+    ratio = lambda x: (np.bincount(kind, weights=x) / nodes)[kind]
     kernel = np.array([0.25, 0.5, 0.25])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
-    fused = np.sqrt(smooth(text_ratio) * (1.0 + smooth(mark_ratio)))
-    # Text in an article weighs by its length, so that one long stretch outweighs many short ones.
-    return {p: float((fused[at]).mean() * np.log1p(length[at].sum())) for p, at in paths.items()}
+    return ratio(np.log1p(smooth(ratio(length))) * (1.0 + np.log1p(smooth(ratio(marks)))))
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by an empty line; empty if there is none."""
-    blocks = [b for b in blocks_of(page or "") if not b.dropped]
-    if not blocks:
+    tree = read_page(page or "")
+    live = [i for i, e in enumerate(tree.at) if not tree.dropped[e]]
+    if not live:
         return ""
-    scores = path_scores(blocks)
-    bar = THRESHOLD * max(scores.values())
-    weight: dict[tuple, float] = {}
-    for b in blocks:
-        if scores[b.path] >= bar:
-            for i in range(len(b.chain) + 1):
-                weight[b.chain[:i]] = weight.get(b.chain[:i], 0.0) + len(b.text)
-    named: dict[tuple, str] = {}
-    for b in blocks:
-        names = b.path.split("/") if b.path else []
-        for i in range(1, len(b.chain) + 1):
-            named.setdefault(b.chain[:i], names[i - 1])
-    whole = max(weight.values())
-    marked = [c for c in weight if named.get(c) in ("article", "main") and weight[c] >= 0.3 * whole]
-    if marked:
-        # Where the page names its article, several of them (outermost) are all content.
-        roots = [c for c in marked if not any(c != d and c[: len(d)] == d for d in marked)]
-        inner = [c for c in weight if named.get(c) == "article" and weight[c] >= 0.6 * whole]
-        roots = [max(inner, key=len)] if inner and not any(named[r] == "article" for r in roots) else roots
-    else:
-        most = [c for c, w in weight.items() if w >= 0.8 * whole]
-        leaf = {b.chain for b in blocks}
-        root = max(most, key=len)
-        while root in leaf and root and len(blocks) > 1:
-            root = root[:-1]
+    at = np.array([tree.at[i] for i in live])
+    length = np.array([len(tree.texts[i]) for i in live], dtype=float)
+    marks = np.array([len(PUNCTUATION.findall(tree.texts[i])) for i in live], dtype=float)
+    doubted = np.array(tree.doubted)[at]
+    score = path_scores(np.array(tree.path)[at], length, marks) * np.where(doubted, PRIOR, 1.0)
+    content = score >= THRESHOLD * score.max()
+
+    # Sums over subtrees: elements are numbered in page order, so children come after their parents.
+    n = len(tree.tag)
+    weight = np.bincount(at[content], weights=length[content], minlength=n).tolist()
+    last, deep, named = list(range(n)), [0] * n, [False] * n
+    for e in range(1, n):
+        deep[e] = deep[tree.parent[e]] + 1
+    for e in range(n - 1, 0, -1):
+        up = tree.parent[e]
+        weight[up] += weight[e]
+        last[up] = max(last[up], last[e])
+    whole = weight[0]
+    roots: list[int] = []
+    for e in range(1, n):
+        if tree.tag[e] in ("article", "main") and weight[e] >= 0.3 * whole:
+            named[e] = True
+            if not roots or e > last[roots[-1]]:
+                roots.append(e)
+    if roots and not any(tree.tag[r] == "article" for r in roots):
+        inner = [e for e in range(1, n) if named[e] and tree.tag[e] == "article" and weight[e] >= 0.6 * whole]
+        roots = [max(inner, key=lambda e: deep[e])] if inner else roots
+    faint = FAINT[0]
+    if not roots:
+        faint, root = FAINT[1], max((e for e in range(n) if weight[e] >= 0.8 * whole), key=lambda e: deep[e])
+        holders = set(at.tolist())
+        while root in holders and root and len(live) > 1:
+            root = tree.parent[root]
         roots = [root]
-    kept = [b for b in blocks if any(b.chain[: len(r)] == r for r in roots)]
-    if not marked:
-        kept = [b for b in kept if scores[b.path] >= 0.25 * bar]
-    return "\n\n".join(b.text for b in kept)
+    inside = np.zeros(len(live), dtype=bool)
+    for r in roots:
+        inside |= (at >= r) & (at <= last[r])
+    kept = inside & (content | (~doubted & (score >= faint * score.max())))
+    return "\n\n".join(tree.texts[i] for i, k in zip(live, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -227,6 +284,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     @F.pandas_udf("string")
     def text(page):
+        worker_cache(None)
         return page.map(main_text, na_action=None)
 
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("_html"))

@@ -5,20 +5,22 @@ payload, so each place that looks like a record is only a candidate: its task em
 where it starts and where, by its Content-Length, its successor must start. Chains are
 followed inside a split by its task; between splits, pointer jumping from the start of
 each file doubles the step each round. Candidates that no chain from a file's start
-reaches are payload.
+reaches are payload. Only then are payloads read: a split follows the one chain that
+enters it, so each byte is digested once, whatever its payloads pretend to be.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, small_batches, stage
+from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, small_batches, stage, worker_cache
 
 END = "\r\n\r\n"
 #: A record's magic with the byte before it. It has no part that is its own beginning, so a reader that
@@ -65,11 +67,16 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     out.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
+def _number(text: str) -> int | None:
+    """A length of at most 18 digits; null for anything else."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
 class Body:
     """A record's block as its bytes come: the HTTP header, then count, digest and, if wanted, bytes of the payload."""
 
     def __init__(self, length: int, http: bool, keep: bool) -> None:
-        self.left, self.head, self.keep, self.drop = length, b"" if http else None, keep, 0
+        self.left, self.head, self.keep, self.drop = length, bytearray() if http else None, keep, 0
         self.http_length: int | None = None
         self.size, self.sha, self.parts = 0, hashlib.sha256(), []
 
@@ -79,12 +86,13 @@ class Body:
         data = data[: self.left]
         self.left -= len(data)
         if self.head is not None:
+            seen = max(0, len(self.head) - 3)
             self.head += data
-            at = self.head.find(b"\r\n\r\n")
+            at = self.head.find(b"\r\n\r\n", seen)
             if at < 0:
                 return
-            data, head, self.head = self.head[at + 4 :], self.head[:at], None
-            self.http_length = int(_fields(head).get("content-length", "-1"))
+            data, head, self.head = bytes(self.head[at + 4 :]), bytes(self.head[:at]), None
+            self.http_length = _number(_fields(head).get("content-length", ""))
         self.size += len(data)
         self.sha.update(data)
         if self.keep:
@@ -105,13 +113,14 @@ def _header(piece: bytes) -> tuple[dict[str, str], int, int] | None:
     if at < 0 or not piece[:1].isdigit() or piece[1:3] != b"\r\n":
         return None
     fields = _fields(piece[:at])
-    length = fields.get("content-length", "")
-    return (fields, at + 4, int(length)) if length.isdigit() and length.isascii() else None
+    length = _number(fields.get("content-length", ""))
+    return None if length is None else (fields, at + 4, length)
 
 
 META = ["warc_type", "record_id", "target_uri", "refers_to", "header_digest", "http_length", "payload_bytes", "payload_digest", "payload"]
-CANDIDATE = "file string, block long, rel long, succ long, leave long, total long, complete boolean, warc_type string, record_id string, target_uri string, refers_to string, header_digest string, http_length long, payload_bytes long, payload_digest string, payload binary"
-KINDS = [pa.string(), *[pa.int64()] * 5, pa.bool_(), *[pa.string()] * 5, pa.int64(), pa.int64(), pa.string(), pa.binary()]
+META_TYPES = [*[pa.string()] * 5, pa.int64(), pa.int64(), pa.string(), pa.binary()]
+CANDIDATE = "file string, block long, rel long, succ long, leave long, total long"
+RECORD = "file string, offset long, succ long, complete boolean, warc_type string, record_id string, target_uri string, refers_to string, header_digest string, http_length long, payload_bytes long, payload_digest string, payload binary"
 
 
 def _meta(fields: dict[str, str], body: Body) -> list:
@@ -122,73 +131,114 @@ def _is_http(fields: dict[str, str]) -> bool:
     return fields.get("content-type", "").lower().startswith("application/http")
 
 
-def _split_candidates(file: str, block: int, pieces: Iterator[bytes], keep: bool) -> list[list]:
-    """Candidates of one split with offsets from its first piece (a magic stands before that), and a row with the split's length (rel null)."""
-    found: list[list] = []
-    waiting: list[tuple[list, dict, Body]] = []
+def _split_candidates(file: str, block: int, heads: Iterator[tuple[bytes | None, int]]) -> list[tuple]:
+    """Candidates of one split with offsets from its first piece (a magic stands before that), and a row with the split's length (rel null).
+
+    ``heads``: of each piece what may be a header, blank line included, and the piece's bytes.
+    """
+    found: list[tuple[int, int]] = []
     at, first = 0, block == 0
-    for piece in pieces:
-        start, raw = at - MAGIC, piece
-        if first:
-            start = 0
-            piece = piece[MAGIC:] if piece.startswith(b"WARC/1.") else b""
-        else:
-            for _, _, body in waiting:
-                body.feed(BETWEEN.encode())
-        for _, _, body in waiting:
-            body.feed(raw)
-        if (head := _header(piece) or _header(piece + b"\n")) is not None:
-            fields, skip, length = head
-            body = Body(length, _is_http(fields), keep)
-            body.drop = max(0, skip - len(piece))
-            body.feed(piece[skip:])
-            row = [file, block, start, start + MAGIC + skip + length + 4]
-            found.append([row, fields, body])
-            waiting.append((row, fields, body))
-        waiting = [x for x in waiting if x[2].left]
-        at, first = at + len(raw) + len(BETWEEN), False
+    for head, size in heads:
+        start = 0 if first else at - MAGIC
+        if head is not None and first:
+            head = head[MAGIC:] if head.startswith(b"WARC/1.") else None
+        if head is not None and (got := _header(head)) is not None:
+            found.append((start, start + MAGIC + got[1] + got[2] + 4))
+        at, first = at + size + len(BETWEEN), False
     leave: dict[int, int] = {}
-    out = []
-    for row, fields, body in reversed(found):
-        leave[row[2]] = leave.get(row[3], row[3])
-        out.append([*row, leave[row[2]], None, body.left == 0, *_meta(fields, body)])
-    return [[file, block, None, None, None, at, None, *[None] * len(META)], *out]
+    out: list[tuple] = [(file, block, None, None, None, at)]
+    for rel, succ in reversed(found):
+        leave[rel] = leave.get(succ, succ)
+        out.append((file, block, rel, succ, leave[rel], None))
+    return out
+
+
+def _walk_split(file: str, block: int, base: int, entry: int, pieces: Iterator[bytes], keep: bool) -> Iterator[list]:
+    """The records of one split along the chain that enters it at ``entry``; one body is open at a time."""
+    at, first, due = 0, block == 0, entry
+    now: list | None = None
+
+    def close() -> list:
+        rel, succ, fields, body = now
+        return [file, base + rel, base + succ, body.left == 0, *_meta(fields, body)]
+
+    for raw in pieces:
+        start = 0 if first else at - MAGIC
+        if now is not None and now[3].left:
+            if not first:
+                now[3].feed(BETWEEN.encode())
+            now[3].feed(raw)
+        if start == due:
+            piece = raw[MAGIC:] if first else raw
+            if now is not None:
+                yield close()
+                now = None
+            if (head := _header(piece) or _header(piece + b"\n")) is not None:
+                fields, skip, length = head
+                body = Body(length, _is_http(fields), keep)
+                body.drop = max(0, skip - len(piece))
+                body.feed(piece[skip:])
+                due = start + MAGIC + skip + length + 4
+                now = [start, due, fields, body]
+        at, first = at + len(raw) + len(BETWEEN), False
+    if now is not None:
+        yield close()
 
 
-def candidates(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
-    """What looks like a record in the archives, by split."""
+def _text(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", BETWEEN).text(path)
-    pieces = text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def _batches(rows: Iterator, n: int, kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") if isinstance(row[-1], bytes) else 0
+        if len(held) >= n or size > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """What looks like a record in the archives, by split; only what may be headers leaves the JVM."""
+    v = F.col("value")
+    may_open = ((F.substring(v, 2, 2) == "\r\n") & F.substring(v, 1, 1).between("0", "9")) | ((F.col("block") == 0) & v.startswith("WARC/1."))
+    # The last line feed of a header may have been read as the next magic's.
+    head = F.when(F.instr(v, "\r\n\r\n") > 0, F.concat(F.substring_index(v, "\r\n\r\n", 1), F.lit("\r\n\r\n"))).when(v.endswith("\r\n\r"), F.concat(v, F.lit("\n")))
+    heads = _text(spark, path).select("file", "block", F.when(may_open, head).cast("binary").alias("head"), F.octet_length(v).cast("long").alias("size"))
+    names = [c.split()[0] for c in CANDIDATE.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
+
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("value"), strict=True)
-
-        from itertools import groupby
+                yield from zip(*(b.column(c).to_pylist() for c in ("file", "block", "head", "size")), strict=True)
 
         for (file, block), group in groupby(rows(), key=lambda r: r[:2]):
-            got = _split_candidates(file, block, (r[2].as_py() for r in group), keep)
-            for i in range(0, len(got), 1000):
-                cols = zip(*got[i : i + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], [c.split()[0] for c in CANDIDATE.split(", ")])
+            got = _split_candidates(file, block, ((r[2], r[3]) for r in group))
+            yield from _batches(iter(got), 5000, [pa.string(), *[pa.int64()] * 5], names)
 
-    return pieces.mapInArrow(task, CANDIDATE)
+    return heads.mapInArrow(task, CANDIDATE)
 
 
 def read_warc(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
     """The records of the archives in ``path``: file, offset, header fields, payload's bytes and digest.
 
     ``keep`` returns payloads too. ``complete`` is false for a record that its file
-    ends within. An empty folder of archives gives no records.
+    ends within. An empty folder of archives gives no records; a length that is no
+    number of at most 18 digits opens no record.
     """
     small_batches(spark)
-    looks = stage(candidates(spark, path, keep), "warc-candidates")
+    looks = stage(candidates(spark, path), "warc-candidates")
     ends = looks.filter("rel is null").select("file", "block", "total")
     base = (F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base")
     splits = stage(ends.select("file", "block", "total", base), "warc-splits")
     placed = looks.filter("rel is not null").drop("total").join(splits.drop("total"), ["file", "block"])
-    places = stage(placed.select("file", "block", (F.col("base") + F.col("rel")).alias("at"), (F.col("base") + F.col("leave")).alias("leave")), "warc-chains")
+    places = stage(placed.select("file", "block", "base", "rel", (F.col("base") + F.col("rel")).alias("at"), (F.col("base") + F.col("leave")).alias("leave")), "warc-chains")
 
     # Only places that some chain leads to, or a file's start, can be where a split is entered.
     entries = places.select("file", F.col("leave").alias("at")).union(splits.select("file", F.lit(0).cast("long").alias("at"))).distinct()
@@ -202,32 +252,33 @@ def read_warc(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
         reached = stage(reached.union(reached.join(jump, ["file", "at"]).select("file", F.col("leave").alias("at"))).distinct(), "warc-reached")
         jump = stage(jump.join(ahead, ["file", "leave"]).select("file", "at", F.col("then").alias("leave")), "warc-jumps")
         step *= 2
-    starts = reached.join(places.select("file", "block", "at"), ["file", "at"])
-    schema = "file string, block long, rel long"
-
-    def walk(key: tuple, chain: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        after = dict(zip(chain["rel"], chain["succ"], strict=True))
-        kept = []
-        for at in sorted(start["rel"]):
-            while at in after:
-                kept.append(at)
-                at = after.pop(at)
-        return pd.DataFrame({"file": key[0], "block": key[1], "rel": pd.Series(kept, dtype="int64")})
-
-    by_split = looks.filter("rel is not null").select("file", "block", "rel", "succ").groupBy("file", "block")
-    entered = starts.join(splits, ["file", "block"]).select("file", "block", (F.col("at") - F.col("base")).alias("rel")).groupBy("file", "block")
-    kept = by_split.cogroup(entered).applyInPandas(walk, schema)
-    records = placed.join(kept, ["file", "block", "rel"])
-    records = records.select("file", (F.col("base") + F.col("rel")).alias("offset"), (F.col("base") + F.col("succ")).alias("succ"), "complete", *META)
-    records = stage(records, "warc-records")
+    # One row of three numbers for each split of the archives: what a chain enters, and where.
+    start = reached.join(places, ["file", "at"]).select(F.xxhash64("file").alias("_f"), "block", "base", F.col("rel").alias("entry"))
+    pieces = _text(spark, path).withColumn("_f", F.xxhash64("file"))
+    pieces = pieces.join(F.broadcast(start), ["_f", "block"])
+    pieces = pieces.select("file", "block", "base", "entry", F.col("value").cast("binary").alias("value"))
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *META_TYPES]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in ("file", "block", "base", "entry")), b.column("value"), strict=True)
+
+        def records() -> Iterator[list]:
+            for (file, block, base, entry), group in groupby(rows(), key=lambda r: r[:4]):
+                yield from _walk_split(file, block, base, entry, (r[4].as_py() for r in group), keep)
+
+        yield from _batches(records(), 2000, kinds, names)
+
+    records = stage(pieces.mapInArrow(task, RECORD), "warc-records")
     open_ = records.filter("not complete").select("file", "offset", "succ")
     return records if open_.isEmpty() else _complete(spark, path, records, splits, open_, keep)
 
 
 def _complete(spark: SparkSession, path: str, records: DataFrame, splits: DataFrame, open_: DataFrame, keep: bool) -> DataFrame:
     """Records that go on in later splits behind a magic of their payload; one for each split at most."""
-    text = spark.read.option("lineSep", BETWEEN).text(path)
-    pieces = text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = _text(spark, path).withColumn("value", F.col("value").cast("binary"))
     need = open_.select("file", F.col("offset").alias("from"), F.col("succ").alias("to"))
     spread = splits.join(need, "file").filter("base < to and base + total > from").select("file", "block", "base", "from", "to")
     seq = pieces.withColumn("seq", F.monotonically_increasing_id())
@@ -258,7 +309,12 @@ def page_of(urn: Column) -> Column:
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
-    """Write ``pages`` as archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` as archives, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    One row per row of ``pages``: null and empty html have 0 bytes, rows that repeat are
+    each returned, a null id stays null. An empty table gives an empty result; further
+    columns are ignored. Payloads may hold anything, records of this format too.
+    """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_pages(pages, path, **columns)

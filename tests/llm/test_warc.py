@@ -57,3 +57,35 @@ def test_payloads_come_back_whole(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_hostile_lengths_and_many_fake_headers(spark):
+    fake = "\r\n\r\nWARC/1.1\r\nContent-Length: {}\r\n\r\n"
+    many = "".join(fake.format(10**9) + "z" * 20 for _ in range(4000))
+    bodies = [fake.format("9" * 25), fake.format("9" * 5000), fake.format("9" * 18), fake.format("-5"), fake.format("²"), "HTTP/1.1 200 OK\r\nContent-Length: abc\r\n\r\n" * 3, many]
+    rows = [(i, "u", b, None, None) for i, b in enumerate(bodies)]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES).coalesce(1))
+    got = [tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=repr) == expected(rows)
+
+
+def test_foreign_records_with_bad_inner_lengths():
+    for inner in (b"abc", b"9" * 5000, b""):
+        body = warc.Body(39 + len(inner), True, True)
+        body.feed(b"HTTP/1.1 200 OK\r\nContent-Length: " + inner + b"\r\n\r\nxyz")
+        assert body.http_length is None and body.payload() == b"xy" and not body.left
+
+
+def test_fake_headers_cost_linear_time():
+    import time
+
+    def took(n):
+        pieces = [b"1\r\nContent-Length: 900000000\r\n\r\n" + b"q" * 50] * n
+        began = time.perf_counter()
+        out = list(warc._walk_split("f", 5, 0, -warc.MAGIC, iter(pieces), False))
+        assert len(out) == 1 and not out[0][3]
+        assert len(warc._split_candidates("f", 5, ((p[: p.find(b"q")], len(p)) for p in pieces))) == n + 1
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(40_000) < 40 * max(took(4_000), 0.01)
