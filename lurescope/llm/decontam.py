@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import small_batches, stage
+from lurescope.llm.common import small_batches, stage, worker_cache
 
 WINDOW = 10
 #: Words in a shard of the index, about.
@@ -50,6 +50,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes], id_col: str = "doc_id",
     ids = spark.sparkContext.broadcast({w: i for i, w in enumerate(sorted(vocabulary))})
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None)
         get = ids.value.get
         names, lengths, parts = [], [], []
         held = 0
@@ -181,6 +182,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0
     n_blocks = int(size // block_bytes) + 1
+    if n_blocks > 1:
+        # Rows get a number once, by which the blocks' hits are united.
+        rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "decontam-rows")
+        docs, id_col, text_col = rows, "row", "text"
     found = None
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b)
@@ -190,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = search(index, held, vocabulary, window, slop)
         found = part if found is None else found.unionByName(part)
     if n_blocks > 1:
-        # Every pass reads the same rows in the same order, so shard and ord name the same document.
         united = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-        found = found.groupBy("shard", "ord", "doc_id", "n_words").agg(united("hits"), united("items"), united("near"))
+        found = found.groupBy(F.col("doc_id").alias("row"), "n_words").agg(united("hits"), united("items"), united("near"))
+        found = rows.select("row", F.col("id").alias("doc_id")).join(found, "row").drop("row")
     return found

@@ -3,10 +3,11 @@
 A document's key is a prefix of the SHA-256 of its text without white space. The
 directory maps the leading bits of a key to a bucket and doubles whenever a bucket
 over capacity already uses all directory bits, so a bucket is a range of keys. Only
-texts whose key occurs twice are moved: tasks first collapse equal texts among their
-own rows, then the owner of a bucket walks its keys in order, chains the different
-texts of a key and compares their bytes. The chains are written as the index and
-probed with all documents.
+texts whose key may occur twice are moved: tasks first collapse equal texts among
+their own rows, look their bucket up in the directory, and the bucket's owner walks
+its keys in order, chains the different texts of a key and compares their bytes. A key
+that holds many rows is chained by several tasks before its owner does. The chains are
+written as the index; documents are probed through the directory.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import key_filter, key_of, new_path, skew_safe_join, small_batches, stage
+from lurescope.llm.common import HEAVY_PARTS, key_filter, key_of, new_path, skew_safe_join, small_batches, stage, worker_cache
 
 #: Characters that equality ignores: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Tasks that chain a key of many rows before its owner does.
+HELPERS = 64
 
 
 def build_directory(counts: dict[int, int], max_depth: int, capacity: int) -> tuple[int, np.ndarray, list[tuple[int, int, int, int]]]:
@@ -61,7 +64,7 @@ def _better(a: tuple, b: tuple) -> tuple:
     return a if rank(a) <= rank(b) else b
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 60, capacity: int = 1 << 16, max_depth: int = 16, flush_bytes: int = 32 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 60, capacity: int = 1 << 12, max_depth: int = 16, flush_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty, and all empty texts are equal. Of equal texts the one
@@ -85,13 +88,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # At most 2**max_depth rows reach the driver, whatever the input.
     prefix = F.shiftrightunsigned("key", hash_bits - max_depth)
     counts = {r[0]: r[1] for r in keys.groupBy(prefix.alias("p")).count().collect()}
-    depth, directory, buckets = build_directory(counts, max_depth, capacity)
-    spark.createDataFrame(buckets, "bucket long, depth int, prefix long, n_keys long").write.parquet(new_path(spark, "dedup-directory"))
+    depth, directory, _ = build_directory(counts, max_depth, capacity)
+    path = new_path(spark, "dedup-directory")
+    spark.createDataFrame(list(enumerate(directory.tolist())), "prefix long, bucket long").coalesce(1).write.parquet(path)
+    places = spark.read.schema("prefix long, bucket long").parquet(path)
+
+    def looked_up(df: DataFrame) -> DataFrame:
+        """``df`` with the bucket that the directory names for its key."""
+        return df.withColumn("prefix", F.shiftrightunsigned("key", hash_bits - depth)).join(F.broadcast(places), "prefix").drop("prefix")
 
     may_repeat = key_filter(keys)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of equal texts among a task's rows, one row with their number and the best of them."""
+        worker_cache(None)
         held: dict[tuple[int, bytes], list] = {}
         size = 0
 
@@ -99,46 +109,53 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             items = list(held.items())
             for i in range(0, len(items), 512):
                 part = items[i : i + 512]
-                key = np.array([k for (k, _), _ in part], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(directory[key >> (hash_bits - depth)]), pa.array(key), pa.array([b for (_, b), _ in part], pa.binary()), *(pa.array([v[j] for _, v in part], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64())))],
-                    ["bucket", "key", "norm", "sha", "cnt", "best_n", "best_id"],
-                )
+                columns = [[v[0] for _, v in part], [k for (k, _), _ in part], [b for (_, b), _ in part], *([v[j] for _, v in part] for j in range(1, 5))]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "key", "norm", "sha", "cnt", "best_n", "best_id"])
 
         for batch in batches:
             norms = batch.column("norm").cast(pa.binary())
-            for i, (doc, n, sha, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "sha", "key")), strict=True)):
+            for i, (doc, n, sha, key, bucket) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "sha", "key", "bucket")), strict=True)):
                 body = norms[i].as_py()
                 if (at := held.get((key, body))) is None:
-                    held[key, body] = [sha, 1, n, doc]
+                    held[key, body] = [bucket, sha, 1, n, doc]
                     size += len(body) + 300
                 else:
-                    at[1] += 1
-                    at[2], at[3] = _better((at[2], at[3]), (n, doc))
+                    at[2] += 1
+                    at[3], at[4] = _better((at[3], at[4]), (n, doc))
             if size > flush_bytes:
                 yield from out()
                 held, size = {}, 0
         yield from out()
 
+    names = ["bucket", "key", "chain", "norm", "sha", "cnt", "best_n", "best_id", "hot"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    linked = "bucket long, key long, chain int, norm binary, sha string, cnt long, best_n long, best_id long, hot boolean"
+
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key: chain the key's different texts, comparing bytes."""
+        """Rows come by key: chain the key's different texts, comparing bytes. Hot ones keep their bytes for the owner."""
         current, chain, done = None, [], []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) or [()] * 6
-            names = ["bucket", "key", "chain", "sha", "group_size", "keep_id"]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            cols = list(zip(*done, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-        def close() -> None:
-            done.extend((current[0], current[1], i, sha, cnt, doc) for i, (_, sha, cnt, _, doc) in enumerate(chain) if cnt > 1)
+        def close() -> int:
+            hot = current is not None and current[2]
+            done.extend((*current[:2], i, body if hot else None, *rest, hot) for i, (body, *rest) in enumerate(chain) if hot or rest[1] > 1)
+            return sum(len(x[0]) for x in chain) if hot else 0
 
         for batch in batches:
             bodies = batch.column("norm")
-            for i, (b, k, sha, cnt, n, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "sha", "cnt", "best_n", "best_id")), strict=True)):
-                if (b, k) != current:
-                    close()
-                    current, chain = (b, k), []
+            for i, (b, k, sha, cnt, n, doc, hot) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "sha", "cnt", "best_n", "best_id", "hot")), strict=True)):
+                if (b, k, hot) != current:
+                    size += close()
+                    current, chain = (b, k, hot), []
+                    if len(done) > 5000 or size > 8 << 20:
+                        yield out()
+                        done.clear()
+                        size = 0
                 body = bodies[i].as_py()
                 for link in chain:
                     if link[0] == body:
@@ -147,17 +164,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         break
                 else:
                     chain.append([body, sha, cnt, n, doc])
-            if len(done) > 5000:
-                yield out()
-                done.clear()
         close()
         yield out()
 
-    moved = rows.filter(may_repeat("key")).mapInArrow(collapse, "bucket long, key long, norm binary, sha string, cnt long, best_n long, best_id long")
-    owned = moved.repartition("bucket", F.pmod("key", F.lit(64))).sortWithinPartitions("bucket", "key")
-    index = stage(owned.mapInArrow(chains, "bucket long, key long, chain int, sha string, group_size long, keep_id long"), "dedup-index")
-    groups = index.select("key", "sha", "group_size", "keep_id")
-    found = skew_safe_join(entries, groups, ["key", "sha"], "group_size", total)
+    moved = looked_up(rows.filter(may_repeat("key"))).mapInArrow(collapse, "bucket long, key long, norm binary, sha string, cnt long, best_n long, best_id long")
+    # At most HEAVY_PARTS keys hold so many rows.
+    hot = keys.filter(F.col("n_rows") * F.lit(HEAVY_PARTS) >= F.lit(max(total, HEAVY_PARTS * HELPERS))).select("key", F.lit(True).alias("hot"))
+    moved = moved.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    moved = moved.withColumn("salt", F.when(F.col("hot"), F.pmod(F.spark_partition_id(), F.lit(HELPERS))).otherwise(F.lit(0)))
+    first = stage(moved.repartition("bucket", "salt").sortWithinPartitions("bucket", "key").mapInArrow(chains, linked), "dedup-chains")
+    owned = first.filter("hot").drop("chain").withColumn("hot", F.lit(False)).repartition("key").sortWithinPartitions("bucket", "key")
+    index = first.filter("not hot").unionByName(owned.mapInArrow(chains, linked))
+    groups = stage(index.select("bucket", "key", "sha", F.col("cnt").alias("group_size"), F.col("best_id").alias("keep_id")), "dedup-index")
+
+    probed = entries.withColumn("may", may_repeat("key"))
+    found = skew_safe_join(looked_up(probed.filter("may").drop("may")), groups, ["bucket", "key", "sha"], "group_size", total).drop("bucket")
+    alone = probed.filter("not may").drop("may").withColumn("group_size", F.lit(None).cast("long")).withColumn("keep_id", F.lit(None).cast("long"))
+    found = found.select(*alone.columns).unionByName(alone)
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -237,8 +237,11 @@ def main_text(page: str | None) -> str:
     length = np.array([len(tree.texts[i]) for i in live], dtype=float)
     marks = np.array([len(PUNCTUATION.findall(tree.texts[i])) for i in live], dtype=float)
     doubted = np.array(tree.doubted)[at]
-    score = path_scores(np.array(tree.path)[at], length, marks) * np.where(doubted, PRIOR, 1.0)
-    content = score >= THRESHOLD * score.max()
+    path = np.array(tree.path)[at]
+    score = path_scores(path, length, marks)
+    # Paths compete by their score and all the text they have.
+    strong = score * np.log1p(np.bincount(path, weights=length)[path]) * np.where(doubted, PRIOR, 1.0)
+    content = strong >= THRESHOLD * strong.max()
 
     # Sums over subtrees: elements are numbered in page order, so children come after their parents.
     n = len(tree.tag)

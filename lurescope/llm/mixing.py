@@ -21,8 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target stops at so many times its source's size.
 MOST = 3
-#: Words that the knapsack may be asked to fill (its table has so many entries).
-KNAPSACK = 1 << 17
 
 
 def targets_of(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -88,15 +86,18 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float, seed: int) -> tupl
     live = sizes > 0
     more[live] = (counts[live] * budget) // total
     left = budget - int((sizes * more).sum())
+    # The shares leave less than one document of each size, so what one pass over the sizes
+    # leaves is no more than the longest document, and so is the knapsack's table.
+    longest = int(sizes.max())
     order = np.random.default_rng(seed).permutation(np.flatnonzero(live))
     for i in order:
-        if left <= KNAPSACK:
+        if left <= longest:
             break
-        if more[i] < counts[i] and sizes[i] <= left:
+        if more[i] < counts[i]:
             more[i] += 1
             left -= int(sizes[i])
     order = order[(sizes[order] <= left) & (more[order] < counts[order])]
-    more[order] += knapsack(sizes[order], counts[order] - more[order], min(left, KNAPSACK))
+    more[order] += knapsack(sizes[order], counts[order] - more[order], left)
     return times, more
 
 

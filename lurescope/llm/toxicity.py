@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.common import in_fold, sample_by_class, small_batches, worker_cache
+from lurescope.llm.common import in_fold, sample_by_class, shipped, small_batches
 
 #: Common English terms of abuse, in the lexicon whatever the labels say.
 SEEDS = ("bastard", "clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -43,7 +42,9 @@ LEAST_DOCS = 3
 #: Least log-likelihood ratio of a term: about one in fifty thousand by chance.
 CLEAR = 18.0
 STEM_FROM, STEM_TO = 4, 9
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: States of the automata that are kept; they are made anew beyond that.
+MOST_STATES = 20_000
 #: Share of two texts' words that makes them near copies.
 NEAR = 0.75
 FEATURES = 9
@@ -66,6 +67,9 @@ class Automaton:
                     self.ends.append([])
                 node = self.kids[node][c]
             self.ends[node].append(k)
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.next: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -124,6 +128,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The term that ``word`` is or begins with, and the errors: fewest errors, then the longest term."""
+        if len(self.next) > MOST_STATES:
+            self._forget()
         state, found = self.start, []
         for c in word:
             state = self.next[state].get(c) if c in self.next[state] else self._step(state, c)
@@ -222,7 +228,7 @@ class ToxicityModel:
     """A lexicon and the weights of a logistic model over the sums of hits."""
 
     def __init__(self, lexicon: list[tuple[str, bool, float]], rows: list[tuple[list[str], int]] = ()) -> None:
-        self.lexicon, self.name = lexicon, uuid.uuid4().hex
+        self.lexicon, self.held = lexicon, None
         # Words that only look misspelled: documents of label 0 hold them as often.
         words = (Counter(), Counter())
         for toks, y in rows:
@@ -233,11 +239,13 @@ class ToxicityModel:
         self.benign = {w for w, b in words[0].items() if w not in own and words[1][w] * n0 <= 2 * b * n1 and (got := automaton.match(w)) and got[1]}
         self.weights, self.bias = np.zeros(FEATURES), -2.0
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": None}
+
     def features(self, text: str | None) -> np.ndarray:
-        held = worker_cache(self.name)
-        if not held:
-            held.update(automaton=Automaton([(w, s) for w, s, _ in self.lexicon]), words={})
-        automaton, known = held["automaton"], held["words"]
+        if self.held is None:
+            self.held = Automaton([(w, s) for w, s, _ in self.lexicon]), {}
+        automaton, known = self.held
         toks = tokens(text)
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -311,11 +319,11 @@ def fit_toxicity(rows: DataFrame) -> ToxicityModel:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; texts without a hit, null and empty ones get the score of no hits."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.scores(text.tolist()))
+        return pd.Series(held().scores(text.tolist()))
 
     return docs.drop(score_col).withColumn(score_col, score(F.col(text_col).cast("string")))
 
@@ -335,7 +343,12 @@ def labelled(docs: DataFrame, marks: DataFrame, per_label: int) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted per row of ``docs``."""
+    """doc_id, held_out, score, predicted per row of ``docs``.
+
+    Null, empty and blank texts have no hit and get the score of none; rows that repeat
+    are each returned with equal scores; an empty table gives an empty result. Without
+    labels the fixed terms alone speak. Other columns are ignored.
+    """
     model = fit_toxicity(labelled(docs, label_marks(labels, "toxic"), PER_LABEL))
     out = score_toxicity(docs.select("doc_id", "text", in_fold("doc_id", 4, 2).alias("held_out")), model)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= bar).cast("int").alias("predicted"))

@@ -356,13 +356,15 @@ def test_earlier_words_are_kept_for_the_whole_text():
 def test_quality_gradients():
     r = np.random.default_rng(0)
     model = quality.QualityModel()
-    x, starts, y = r.normal(size=(7, quality.N_FEATURES)), np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
+    bags, y = quality.Bags([" ".join(f"w{k % 9}" for k in range(150)), None, "One two THREE. " * 50]), np.array([1.0, 0.0, 1.0])
+    bags.x = r.normal(size=bags.x.shape)
     weight = np.ones(3)
-    loss = lambda: -(y * np.log(p := model.forward(x, starts)["prob"]) + (1 - y) * np.log(1 - p)).sum()
-    grads = model.gradients(model.forward(x, starts), starts, y, weight)
+    loss = lambda: -(y * np.log(p := model.forward(bags)["prob"]) + (1 - y) * np.log(1 - p)).sum()
+    grads = model.gradients(model.forward(bags), bags, y, weight)
     for k, g in grads.items():
         flat = model.p[k].reshape(-1)
-        for i in r.choice(flat.size, min(4, flat.size), replace=False):
+        used = np.flatnonzero(np.abs(g.reshape(-1)) > 1e-9)
+        for i in r.choice(used, min(4, used.size), replace=False):
             old = flat[i]
             flat[i] = old + 1e-5
             up = loss()
@@ -392,3 +394,111 @@ def test_html_text(spark):
 def test_each_operator_is_registered_once():
     names = [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES]
     assert sorted(names) == list(range(1, 11))
+
+
+def brute_path_scores(paths, lengths, marks):
+    n = len(paths)
+    mean = lambda x: [sum(v for v, p in zip(x, paths) if p == q) / paths.count(q) for q in paths]
+    near = lambda x: [0.25 * x[max(0, i - 1)] + 0.5 * x[i] + 0.25 * x[min(n - 1, i + 1)] for i in range(n)]
+    fused = [np.log1p(a) * (1 + np.log1p(b)) for a, b in zip(near(mean(lengths)), near(mean(marks)), strict=True)]
+    return mean(fused)
+
+
+def test_path_scores():
+    r = random.Random(4)
+    for n in (1, 2, 30):
+        paths, lengths, marks = ([r.randint(0, k) for _ in range(n)] for k in (3, 500, 9))
+        got = html_text.path_scores(np.array(paths), np.array(lengths, dtype=float), np.array(marks, dtype=float))
+        assert got == pytest.approx(brute_path_scores(paths, lengths, marks))
+
+
+def test_scores_decide_over_class_names():
+    long = "Long article, with text. And more, of it. " * 8
+    page = lambda name: f"<body><h1>A title</h1><div class='{name}'><p>{long}</p><p>{long}</p></div><div class='ad'>Buy this, now.</div></body>"
+    for name in ("content legal", "legal", "x"):
+        got = html_text.main_text(page(name))
+        assert got.count("Long article") == 16 and "Buy" not in got
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    pages = ["<a " * 20_000, '<a "' * 20_000 + ">", "<div>w " * 3_000, "<div>" * 3_000 + "<li>x" * 3_000, "<b>" + "<div>" * 5_000 + "</b>" * 20_000, "<i>" * 9_000 + "<p>x</p>" * 3_000, "<!--" * 20_000, "</div>" * 20_000]
+    began = time.perf_counter()
+    for p in pages:
+        html_text.main_text(p)
+    assert time.perf_counter() - began < 20
+
+
+def test_long_words_are_scored_whole():
+    pieces = ["a", "ab", "b", "▁", "▁a"]
+    trie = langid.build_trie(pieces)
+    rows = [(p, p / 2) for p in (0.1, 0.2, 0.1, 0.1, 0.2, langid.FLOOR)]
+    for n in (1, 20, 32, 33, 64, 65, 400):
+        word = ("ab" * n)[:n]
+        got = langid.long_likelihoods(word, trie, rows)
+        assert langid.word_likelihoods(word, trie, rows, (1.0, 1.0)) == pytest.approx(got)
+        # Forward sums in exact integers: probabilities in units of 1e-7, position by position.
+        whole = langid.MARK + word
+        forward = [1] + [0] * len(whole)
+        for i in range(len(whole)):
+            for j in range(i + 1, min(len(whole), i + 2) + 1):
+                p = pieces.index(whole[i:j]) if whole[i:j] in pieces else None
+                if p is not None:
+                    forward[j] += forward[i] * int(round(rows[p][0] * 10**7)) * (10**7) ** (j - i - 1)
+        assert got[0] == pytest.approx(_log(forward[-1]) - len(whole) * np.log(1e7))
+    unknown = langid.word_likelihoods("z" * 64, trie, rows, (1.0, 1.0))
+    assert unknown[0] == pytest.approx(np.log(0.1) + 64 * np.log(langid.FLOOR))
+
+
+def _log(n):
+    bits = max(0, n.bit_length() - 900)
+    return float(np.log(float(n >> bits)) + bits * np.log(2))
+
+
+def test_numbers_that_are_no_letters_are_und():
+    model = langid.LanguageModel(["a", "b"], ["a", "▁"], np.full((2, 2), 0.5))
+    assert model.predict(["½ ² ① Ⅷ 3_", None, ""]) == (["und"] * 3, [0.0] * 3)
+    assert model.predict(["a²", "1 a"])[0] == ["a", "a"]  # ties go to the first
+
+
+def test_a_gap_beyond_a_thousand_long_documents_closes_to_the_word():
+    sizes, counts = np.arange(1, 2001), np.full(2000, 3)
+    total = int((sizes * counts).sum())
+    for target in (total / 3 + 17, total * 0.77):
+        times, more = mixing.fit(sizes, counts, float(target), 3)
+        assert times * total + int((sizes * more).sum()) == round(target) and (more <= counts).all()
+
+
+def test_automaton_states_are_bounded():
+    automaton = toxicity.Automaton([("pathetic", False), ("worthless", False)])
+    r = random.Random(2)
+    old, toxicity.MOST_STATES = toxicity.MOST_STATES, 50
+    try:
+        for _ in range(300):
+            automaton.match("".join(r.choice("pathetic") for _ in range(9)))
+            assert len(automaton.next) < 200
+        assert automaton.match("pathetlc") == (0, 1)
+    finally:
+        toxicity.MOST_STATES = old
+
+
+def test_key_filter_grows_with_its_keys(spark):
+    keys = spark.range(0, 200_000, 2).select(F.col("id").alias("key"))
+    may_be = common.key_filter(keys)
+    got = spark.range(200_000).select("id", may_be("id").alias("m"))
+    assert got.filter("id % 2 = 0 and not m").count() == 0 and got.filter("id % 2 = 1 and m").count() < 20_000
+
+
+def test_one_template_many_documents(spark):
+    r = random.Random(8)
+    base = [f"t{k}" for k in range(100)]
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for k in range(0, 100, 12):
+            w[k] = f"u{r.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    rows.append((700, rows[3][1] + " tail"))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, _, c in brute_near(rows)}

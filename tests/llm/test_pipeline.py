@@ -54,3 +54,21 @@ def test_stages(spark, tmp_path):
                 assert r["taken"] == r["copies"] * r["size"] > 0 and abs(r["target"] - want[r["source"]]) < 1e-6
     got = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i: r["taken"] for i, r in after.items()}
+
+
+def test_null_and_repeated_ids_are_rows_like_others(spark, tmp_path):
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    leak = "one secret question of the benchmark that nobody else has written"
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "s"), (1, "alpha beta gamma delta epsilon zeta", "s"), (1, "a different text under the same id", "s"), (None, "alpha beta gamma delta epsilon zeta", "s"),
+            (None, long, "t"), (None, long + " more", "t"), (5, f"before {leak} after", "s"), (5, "kept though it shares an id", None), (None, f"x {leak}", "s"), (6, None, "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, "k") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _n string")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = lambda f: sorted(((r["doc_id"], r["text"]) for r in f(spark, docs, str(tmp_path)).collect()), key=repr)
+    plain = sorted(((i, t) for i, t, _ in rows), key=repr)
+    gone = kept(corpus_pipeline.exact)
+    assert len(gone) == len(plain) - 2 and set(gone) <= set(plain) and sum("alpha" in (t or "") for _, t in gone) == 1
+    gone = kept(corpus_pipeline.near)
+    assert len(gone) == len(plain) - 3 and sum("worda" in (t or "") for _, t in gone) == 1
+    assert kept(corpus_pipeline.decontamination) == [r for r in plain if leak not in (r[1] or "")]
+    mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path)).collect()
+    assert any(r["doc_id"] is None for r in mixed) and all(r["taken"] == r["copies"] * r["size"] > 0 for r in mixed)
