@@ -22,31 +22,31 @@ OWN_KEYS = 1 << 62
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of its own for each row in ``_row``: the id, or a number from OWN_KEYS on where it is null or repeats.
+    """``docs`` with a key of its own for each row in ``__row``: the id, or a number from OWN_KEYS on where it is null or repeats.
 
     Only where there are such rows are documents written again, so that the numbers stay.
     """
-    shared = stage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("doc_id is null or _n > 1"), "shared-ids")
-    rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
-    total = shared.agg(F.sum("_n")).first()[0]
+    shared = stage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__shared")).filter("doc_id is null or __shared > 1"), "shared-ids")
+    rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    total = shared.agg(F.sum("__shared")).first()[0]
     if not total:
         return rows
     may_be = key_filter(shared.select(F.xxhash64(F.col("doc_id").cast("long")).alias("key")))
-    flagged = rows.withColumn("_may", may_be(F.xxhash64("_row")) | F.col("_row").isNull())
-    repeated = skew_safe_join(flagged.filter("_may and doc_id is not null").drop("_may"), shared.filter("doc_id is not null"), ["doc_id"], "_n", total)
+    flagged = rows.withColumn("__may", may_be(F.xxhash64("__row")) | F.col("__row").isNull())
+    repeated = skew_safe_join(flagged.filter("__may and doc_id is not null").drop("__may"), shared.filter("doc_id is not null"), ["doc_id"], "__shared", total)
     own = F.lit(OWN_KEYS) + F.monotonically_increasing_id()
-    out = flagged.filter("not _may").drop("_may").withColumn("_n", F.lit(None).cast("long")).unionByName(repeated)
-    out = out.unionByName(flagged.filter("doc_id is null").drop("_may").withColumn("_n", F.lit(1).cast("long")))
-    return stage(out.withColumn("_row", F.when(F.col("_n").isNull(), F.col("_row")).otherwise(own)).drop("_n"), "keyed")
+    out = flagged.filter("not __may").drop("__may").withColumn("__shared", F.lit(None).cast("long")).unionByName(repeated)
+    out = out.unionByName(flagged.filter("doc_id is null").drop("__may").withColumn("__shared", F.lit(1).cast("long")))
+    return stage(out.withColumn("__row", F.when(F.col("__shared").isNull(), F.col("__row")).otherwise(own)).drop("__shared"), "keyed")
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Keyed ``docs`` without the rows of ``dropped`` (doc_id: row keys); only rows that may be dropped are shuffled."""
-    dropped = stage(dropped.select(F.col("doc_id").alias("_row")), "dropped")
-    may_be = key_filter(dropped.select(F.xxhash64("_row").alias("key")))
-    flagged = docs.withColumn("_may", may_be(F.xxhash64("_row")))
-    sure = flagged.filter("not _may").drop("_may", "_row")
-    return sure.unionByName(flagged.filter("_may").drop("_may").join(dropped, "_row", "left_anti").select(*sure.columns))
+    dropped = stage(dropped.select(F.col("doc_id").alias("__row")), "dropped")
+    may_be = key_filter(dropped.select(F.xxhash64("__row").alias("key")))
+    flagged = docs.withColumn("__may", may_be(F.xxhash64("__row")))
+    sure = flagged.filter("not __may").drop("__may", "__row")
+    return sure.unionByName(flagged.filter("__may").drop("__may").join(dropped, "__row", "left_anti").select(*sure.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.filter(~in_fold("doc_id", 5, 0)), "text", "lang", "doc_id")
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = predict_languages(docs, model, "text", "_lang", "_score")
-    return found.filter("_lang <> 'und' and _score >= 0.5").drop("_lang", "_score")
+    found = predict_languages(docs, model, "text", "__lang", "__score")
+    return found.filter("__lang <> 'und' and __score >= 0.5").drop("__lang", "__score")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     which come last, one stays too. An empty table stays empty, further columns stay.
     """
     rows = keyed(docs)
-    return without(rows, exact_dedup(rows, "_row").filter("not kept"))
+    return without(rows, exact_dedup(rows, "__row").filter("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,13 +79,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     like others. An empty table stays empty, further columns stay.
     """
     rows = keyed(docs)
-    return without(rows, near_dedup(rows, "_row").filter("not kept"))
+    return without(rows, near_dedup(rows, "__row").filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a benchmark window go, whatever their ids. Texts without words stay, and all rows where the benchmark is empty."""
     rows = keyed(docs)
-    return without(rows, decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row").filter("size(hits) > 0"))
+    return without(rows, decontaminate(rows, table(spark, sf_dir, "benchmark"), "__row").filter("size(hits) > 0"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,8 +94,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are not taken. A null source is a source. An empty table gives an empty result.
     """
     rows = keyed(docs).drop("size", "source_size", "target", "copies", "taken")
-    taken = mix(rows, "_row").filter("copies > 0").select(F.col("doc_id").alias("_row"), "size", "source_size", "target", "copies", "taken")
-    return rows.join(taken, "_row").drop("_row")
+    taken = mix(rows, "__row").filter("copies > 0").select(F.col("doc_id").alias("__row"), "size", "source_size", "target", "copies", "taken")
+    return rows.join(taken, "__row").drop("__row")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontamination), ("mixing", mixing)]
