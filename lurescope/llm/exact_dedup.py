@@ -64,7 +64,7 @@ def _better(a: tuple, b: tuple) -> tuple:
     return a if rank(a) <= rank(b) else b
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 60, capacity: int = 1 << 12, max_depth: int = 16, flush_bytes: int = 32 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 60, capacity: int = 64, max_depth: int = 16, flush_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty, and all empty texts are equal. Of equal texts the one
