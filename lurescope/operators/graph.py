@@ -1,23 +1,31 @@
-"""Trees of kits by recursive SQL."""
+"""Trees of kits, level by level, and connected components."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurescope.session import shared_folder
+
 
-def descendants(kits: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(root, kit_id, depth) of each root's subtree, the root itself at depth 0. ``roots`` has kit_id."""
-    spark = kits.sparkSession
-    kits.select("kit_id", "parent_kit_id").createOrReplaceTempView("_tree_kits")
-    roots.select("kit_id").createOrReplaceTempView("_tree_roots")
-    return spark.sql(f"""
-        with recursive tree(root, kit_id, depth) max recursion level {max_depth + 1} as (
-          select kit_id, kit_id, 0 from _tree_roots
-          union all
-          select t.root, k.kit_id, t.depth + 1 from tree t join _tree_kits k on k.parent_kit_id = t.kit_id
-        ) select * from tree
-    """)
+def descendants(kits: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, kit_id, depth) of each root's subtree, the root itself at depth 0. ``roots`` has kit_id.
+
+    Each level is checkpointed and joined with the table of parents, to whatever depth
+    there is. A kit that a cycle leads to again is not visited again.
+    """
+    _checkpoint_dir(kits)
+    down = kits.filter("parent_kit_id is not null").select(F.col("parent_kit_id").alias("up"), F.col("kit_id").alias("child"))
+    levels = [roots.select(F.col("kit_id").alias("root"), "kit_id", F.lit(0).alias("depth")).distinct().checkpoint()]
+    while True:
+        below = levels[-1].join(down, F.col("kit_id") == F.col("up")).select("root", F.col("child").alias("kit_id"), F.lit(len(levels)).alias("depth"))
+        seen = reduce(DataFrame.unionByName, levels).select("root", "kit_id")
+        level = below.distinct().join(seen, ["root", "kit_id"], "left_anti").checkpoint()
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
 
 
 def ancestors(kits: DataFrame, subjects: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -48,8 +56,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _checkpoint_dir(df: DataFrame) -> None:
     """Checkpoints go to spark.checkpoint.dir; a folder of our own only where that is unset."""
-    import tempfile
-
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lurescope-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))

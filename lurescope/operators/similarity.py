@@ -16,18 +16,78 @@ TRIPLETS = ((2, (0, 1, 2)), (3, (0, 1, 3)), (5, (0, 2, 3)), (7, (0, 2, 4)), (11,
 LOW = 0x5555555555555555
 
 
+#: Rows of a part; a tile is two parts at most.
+PART = 1024
+
+
+def in_tiles(rows: DataFrame, block: Column, blocks: int, ring: bool, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` (distinct by ``key``) dealt to tiles, in which each pair of one block or of neighbouring blocks meets once.
+
+    Blocks are dealt into parts of about PART rows and tiles hold two parts, so no task
+    gets more, however many rows a block has. Adds i, j (the tile) and side (0 or 1; in
+    a tile of one part all rows have side 0). With ``ring`` the last block is a
+    neighbour of the first.
+    """
+    rows = rows.select(*columns, block.cast("int").alias("b"))
+    parts = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))  # at most ``blocks`` rows
+    after = F.pmod(F.col("b") + 1, F.lit(blocks)) if ring else F.col("b") + 1
+    before = F.pmod(F.col("b") - 1, F.lit(blocks)) if ring else F.col("b") - 1
+    named = lambda prefix: F.broadcast(parts.select(F.col("b").alias(f"{prefix}b"), F.col("parts").alias(f"{prefix}parts")))
+    placed = rows.join(F.broadcast(parts), "b").withColumn("p", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    unit = lambda b, p: F.concat_ws(".", b.cast("string"), p.cast("string"))
+    tile = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(upto(F.col("parts")), lambda q: F.when(q < F.col("p"), tile(unit(F.col("b"), q), unit(F.col("b"), F.col("p")), 1)).otherwise(tile(unit(F.col("b"), F.col("p")), unit(F.col("b"), q), 0)))
+    tiles = own
+    if blocks > 1:
+        placed = placed.withColumn("next_b", after).withColumn("last_b", before).join(named("next_"), "next_b", "left").join(named("last_"), "last_b", "left")
+        nothing = F.array().cast("array<struct<i:string,j:string,side:int>>")
+        forth = F.when(F.col("next_parts").isNull(), nothing).otherwise(F.transform(upto(F.coalesce("next_parts", F.lit(1))), lambda q: tile(unit(F.col("b"), F.col("p")), unit(F.col("next_b"), q), 0)))
+        back = F.when(F.col("last_parts").isNull(), nothing).otherwise(F.transform(upto(F.coalesce("last_parts", F.lit(1))), lambda q: tile(unit(F.col("last_b"), q), unit(F.col("b"), F.col("p")), 1)))
+        tiles = F.concat(own, forth, back)
+    return placed.select(*columns, F.explode(tiles).alias("t")).select(*columns, "t.*")
+
+
+def _near(left: pd.DataFrame, right: pd.DataFrame | None, most: int, distances) -> pd.DataFrame:
+    """Pairs of a tile's two sides, or of its only one, at distance ``most`` or less."""
+    d = distances(left, left if right is None else right)
+    i, j = np.nonzero((d <= most) if right is not None else np.triu(d <= most, 1))
+    other = left if right is None else right
+    a, b = left["id"].to_numpy()[i], other["id"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[i, j].astype(np.int32)})
+
+
+def tile_pairs(tiles: DataFrame, most: int, distances, id_type: str = "long") -> DataFrame:
+    """a, b, distance of the rows (id and what ``distances`` needs) that meet in a tile."""
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            return _near(left, None, most, distances)
+        return _near(left, right, most, distances)
+
+    return tiles.groupBy("i", "j").applyInPandas(task, f"a {id_type}, b {id_type}, distance int")
+
+
 def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
     """Pairs a < b of 64-bit hashes that differ in ``most`` bits or fewer.
 
-    Of most + 1 bands of bits one at least is equal, so bands are joined, not all pairs.
+    No band of a 64-bit hash prunes at radii like 16, so all pairs are compared, in
+    tiles; equal hashes are one row there, and are expanded with their ids afterwards.
     """
-    bands = most + 1
-    cuts = [i * 64 // bands for i in range(bands + 1)]
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(hash_col), 64 - cuts[i + 1]), 64 - cuts[i + 1] + cuts[i]).alias("bits")) for i in range(bands)))
-    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(keys).alias("k")).select("id", "h", "k.*")
-    other = rows.select(F.col("id").alias("b"), F.col("h").alias("g"), "band", "bits")
-    near = rows.join(other, ["band", "bits"]).filter("id < b").withColumn("distance", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).cast("int"))
-    return near.filter(F.col("distance") <= most).select(F.col("id").alias("a"), "b", "distance").distinct()
+    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h")).filter("h is not null")
+    classes = rows.select("h").distinct().withColumn("id", F.col("h"))
+
+    def bits(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+        g, h = x["h"].to_numpy(np.int64).view(np.uint64), y["h"].to_numpy(np.int64).view(np.uint64)
+        return np.bitwise_count(g[:, None] ^ h[None, :])
+
+    near = tile_pairs(in_tiles(classes, F.lit(0), 1, False, "h", ["id", "h"]), most, bits)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    both = both.unionByName(classes.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("distance")))
+    left, right = rows.select(F.col("h").alias("g"), F.col("id").alias("x")), rows.select("h", F.col("id").alias("y"))
+    out = left.join(both, F.col("g") == F.col("a")).select("x", F.col("b").alias("h"), "distance").join(right, "h").filter("x < y")
+    return out.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
 
 
 def permutation(seed: int = 1) -> np.ndarray:
@@ -110,19 +170,57 @@ def tlsh_distance(a: Column, b: Column) -> Column:
     return out + (a["c"] != b["c"]).cast("int")
 
 
+def _bytes_of(digests: pd.Series) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(d[2:] for d in digests)), dtype=np.uint8).reshape(-1, 35)
+
+
+def _body_table() -> np.ndarray:
+    """Distance of two bytes of a body: its four two-bit codes differ by 1, 2 or, from end to end, 6."""
+    codes = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
+    d = np.abs(codes[:, None, :] - codes[None, :, :])
+    return np.where(d == 3, 6, d).sum(axis=2).astype(np.int16)
+
+
+def tlsh_distances(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    """Distances of all digests (column d) of ``x`` to all of ``y``."""
+    a, b, table = _bytes_of(x["d"]), _bytes_of(y["d"]), _body_table()
+    out = np.zeros((len(a), len(b)), dtype=np.int16)
+    for k in range(3, 35):
+        out += table[a[:, k]][:, b[:, k]]
+
+    def ring(p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
+        d = np.abs(p.astype(np.int16)[:, None] - q.astype(np.int16)[None, :])
+        return np.minimum(d, size - d)
+
+    swap = lambda v: (v & 15) << 4 | v >> 4
+    d = ring(swap(a[:, 1]), swap(b[:, 1]), 256)
+    out += np.where(d <= 1, d, d * 12)
+    for shift in (0, 4):
+        d = ring(a[:, 2] >> shift & 15, b[:, 2] >> shift & 15, 16)
+        out += np.where(d <= 1, d, (d - 1) * 12)
+    return out + (a[:, 0][:, None] != b[:, 0][None, :])
+
+
 def tlsh_pairs(df: DataFrame, id_col: str, digest_col: str, most: int) -> DataFrame:
     """Pairs a < b of digests at distance ``most`` or less.
 
-    The header alone bounds the distance: lengths more than max(1, most / 12) apart and
-    ratios more than 1 + most / 12 apart are too far, so those ranges are joined.
+    Lengths more than max(1, most / 12) apart are too far by themselves, so blocks of
+    lengths of that width meet their neighbours only, in tiles. Equal digests are one
+    row there, and are expanded with their ids afterwards.
     """
-    rows = df.select(F.col(id_col).alias("id"), tlsh_parts(F.col(digest_col)).alias("t"))
-    dl, dq = max(1, most // 12), min(7, 1 + most // 12)
-    around = lambda c, d, size: F.transform(F.sequence(F.lit(-d), F.lit(d)), lambda i: F.pmod(c + i, F.lit(size)))
-    left = rows.select("id", "t", F.explode(around(F.col("t.l"), dl, 256)).alias("l")).select("id", "t", "l", F.explode(around(F.col("t.q1"), dq, 16)).alias("q1"))
-    right = rows.select(F.col("id").alias("b"), F.col("t").alias("u"), F.col("t.l").alias("l"), F.col("t.q1").alias("q1"))
-    near = left.join(right, ["l", "q1"]).filter("id < b").withColumn("distance", tlsh_distance(F.col("t"), F.col("u")))
-    return near.filter(F.col("distance") <= most).select(F.col("id").alias("a"), "b", "distance")
+    rows = df.select(F.col(id_col).alias("id"), F.upper(digest_col).alias("d")).filter("d is not null")
+    classes = rows.groupBy("d").agg(F.min("id").alias("id"))
+    length = tlsh_parts(F.col("d"))["l"]
+    blocks = 256 // max(1, most // 12)
+    block = F.least(F.floor(length / max(1, most // 12)), F.lit(blocks - 1)) if blocks > 2 else F.lit(0)
+    tiles = in_tiles(classes, block, blocks if blocks > 2 else 1, True, "d", ["id", "d"])
+    near = tile_pairs(tiles, most, tlsh_distances, dict(classes.dtypes)["id"])
+    # From one id for each digest to all.
+    ids = rows.join(classes.withColumnRenamed("id", "rep"), "d").select("rep", "id")
+    same = ids.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct().withColumn("distance", F.lit(0))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(same)
+    left, right = ids.select(F.col("rep").alias("a"), F.col("id").alias("x")), ids.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    return both.join(left, "a").join(right, "b").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
 
 
 def token_pairs(df: DataFrame, id_col: str, group_col: str, tokens_col: str, least: float) -> DataFrame:

@@ -62,16 +62,16 @@ def campaign_stats_counts(spark, sf_dir):
         F.countDistinct("kit_id").alias("kits"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
     actors = c.join(model.kit_actors(spark, sf_dir), "kit_id").groupBy("campaign_id").agg(F.countDistinct("actor_id").alias("actors"))
     hurt = c.join(model.kit_victims(spark, sf_dir), "kit_id").groupBy("campaign_id").agg(F.countDistinct("victim_id").alias("victims"))
-    return base.join(actors, "campaign_id").join(hurt, "campaign_id")
+    return base.join(actors, "campaign_id", "left").join(hurt, "campaign_id", "left").fillna(0, ["actors", "victims"])
 
 
 @query(
     "actor_stats_counts",
-    with_views("indicators", "campaign_kits", "kit_actors", "kits") + """
+    with_views("indicators", "campaign_kits", "kit_actors", "kits", "actors") + """
     , i as (select actor_id, count(*) as indicators from indicators group by 1)
-    select actor_id, count(distinct a.kit_id) as kits, count(distinct c.campaign_id) as campaigns, any_value(i.indicators) as indicators,
+    select actor_id, count(distinct a.kit_id) as kits, count(distinct c.campaign_id) as campaigns, coalesce(any_value(i.indicators), 0) as indicators,
            min(k.created_at) as first_seen, max(k.created_at) as last_seen
-    from kit_actors a join kits k using (kit_id) join campaign_kits c using (kit_id) join i using (actor_id) group by actor_id""",
+    from actors left join kit_actors a using (actor_id) left join kits k using (kit_id) left join campaign_kits c using (kit_id) left join i using (actor_id) group by actor_id""",
 )
 def actor_stats_counts(spark, sf_dir):
     a = model.kit_actors(spark, sf_dir)
@@ -79,20 +79,21 @@ def actor_stats_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("kits"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
     campaigns = a.join(model.campaign_kits(spark, sf_dir), "kit_id").groupBy("actor_id").agg(F.countDistinct("campaign_id").alias("campaigns"))
     found = model.indicators(spark, sf_dir).groupBy("actor_id").agg(F.count(F.lit(1)).alias("indicators"))
-    return base.join(campaigns, "actor_id").join(found, "actor_id")
+    out = model.actors(spark, sf_dir).select("actor_id").join(base, "actor_id", "left").join(campaigns, "actor_id", "left").join(found, "actor_id", "left")
+    return out.fillna(0, ["kits", "campaigns", "indicators"])
 
 
 @query(
     "family_stats_counts",
     with_views("family_kits", "kits", "kit_actors") + """
     select family, count(distinct f.kit_id) as kits, count(distinct k.file_size) as distinct_sizes, count(distinct a.actor_id) as actors, min(k.created_at) as first_seen
-    from family_kits f join kits k using (kit_id) join kit_actors a using (kit_id) group by family""",
+    from family_kits f join kits k using (kit_id) left join kit_actors a using (kit_id) group by family""",
 )
 def family_stats_counts(spark, sf_dir):
     f = model.family_kits(spark, sf_dir)
     base = f.join(model.kits(spark, sf_dir).select("kit_id", "created_at", "file_size"), "kit_id").groupBy("family").agg(
         F.count(F.lit(1)).alias("kits"), F.countDistinct("file_size").alias("distinct_sizes"), F.min("created_at").alias("first_seen"))
-    return base.join(f.join(model.kit_actors(spark, sf_dir), "kit_id").groupBy("family").agg(F.countDistinct("actor_id").alias("actors")), "family")
+    return base.join(f.join(model.kit_actors(spark, sf_dir), "kit_id").groupBy("family").agg(F.countDistinct("actor_id").alias("actors")), "family", "left").fillna(0, ["actors"])
 
 
 @query(
@@ -159,14 +160,8 @@ def campaign_victims_latest(spark, sf_dir):
     return last.join(model.victims(spark, sf_dir).select("victim_id", "email"), "victim_id")
 
 
-@query("victim_observations", with_views("kit_victims", "kits") + """
-    select victim_id, kit_id, source, observed_at, status from kit_victims left join kits using (kit_id) where victim_id % 97 = 1""")
+@query("victim_observations", with_views("kit_victims", "kits") + " select victim_id, kit_id, source, observed_at, status from kit_victims left join kits using (kit_id)")
 def victim_observations(spark, sf_dir):
-    return victim_observations_whole(spark, sf_dir).filter("victim_id % 97 = 1")
-
-
-@query("victim_observations_whole", with_views("kit_victims", "kits") + " select victim_id, kit_id, source, observed_at, status from kit_victims left join kits using (kit_id)")
-def victim_observations_whole(spark, sf_dir):
     return model.kit_victims(spark, sf_dir).join(model.kits(spark, sf_dir).select("kit_id", "status"), "kit_id", "left")
 
 
@@ -189,24 +184,17 @@ def kits_page(spark, sf_dir):
 
 
 @query("kit_with_members", with_views("kits", "indicators", "kit_actors") + """
-    , i as (select kit_id, list(type || ':' || value order by line, type, value) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
-    select kit_id, status, array_to_string(found, ',') as found, array_to_string(list_transform(who, lambda x: cast(x as varchar)), ',') as who from kits left join i using (kit_id) left join a using (kit_id) where kit_id % 1000 = 1""")
-def kit_with_members(spark, sf_dir):
-    return _with_members(spark, sf_dir, "kit_id % 1000 = 1")
-
-
-@query("kit_with_members_whole", with_views("kits", "indicators", "kit_actors") + """
     , i as (select kit_id, list(type || ':' || value order by line, type, value) as found from indicators group by 1), a as (select kit_id, list(actor_id order by actor_id) as who from kit_actors group by 1)
     select kit_id, status, array_to_string(found, ',') as found, array_to_string(list_transform(who, lambda x: cast(x as varchar)), ',') as who from kits left join i using (kit_id) left join a using (kit_id)""")
-def kit_with_members_whole(spark, sf_dir):
-    return _with_members(spark, sf_dir, "true")
+def kit_with_members(spark, sf_dir):
+    return _with_members(spark, sf_dir)
 
 
-def _with_members(spark: SparkSession, sf_dir: str, chosen: str) -> DataFrame:
-    ours = model.kits(spark, sf_dir).filter(chosen).select("kit_id", "status")
+def _with_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours = model.kits(spark, sf_dir).select("kit_id", "status")
     found = F.transform(F.array_sort(F.collect_list(F.struct("line", "type", "value"))), lambda x: F.concat(x["type"], F.lit(":"), x["value"]))
-    i = model.indicators(spark, sf_dir).filter(chosen).groupBy("kit_id").agg(F.array_join(found, ",").alias("found"))
-    a = model.kit_actors(spark, sf_dir).filter(chosen).groupBy("kit_id").agg(F.array_join(F.array_sort(F.collect_list("actor_id")).cast("array<string>"), ",").alias("who"))
+    i = model.indicators(spark, sf_dir).groupBy("kit_id").agg(F.array_join(found, ",").alias("found"))
+    a = model.kit_actors(spark, sf_dir).groupBy("kit_id").agg(F.array_join(F.array_sort(F.collect_list("actor_id")).cast("array<string>"), ",").alias("who"))
     return ours.join(i, "kit_id", "left").join(a, "kit_id", "left")
 
 
@@ -216,9 +204,9 @@ def indicators_search(spark, sf_dir):
     return rel.page(found.select("kit_id", "line", "type", "value", "confidence"), [F.desc("confidence"), "kit_id", "line"])
 
 
-@query("indicator_type_stats", with_views("indicators") + " select type, count(*) as n from indicators group by 1")
+@query("indicator_type_stats", with_views("indicators") + " select type, count(*) as n from indicators group by 1 order by n desc, type")
 def indicator_type_stats(spark, sf_dir):
-    return rel.count_by(model.indicators(spark, sf_dir), "type")
+    return rel.count_by(model.indicators(spark, sf_dir), "type").orderBy(F.desc("n"), "type")
 
 
 @query("victims_list", with_views("victims") + """
@@ -435,19 +423,10 @@ def kit_tree_descendants(spark, sf_dir):
 
 
 @query("kit_tree_ancestors", with_views("kits").replace("with ", "with recursive ", 1) + """
-    , up as (select kit_id, parent_kit_id as ancestor, 1 as depth from kits where kit_id % 97 = 5 and parent_kit_id is not null
-      union all select u.kit_id, k.parent_kit_id, depth + 1 from up u join kits k on k.kit_id = u.ancestor where depth < 5 and k.parent_kit_id is not null)
-    select kit_id, ancestor, depth from up""")
-def kit_tree_ancestors(spark, sf_dir):
-    k = model.kits(spark, sf_dir)
-    return graph.ancestors(k, k.filter("kit_id % 97 = 5"), 5)
-
-
-@query("kit_tree_ancestors_whole", with_views("kits").replace("with ", "with recursive ", 1) + """
     , up as (select kit_id, parent_kit_id as ancestor, 1 as depth from kits where parent_kit_id is not null
       union all select u.kit_id, k.parent_kit_id, depth + 1 from up u join kits k on k.kit_id = u.ancestor where depth < 5 and k.parent_kit_id is not null)
     select kit_id, ancestor, depth from up""")
-def kit_tree_ancestors_whole(spark, sf_dir):
+def kit_tree_ancestors(spark, sf_dir):
     k = model.kits(spark, sf_dir)
     return graph.ancestors(k, k, 5)
 
@@ -488,37 +467,21 @@ def range_join_resources(spark, sf_dir):
 @query("pair_score_components", with_views("indicators") + """
     , k as (select distinct kit_id, type, lower(value) as value, case type when 'R' then 30 when 'A' then 15 else 8 end as weight from indicators)
     select a.kit_id as a, b.kit_id as b, least(40, cast(sum(a.weight) as bigint)) as ioc_score, count(*) as shared from k a join k b on a.type = b.type and a.value = b.value and a.kit_id < b.kit_id
-    where a.kit_id % 50 = 1 group by all""")
+    group by all""")
 def pair_score_components(spark, sf_dir):
     from lurescope.operators.scoring import shared_indicator_scores
 
-    weights = {"R": 30, "A": 15}
-    return shared_indicator_scores(model.indicators(spark, sf_dir), weights, 8, F.col("kit_id") % 50 == 1)
-
-
-@query("pair_score_components_whole")
-def pair_score_components_whole(spark, sf_dir):
-    from lurescope.operators.scoring import shared_indicator_scores
-
     return shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8)
 
 
 @query("entity_ranking", with_views("indicators", "kit_actors") + """
     , k as (select distinct kit_id, type, value, case type when 'R' then 30 when 'A' then 15 else 8 end as weight from indicators),
-    p as (select a.kit_id as a, b.kit_id as b, least(40, sum(a.weight)) as score from k a join k b on a.type = b.type and a.value = b.value and a.kit_id <> b.kit_id where a.kit_id % 500 = 1 group by all),
+    p as (select a.kit_id as a, b.kit_id as b, least(40, sum(a.weight)) as score from k a join k b on a.type = b.type and a.value = b.value and a.kit_id <> b.kit_id group by all),
     e as (select a as kit_id, actor_id, cast(max(score) as bigint) as score, count(distinct b) as supporting from p join kit_actors on b = kit_actors.kit_id group by all)
     select kit_id, actor_id, score, supporting from (select *, row_number() over (partition by kit_id order by score desc, supporting desc, actor_id) as r from e where score >= 5) where r <= 10""")
 def entity_ranking(spark, sf_dir):
     from lurescope.operators.scoring import rank_entities, shared_indicator_scores
 
-    pairs = shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8, F.col("kit_id") % 500 == 1, ordered=False)
-    return rank_entities(pairs, model.kit_actors(spark, sf_dir), "actor_id")
-
-
-@query("entity_ranking_whole")
-def entity_ranking_whole(spark, sf_dir):
-    from lurescope.operators.scoring import rank_entities, shared_indicator_scores
-
     pairs = shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8, ordered=False)
     return rank_entities(pairs, model.kit_actors(spark, sf_dir), "actor_id")
 

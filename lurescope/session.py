@@ -1,5 +1,7 @@
 """Session settings that every entry point shares."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,12 @@ def build_session(app: str = "lurescope", master: str | None = None, **conf: str
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master or ""
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (base or "file://" + tempfile.mkdtemp(prefix="lurescope-")).rstrip("/")

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='lurescope-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+from lurescope.session import shared_folder
 
 
 def observe(observations: DataFrame) -> DataFrame:
@@ -26,8 +22,12 @@ def merge_batch(current: DataFrame | None, changed: DataFrame) -> DataFrame:
     return both.groupBy("victim_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("kits").alias("kits"))
 
 
-def victim_state(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over all files there are and return the table it keeps."""
+def victim_state(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
+    """Run the stream over all files there are that it has not seen and return the table it keeps.
+
+    ``state`` is the folder of the stream's log and table: a later run with the same one
+    goes on where the last one ended. Without it the stream starts anew.
+    """
     landed = spark.read.parquet(path)
     stream = spark.readStream.schema(landed.schema)
     folder, name = path.rsplit("/", 1)
@@ -35,13 +35,23 @@ def victim_state(spark: SparkSession, path: str) -> DataFrame:
     single = [f.rsplit("/", 1)[1] for f in landed.inputFiles()] == [name]
     orders = stream.option("pathGlobFilter", name).parquet(folder) if single else stream.parquet(path)
     seen = orders.select(F.col("o_custkey").alias("victim_id"), F.col("o_orderkey").alias("kit_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("observed_at"))
-    folder, versions = _folder(spark), []
+    folder = (state or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}").rstrip("/")
+
+    def table_of(epoch: int) -> str:
+        return f"{folder}/state-{epoch}"
+
+    def exists(where: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        current = batch.sparkSession.read.parquet(versions[-1]) if versions else None
-        merge_batch(current, batch).write.mode("overwrite").parquet(f"{folder}/state-{epoch}")
-        versions.append(f"{folder}/state-{epoch}")
+        # A batch that is run again writes the same table from the same one before it.
+        current = batch.sparkSession.read.parquet(table_of(epoch - 1)) if epoch and exists(table_of(epoch - 1)) else None
+        merge_batch(current, batch).write.mode("overwrite").parquet(table_of(epoch))
 
     query = observe(seen).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(versions[-1])
+    done = 0
+    while exists(table_of(done + 1)):
+        done += 1
+    return spark.read.parquet(table_of(done))
