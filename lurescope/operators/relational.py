@@ -91,3 +91,25 @@ def domain_suffixes(domain: Column) -> Column:
     """a.b.c to [a.b.c, b.c, c], so that a suffix match is an equality join."""
     labels = F.split(F.lower(domain), r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def set_verdict(score: Column) -> Column:
+    """What a Jaccard says of two sets."""
+    return F.when(score >= 0.9, "same").when(score >= 0.3, "similar").otherwise("different")
+
+
+def seconds_of(duration: Column) -> Column:
+    """A literal like 30m as seconds; null for anything else."""
+    n = F.regexp_extract(duration, r"^(\d{1,9})[smhd]$", 1)
+    unit = F.substring(duration, -1, 1)
+    each = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).otherwise(86400)
+    return F.when(n != "", n.cast("long") * each)
+
+
+def split_email(df: DataFrame, col: str) -> DataFrame:
+    """Valid addresses (one @, a dot in the domain) with mailbox, domain and whether it is a service's."""
+    parts = F.split(F.col(col), "@")
+    valid = df.filter((F.size(parts) == 2) & F.contains(F.get(parts, F.lit(1)), F.lit(".")))
+    mailbox = parts[0]
+    service = mailbox.rlike(r"^(?:no-?reply|do-?not-?reply|admin|support|info|postmaster|webmaster|abuse)$")
+    return valid.select(F.col(col).alias("email"), mailbox.alias("mailbox"), parts[1].alias("domain"), service.alias("service"))

@@ -547,3 +547,6 @@ def stream_victim_state(spark, sf_dir):
     from lurescope.streaming.victims import victim_state
 
     return victim_state(spark, f"{sf_dir}/orders.parquet")
+
+
+from lurescope.plans import lists as _lists  # noqa: E402, F401  (registers its queries)

@@ -32,6 +32,18 @@ def actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("actor_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
 
 
+def actor_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actors with handles (one for each of 20 groups) and whether they were made by the machine."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    handles = F.array(F.concat(F.lit("@h"), (key % 20).cast("string")))
+    return s.select(key.alias("actor_id"), F.col("s_name").alias("name"), (key % 7 == 0).alias("auto_generated"), handles.alias("handles"))
+
+
+def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("campaign_id")).agg(F.min("p_brand").alias("target_brand"))
+    return p.select("campaign_id", "target_brand", (F.col("campaign_id") % 5 == 0).alias("auto_generated"))
+
+
 def kit_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("kit_id"), F.col("l_suppkey").alias("actor_id")).distinct()
 
@@ -87,6 +99,8 @@ SQL = {
     "indicators": """indicators as (select l_orderkey as kit_id, l_linenumber as line, l_returnflag as type, cast(l_partkey as varchar) as value,
         cast(floor(l_quantity * 2) as integer) as confidence, l_suppkey as actor_id from lineitem)""",
     "actors": "actors as (select s_suppkey as actor_id, s_name as name, s_nationkey as nation from supplier)",
+    "actor_details": "actor_details as (select s_suppkey as actor_id, s_name as name, s_suppkey % 7 = 0 as auto_generated, ['@h' || cast(s_suppkey % 20 as varchar)] as handles from supplier)",
+    "campaigns": "campaigns as (select p_partkey % 50 as campaign_id, min(p_brand) as target_brand, p_partkey % 50 % 5 = 0 as auto_generated from part group by 1, 3)",
     "kit_actors": "kit_actors as (select distinct l_orderkey as kit_id, l_suppkey as actor_id from lineitem)",
     "parts": "parts as (select p_partkey as part, p_partkey % 50 as campaign_id, p_brand as brand, p_type as kind from part)",
     "campaign_kits": "campaign_kits as (select distinct l_orderkey as kit_id, l_partkey % 50 as campaign_id from lineitem)",
