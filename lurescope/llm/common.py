@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,10 +79,11 @@ def key_filter(keys: DataFrame, bits_per_key: int = BITS_PER_KEY, most: int = MO
     bits[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
     seen = spark.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def may_be(key: pd.Series) -> pd.Series:
-        at = np.mod(key.to_numpy(np.int64), size)
-        return pd.Series((seen.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+    # Arrow columns, so that these workers need no pandas.
+    @F.arrow_udf("boolean")
+    def may_be(key: pa.Array) -> pa.Array:
+        at = np.mod(key.to_numpy(zero_copy_only=False), size)
+        return pa.array((seen.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
 
     return may_be
 
@@ -118,8 +119,6 @@ def give_back() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:

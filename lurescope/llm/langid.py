@@ -13,6 +13,7 @@ import re
 from collections import Counter, deque
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,12 +259,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     small_batches(docs.sparkSession)
     held = shipped(docs.sparkSession, model)
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def score(text):
-        import pandas as pd
-
-        langs, scores = held().predict(text.tolist())
-        return pd.DataFrame({"lang": langs, "score": scores})
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def score(text: pa.Array) -> pa.Array:
+        langs, scores = held().predict(text.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     out = docs.drop(pred_col, score_col).withColumn("_got", score(F.col(text_col).cast("string")))
     return out.withColumn(pred_col, F.col("_got.lang")).withColumn(score_col, F.col("_got.score")).drop("_got")
