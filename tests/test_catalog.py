@@ -54,3 +54,16 @@ def test_stream_replay_changes_nothing(spark):
     late = spark.createDataFrame([(1, datetime(2024, 1, 1), datetime(2024, 1, 9), 3)], a.schema)
     once = merge_batch(a, late)
     assert [tuple(r) for r in once.collect()] == [tuple(r) for r in merge_batch(once, late).collect()] == [(1, datetime(2024, 1, 1), datetime(2024, 1, 9), 3)]
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    from lurescope.streaming.victims import victim_state
+
+    landed, state = f"file://{tmp_path}/orders.parquet", f"file://{tmp_path}/state"
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("id % 7 as o_custkey", "id as o_orderkey", "'1-URGENT' as o_orderpriority", "date_add(date'2024-01-01', cast(id as int)) as o_orderdate").coalesce(1)
+    rows(50, 100).write.parquet(landed)
+    assert victim_state(spark, landed, state).agg({"first_seen": "min"}).first()[0].isoformat() == "2024-02-20"
+    rows(0, 50).write.mode("append").parquet(landed)
+    got = victim_state(spark, landed, state)
+    assert got.agg({"first_seen": "min"}).first()[0].isoformat() == "2024-01-01" and got.count() == 7
+    assert victim_state(spark, landed, state).count() == 7
