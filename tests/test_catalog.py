@@ -25,7 +25,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list:
     cols = sorted(frame.columns)
-    shown = lambda x: "NULL" if x is None or x is pd.NaT or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    shown = lambda x: "NULL" if x is None or x is pd.NaT or x is pd.NA or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(shown, r)) for r in frame[cols].itertuples(index=False))
 
 
