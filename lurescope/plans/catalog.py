@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lurescope.functions import hosts
 from lurescope.functions import text as tx
 from lurescope.functions import urls
 from lurescope.operators import graph, stages
@@ -309,10 +310,20 @@ def ioc_phones(spark, sf_dir):
 @query("ioc_histogram")
 def ioc_histogram(spark, sf_dir):
     """Indicators of all text files by line, best per file, type and value, then counted by type."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    found = lines.select("doc_id", "line", F.explode(tx.iocs(F.col("body"))).alias("x")).select("doc_id", "line", "x.*")
-    best = rel.newest_per_key(found, ["doc_id", "type", "value"], F.desc("confidence"), F.asc("line"))
-    return best.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("body"))
+    found = lines.select("doc_id", F.explode(tx.iocs(F.col("body"))).alias("x")).select("doc_id", "x.*")
+    best = found.groupBy("doc_id", "type", "value").agg(F.max("confidence").alias("confidence"))
+    each = best.groupBy("type", "value").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
+
+
+@query("page_indicators")
+def page_indicators(spark, sf_dir):
+    """Indicators of every whole page, line by line, with the page's own root as their source: best per page, type and value."""
+    root = urls.root_domain(hosts.authority_host(F.col("url")))
+    lines = table(spark, sf_dir, "pages").select("page_id", F.nullif(root, F.lit("")).alias("root"), F.explode(F.split("html", "\n")).alias("body"))
+    found = lines.select("page_id", F.explode(tx.iocs(F.col("body"), F.col("root"))).alias("x")).select("page_id", "x.*")
+    return found.groupBy("page_id", "type", "value").agg(F.max("confidence").alias("confidence"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
