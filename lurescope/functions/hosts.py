@@ -29,6 +29,11 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return any_of([text.contains(w) for w in words])
 
 
+def among(value: Column, names: Sequence[str]) -> Column:
+    """Whether a value is one of the names, which have no spaces; a folded constant, as lists of hundreds are slow to build name by name."""
+    return F.array_contains(F.split(F.lit(" ".join(names)), " "), value)
+
+
 def authority_host(url: Column) -> Column:
     """Lower-case host of a URL whose other parts may break the rules; empty where there is none."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@\[\]]*)", 1))
@@ -41,7 +46,7 @@ def trimmed(url: Column) -> Column:
 
 def in_service(url: Column, services: Sequence[str]) -> Column:
     """Whether a URL, without character references, is at a known service."""
-    return root_domain(authority_host(F.regexp_replace(url, ENTITY, ""))).isin(*services)
+    return among(root_domain(authority_host(F.regexp_replace(url, ENTITY, ""))), services)
 
 
 def own(host: Column, own_root: Column | None) -> Column:
@@ -100,11 +105,12 @@ def domains(text: Column, services: Sequence[str] = lk.SERVICES) -> Column:
         state = (n >= 3) & F.arrays_overlap(labels, F.array(*map(F.lit, lk.STATE_LABELS)))
         shape = (F.length(d) < 5) | F.exists(labels, lambda x: F.length(x) < 2) | d.contains("--") | ((tld == "is") & first.contains("-") & (n == 2))
         plain = ~first.contains("-")
-        scripted = tld.isin(*lk.SCRIPT_TLDS) & (n == 2) & plain & ((F.length(first) <= 3) | (F.length(first) > 12) | (tld == "id"))
-        named = d.isin(*lk.SCRIPT_NAMES) | first.isin(*lk.SCRIPT_OBJECTS)
-        return tld.isin(*lk.TLDS) & ~(encoded | key | state | shape | scripted | named) & ~root_domain(d).isin(*roots) & ~d.isin(*ends)
+        scripted = among(tld, lk.SCRIPT_TLDS) & (n == 2) & plain & ((F.length(first) <= 3) | (F.length(first) > 12) | (tld == "id"))
+        named = among(d, lk.SCRIPT_NAMES) | among(first, lk.SCRIPT_OBJECTS)
+        return among(tld, lk.TLDS) & ~(encoded | key | state | shape | scripted | named) & ~among(root_domain(d), roots) & ~among(d, ends)
 
-    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DOMAIN), F.lit(1)), F.lower)), keep)
+    found = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DOMAIN), F.lit(1)), F.lower)), keep)
+    return F.when(text.rlike(r"\.[a-zA-Z]{2}"), found).otherwise(F.array().cast("array<string>"))
 
 
 def domain_confidence(line: Column) -> Column:

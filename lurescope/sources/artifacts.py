@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.functions import lookups, urls
+from lurescope.functions import hosts, lookups, urls
 
 MOST_FILES, MOST_FILE, MOST_TOTAL = 10_000, 50 << 20, 500 << 20
 # Headers of an e-mail that are kept.
@@ -128,7 +128,7 @@ def network_log(files: DataFrame, text: str = "text") -> DataFrame:
 def network_iocs(log: DataFrame, key: str, source_url: str, services: Sequence[str] = lookups.SERVICES) -> DataFrame:
     """Hosts (domain, 85) and sending endpoints (c2_url: 90 for sockets, 80 for POST, PUT, PATCH) outside the page's own root and known services."""
     h = urls.host(F.col("url"))
-    other = log.filter(h.isNotNull() & ~urls.root_domain(h).eqNullSafe(urls.root_domain(urls.host(F.col(source_url)))) & ~urls.root_domain(h).isin(*services))
+    other = log.filter(h.isNotNull() & ~urls.root_domain(h).eqNullSafe(urls.root_domain(urls.host(F.col(source_url)))) & ~hosts.among(urls.root_domain(h), services))
     hosts = other.select(key, F.lit("domain").alias("type"), h.alias("value"), F.lit(85).alias("confidence")).distinct()
     socket = F.col("url").rlike("(?i)^wss?://") | (F.col("resource_type") == "websocket")
     sends = other.filter(socket | F.upper("method").isin("POST", "PUT", "PATCH"))
