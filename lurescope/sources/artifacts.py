@@ -129,11 +129,11 @@ def network_iocs(log: DataFrame, key: str, source_url: str, services: Sequence[s
     """Hosts (domain, 85) and sending endpoints (c2_url: 90 for sockets, 80 for POST, PUT, PATCH) outside the page's own root and known services."""
     h = urls.host(F.col("url"))
     other = log.filter(h.isNotNull() & ~urls.root_domain(h).eqNullSafe(urls.root_domain(urls.host(F.col(source_url)))) & ~hosts.among(urls.root_domain(h), services))
-    hosts = other.select(key, F.lit("domain").alias("type"), h.alias("value"), F.lit(85).alias("confidence")).distinct()
+    seen = other.select(key, F.lit("domain").alias("type"), h.alias("value"), F.lit(85).alias("confidence")).distinct()
     socket = F.col("url").rlike("(?i)^wss?://") | (F.col("resource_type") == "websocket")
     sends = other.filter(socket | F.upper("method").isin("POST", "PUT", "PATCH"))
     ends = sends.select(key, F.lit("c2_url").alias("type"), F.col("url").alias("value"), F.when(socket, 90).otherwise(80).alias("confidence")).distinct()
-    return hosts.unionByName(ends)
+    return seen.unionByName(ends)
 
 
 def stage_bounds(stages: DataFrame, key: str) -> DataFrame:
