@@ -29,7 +29,7 @@ SHORT = 64
 #: Longer runs of letters are learned from in parts of so many, whose likelihood plain floats hold; they are scored whole.
 LEARNED = 32
 #: Words whose likelihoods a worker keeps in each of two generations, and the least likelihood that plain floats hold well.
-CACHE_WORDS, TINY = 125_000, 1e-250
+CACHE_WORDS, TINY = 40_000, 1e-250
 #: Probability of a letter that no piece has, and what an unseen piece counts.
 FLOOR, UNSEEN = 1e-7, 0.02
 
