@@ -162,7 +162,7 @@ def sample_by_class(rows: DataFrame, class_col: str, id_col: str, per_class: int
     return counted.filter(share * F.col("_n") < per_class).drop("_n")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "2m") -> None:
     """Bound what goes to a Python worker at once, for rows that hold whole documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
