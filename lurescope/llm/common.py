@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bits of a key filter: so many for each key, and between these bounds (32 MB at most).
@@ -60,6 +61,26 @@ def skew_safe_join(left: DataFrame, right: DataFrame, keys: list[str], weight: s
     return hot.unionByName(cold.join(right.filter(~heavy), keys, "left"))
 
 
+def number_rows(rows: DataFrame, order: list, group: list[str] | None = None, to: str = "idx", count: str | None = None) -> DataFrame:
+    """``rows`` with their place, from 0, in ``order`` within ``group``; in ``count``, if given, how many the group has.
+
+    Rows are dealt by ranges of group and order, ranges are counted, and places are those
+    in a range plus the sizes of the ranges before it: no group, however large, has to be
+    in one task. Group columns hold no nulls. ``order`` tells rows apart, or the order of
+    equal ones doesn't matter; they then share a range.
+    """
+    spark, group = rows.sparkSession, group or []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(rows.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    ranges = W.partitionBy(*(group or [F.lit(0)]))
+    before = F.coalesce(F.sum("_size").over(ranges.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).withColumn("_all", F.sum("_size").over(ranges)).drop("_size")
+    place = F.row_number().over(W.partitionBy(*group, "_range").orderBy(*order)) - 1 + F.col("_before")
+    out = ranged.join(sizes, [*group, "_range"]).withColumn(to, place.cast("long"))
+    return (out.withColumn(count, F.col("_all")) if count else out).drop("_range", "_before", "_all")
+
+
 def key_filter(keys: DataFrame, bits_per_key: int = BITS_PER_KEY, most: int = MOST_BITS):
     """A function of a long column that is true for every ``key`` of ``keys`` and false for most others.
 

@@ -85,9 +85,112 @@ select l.doc_id, coalesce(z.n, 0) as n_shingles, coalesce(m.c, l.doc_id) as comp
 from low l left join size z using (doc_id) left join (select v as doc_id, min(r) as c from reach group by v) m using (doc_id)
 """
 
+# crc32 is linear: each byte adds a value that depends on how many bytes follow it, and the register's start adds one.
+CRC = """
+bit(b, v, k) as (
+  select range, range, 0 from range(256)
+  union all
+  select b, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bit where k < 8
+), step as (select b, v from bit where k = 8
+), far(b, d, v) as (
+  select b, 0, v from step
+  union all
+  select f.b, f.d + 1, xor(f.v >> 8, s.v) from far f join step s on s.b = f.v & 255 where f.d < (select max(strlen(s)) from texts)
+), start(n, v) as (
+  select 0, 4294967295
+  union all
+  select n + 1, xor(i.v >> 8, s.v) from start i join step s on s.b = i.v & 255 where n < (select max(strlen(s)) from texts)
+), crc as (
+  select b.s, xor(xor(any_value(i.v), 4294967295), bit_xor(f.v)) as crc
+  from (select s, strlen(s) as n, hex(encode(s)) as h, unnest(range(1, strlen(s) + 1)) as p from texts) b
+  join far f on f.b = cast('0x' || substr(h, 2 * p - 1, 2) as bigint) and f.d = b.n - p
+  join start i on i.n = b.n
+  group by b.s
+)
+"""
+
+OP11 = rf"""
+with recursive ws as (
+  select 0 as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+  union all
+  select 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), grams as (
+  select side, id, array_to_string(ws[i:i + k - 1], ' ') as s
+  from (select side, id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from ws, range(1, 4) r(k) where len(ws) >= k)
+), texts as (select distinct s from grams), {CRC.strip()}, held as (
+  select side, id, crc % 10000 as bucket, count(*) as n from grams join crc using (s) group by all
+), gain as (
+  select bucket, cast(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) as bigint) as gain
+  from (select bucket, cast(coalesce(sum(n) filter (side = 0), 0) as double) as s, cast(coalesce(sum(n) filter (side = 1), 0) as double) as t
+        from held group by bucket),
+       (select cast(coalesce(sum(n) filter (side = 0), 0) as double) as all_s, cast(coalesce(sum(n) filter (side = 1), 0) as double) as all_t from held)
+), docs as (
+  select d.id as doc_id, len(d.ws) as n_words, coalesce(w.n, 0) as n_features, coalesce(w.weight, 0) as weight,
+         cast('0x' || substr(sha256('42:' || d.id), 1, 8) as bigint) as h
+  from ws d left join (select id, sum(n) as n, sum(n * gain) as weight from held join gain using (bucket) where side = 0 group by id) w on w.id = d.id
+  where d.side = 0
+), scored as (
+  select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double))) as bigint) as score from docs
+), placed as (
+  select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id) end as place,
+         count(*) filter (n_words >= 20) over () as able
+  from scored
+)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+       cast(case when place <= able * 5 // 100 then place end as bigint) as rank, cast(n_words as bigint) as n_words
+from placed
+"""
+
+OP13 = f"""
+with recursive texts as (select distinct cast(doc_id as varchar) as s from documents where doc_id is not null), {CRC.strip()}, part as (
+  select doc_id, lang, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') as body
+  from documents
+), leaves as (
+  select doc_id, lang, sha256(head || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || body) as leaf,
+         sha256(head || coalesce(strlen(cast(m as varchar)) || ':' || m, '-') || body) as altered
+  from (select *, n_chars + case when crc % 7 = 0 then 1 else 0 end as m from part left join crc on crc.s = cast(doc_id as varchar))
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from leaves
+), low as (
+  select lang, 0 as level, i, n, leaf as h from placed
+  union all
+  select lang, level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' order by i)) from low where n > 1 group by lang, level, i // 2
+), subs as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as g, count(*) over () as n from low where n = 1
+), high as (
+  select 0 as level, g as i, n, subroot as h from subs
+  union all
+  select level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' order by i)) from high where n > 1 group by level, i // 2
+), steps as (
+  select p.doc_id, p.lang, p.i as leaf_i, l.level, (p.i >> l.level) & 1 as odd, b.h as sibling
+  from placed p join (select distinct lang, level from low where n > 1) l on l.lang is not distinct from p.lang
+  left join low b on b.lang is not distinct from p.lang and b.level = l.level and b.i = xor(p.i >> l.level, 1)
+  union all
+  select p.doc_id, p.lang, p.i, 1000 + l.level, (s.g >> l.level) & 1, b.h
+  from placed p join subs s on s.lang is not distinct from p.lang cross join (select distinct level from high where n > 1) l
+  left join high b on b.level = l.level and b.i = xor(s.g >> l.level, 1)
+), proof as (
+  select lang, leaf_i, list(struct_pack(odd := odd, sibling := sibling) order by level) as path from steps group by all
+), folding as (
+  select p.lang, p.i, coalesce(f.path, []) as path, p.altered as h, 1 as pos from placed p left join proof f on f.lang is not distinct from p.lang and f.leaf_i = p.i
+  union all
+  select lang, i, path, sha256(case when path[pos].sibling is null then h when path[pos].odd = 1 then path[pos].sibling || h else h || path[pos].sibling end), pos + 1
+  from folding where pos <= len(path)
+), folded as (select lang, i, path, h as folded_root from folding where pos = len(path) + 1)
+select p.doc_id, p.leaf, s.subroot, r.h as root,
+       sha256(coalesce(array_to_string(list_transform(list_filter(f.path, lambda x: x.sibling is not null), lambda x: x.sibling), ''), '')) as proof_sha256,
+       f.folded_root, f.folded_root = r.h as verified
+from placed p join subs s on s.lang is not distinct from p.lang join folded f on f.lang is not distinct from p.lang and f.i = p.i
+cross join (select h from high where n = 1) r
+"""
+
 SQL: dict[str, str] = {
     "op2_warc": OP2,
     "op6_decontamination": OP6,
     "op1_exact_dedup": OP1,
     "op9_near_dedup": OP9,
+    "op11_resample": OP11,
+    "op13_merkle": OP13,
 }
