@@ -20,6 +20,7 @@ class Rule:
     strings: dict[str, tuple[str, str, bool]] = field(default_factory=dict)  # id: text or regex, value, any case
     condition: str = ""
     meta: dict[str, str] = field(default_factory=dict)
+    whole: set[str] = field(default_factory=set)  # strings that stand alone, without a letter or digit beside
 
 
 _HEAD = re.compile(r"(?:private\s+|global\s+)*rule\s+(\w+)\s*(?::[\w\s]+)?\{")
@@ -28,47 +29,51 @@ _META = re.compile(r'(\w+)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|(\w+))')
 _TOKEN = re.compile(r"\s*(\$\w*\*?|#\w+|\d+|>=|<=|==|>|<|[(),]|\w+)")
 
 
+_QUOTED = r'"(?:[^"\\\n]|\\.)*"|(?<==)\s*/(?![/*])(?:[^/\\\n]|\\.)+/'
+
+
 def _outside(text: str) -> str:
     """Without comments; strings and patterns stay."""
-    return re.sub(r'("(?:[^"\\\n]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or " ", text, flags=re.S)
+    return re.sub(rf"({_QUOTED})|//[^\n]*|/\*.*?\*/", lambda m: m[1] or " ", text, flags=re.S)
 
 
 def parse_rules(source: str) -> list[Rule]:
     if re.search(r'^\s*include\s+"', source, re.M):
         raise RuleError("include is not allowed")
     text, rules, at = _outside(source), [], 0
-    while m := _HEAD.search(text, at):
-        depth, i, quoted = 1, m.end(), False
-        while i < len(text) and depth:
-            c = text[i]
-            if c == "\\" and quoted:
-                i += 1
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted:
-                depth += (c == "{") - (c == "}")
+    # Braces and section names inside strings and patterns are none.
+    shape = re.sub(_QUOTED, lambda m: "_" * len(m[0]), text)
+    while m := _HEAD.search(shape, at):
+        depth, i = 1, m.end()
+        while i < len(shape) and depth:
+            depth += (shape[i] == "{") - (shape[i] == "}")
             i += 1
         if depth:
             raise RuleError(f"{m[1]}: no closing brace")
-        body, at = text[m.end() : i - 1], i
-        parts = re.split(r"\b(meta|strings|condition)\s*:", body)
-        got = dict(zip(parts[1::2], parts[2::2], strict=True))
+        sections, at = list(re.compile(r"\b(meta|strings|condition)\s*:").finditer(shape, m.end(), i - 1)), i
+        ends = [*[x.start() for x in sections[1:]], i - 1]
+        got = {x[1]: text[x.end() : end] for x, end in zip(sections, ends)}
         if "condition" not in got:
             raise RuleError(f"{m[1]}: no condition")
         rule = Rule(m[1], condition=got["condition"].strip(), meta={k[1]: k[2] if k[2] is not None else k[3] for k in _META.finditer(got.get("meta", ""))})
         for s in _STRING.finditer(got.get("strings", "")):
             if s[2] is not None:
-                rule.strings[s[1]] = ("text", re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t", "r": "\r"}.get(e[1], e[1]), s[2]), "nocase" in s[5])
+                rule.strings[s[1]] = ("text", re.sub(r"\\(?:x([0-9a-fA-F]{2})|(.))", lambda e: chr(int(e[1], 16)) if e[1] else {"n": "\n", "t": "\t", "r": "\r"}.get(e[2], e[2]), s[2]), "nocase" in s[5])
             else:
                 rule.strings[s[1]] = ("regex", s[3].replace("\\/", "/"), "i" in s[4] or "nocase" in s[5])
+            if "fullword" in s[5]:
+                rule.whole.add(s[1])
         rules.append(rule)
     if not rules and text.strip():
         raise RuleError("no rule found")
     return rules
 
 
-def _found(content: Column, string: tuple[str, str, bool]) -> Column:
+def _found(content: Column, string: tuple[str, str, bool], whole: bool = False) -> Column:
     kind, value, fold = string
+    if whole:
+        pattern = value if kind == "regex" else re.escape(value)
+        return content.rlike(("(?i)" if fold else "") + f"(?<![0-9A-Za-z])(?:{pattern})(?![0-9A-Za-z])")
     if kind == "regex":
         return content.rlike(("(?i)" if fold else "") + value)
     return F.lower(content).contains(value.lower()) if fold else content.contains(value)
@@ -80,8 +85,10 @@ def _number(content: Column, string: tuple[str, str, bool]) -> Column:
     return F.regexp_count(content, F.lit(("(?i)" if fold else "") + pattern))
 
 
-def compile_rule(rule: Rule, content: Column) -> Column:
-    """The rule's condition as a boolean column."""
+def compile_rule(rule: Rule, content: Column | None = None, found=None, number=None) -> Column:
+    """The rule's condition as a boolean column, over a file's content or over what ``found`` and ``number`` give for its strings."""
+    found = found or (lambda s: _found(content, rule.strings[s], s in rule.whole))
+    number = number or (lambda s: _number(content, rule.strings[s]))
     tokens = [m[1] for m in _TOKEN.finditer(rule.condition)]
     at = 0
 
@@ -125,7 +132,7 @@ def compile_rule(rule: Rule, content: Column) -> Column:
             return F.lit(t == "true")
         if t in ("any", "all") or t.isdigit():
             take("of")
-            hits = [_found(content, rule.strings[s]) for s in of_set()]
+            hits = [found(s) for s in of_set()]
             if t == "any":
                 return reduce(lambda a, b: a | b, hits)
             if t == "all":
@@ -133,10 +140,10 @@ def compile_rule(rule: Rule, content: Column) -> Column:
             return reduce(lambda a, b: a + b, (h.cast("int") for h in hits)) >= int(t)
         if t.startswith("#"):
             op, n = take(), int(take())
-            count = _number(content, rule.strings[named("$" + t[1:])[0]])
+            count = number(named("$" + t[1:])[0])
             return {">": count > n, "<": count < n, ">=": count >= n, "<=": count <= n, "==": count == n}[op]
         if t.startswith("$"):
-            return _found(content, rule.strings[named(t)[0]])
+            return found(named(t)[0])
         raise RuleError(f"{rule.name}: {t} in condition")
 
     def each() -> Column:

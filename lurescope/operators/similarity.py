@@ -246,3 +246,30 @@ def token_clusters(df: DataFrame, id_col: str, group_col: str, tokens_col: str,
     """Each row's cluster: the smallest id that links of Jaccard ``least`` or more lead to."""
     labels = components(token_pairs(df, id_col, group_col, tokens_col, least))
     return df.select(id_col, group_col).join(labels.withColumnRenamed("v", id_col), id_col, "left").select(id_col, group_col, F.coalesce("label", id_col).alias("cluster"))
+
+
+def any_pair_between(df: DataFrame, group_col: str, digest_col: str, above: int, most: int) -> DataFrame:
+    """The groups that have two digests more than ``above`` and at most ``most`` apart.
+
+    One digest of each group is compared with all others first, which decides most groups
+    in one pass; only groups that it leaves open, with three digests or more, are compared
+    pair by pair, in tiles of two parts of PART rows.
+    """
+    rows = df.select(F.col(group_col).alias("g"), F.upper(digest_col).alias("d")).filter("g is not null and d is not null").distinct()
+    pivots = rows.groupBy("g").agg(F.min("d").alias("p"), F.count(F.lit(1)).alias("n"))
+    distance = tlsh_distance(tlsh_parts(F.col("p")), tlsh_parts(F.col("d")))
+    judged = rows.join(pivots, "g").groupBy("g", "n").agg(F.max((distance > above) & (distance <= most)).alias("hit"))
+    parts = judged.filter("not hit and n > 2").select("g", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    placed = rows.join(parts, "g").withColumn("p", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int"))
+    tiles = placed.select("g", "d", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    tiles = tiles.select("g", "d", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), F.when(F.col("p") <= F.col("q"), 0).otherwise(1).alias("side"))
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["side"] == 0]
+        right = left if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf[pdf["side"] == 1]
+        d = tlsh_distances(left, right) if len(left) and len(right) else np.zeros((0, 0))
+        return pdf[["g"]].head(int(((d > above) & (d <= most)).any()))
+
+    kind = dict(rows.dtypes)["g"]
+    rest = tiles.groupBy("g", "i", "j").applyInPandas(task, f"g {kind}").distinct()
+    return judged.filter("hit").select(F.col("g").alias("grp")).unionByName(rest.select(F.col("g").alias("grp")))
