@@ -24,6 +24,10 @@ from lurescope.llm.common import small_batches, worker_cache
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "plaintext"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "option", "input", "label", "dialog", "head", "svg", "math", "canvas", "object", "video", "audio", "fieldset"} | RAW
+#: Blocks of running text, in which a label is a word like others.
+RUNNING = {"p", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "figcaption", "summary"}
+#: Elements that show a form to wrap more than fields.
+PROSE = {"p", "article", "main", "h1", "h2", "h3", "section", "table"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that do not end a block.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -44,6 +48,11 @@ BOILERPLATE = re.compile(
 )
 CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|main|body|text|page)(?:$|[\s_-]|\d)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+#: A class or id of readers' comments, and how long a block outside them shows that the page has more.
+READERS = re.compile(r"(?:reader|user|post|article|visitor)?[_-]?comments?(?:[_-]?(?:list|area|section|thread|body|text|content|item|wrapper|wrap|container|block|box|entry|\d+))?|disqus_thread", re.I)
+OUTSIDE = 80
+#: What an element is: part of the text, boilerplate, a form, or readers' comments.
+PLAIN, GONE, FORM, COMMENTS = range(4)
 COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
 CDATA = re.compile(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -68,37 +77,65 @@ class Tree:
 
     def __init__(self) -> None:
         self.parent, self.tag, self.path = [0], [""], [0]
-        self.dropped, self.doubted = [False], [False]
+        self.kind, self.doubted = [PLAIN], [False]
         self.steps: dict[tuple[int, str, bool], int] = {}
         self.at: list[int] = []
         self.texts: list[str] = []
 
-    def add(self, parent: int, tag: str, dropped: bool, doubted: bool) -> int:
+    def add(self, parent: int, tag: str, kind: int, doubted: bool) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         step = (self.path[parent], tag, doubted)
         self.path.append(self.steps.setdefault(step, len(self.steps) + 1))
-        self.dropped.append(dropped or self.dropped[parent])
+        self.kind.append(kind)
         self.doubted.append(doubted or self.doubted[parent])
         return len(self.tag) - 1
 
-
-def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag, role or being hidden, and whether its names speak for it."""
+    def dropped(self) -> list[bool]:
+        """Whether each element is no part of the text.
+
+        A form with prose and at least half of the text outside boilerplate is a block
+        like others. Readers' comments go where a block of some length is outside them.
+        """
+        n = len(self.tag)
+        gone, readers, whole, prose, longest = [False] * n, [False] * n, [0] * n, [False] * n, 0
+        for e in range(1, n):
+            up = self.parent[e]
+            gone[e] = gone[up] or self.kind[e] == GONE
+            readers[e] = readers[up] or self.kind[e] == COMMENTS
+        for e, text in zip(self.at, self.texts, strict=True):
+            if not gone[e]:
+                whole[e] += len(text)
+                prose[e] |= self.tag[e] in PROSE
+        for e in range(n - 1, 0, -1):
+            whole[self.parent[e]] += whole[e]
+            prose[self.parent[e]] |= prose[e] or bool(whole[e]) and self.tag[e] in PROSE
+        for e in range(1, n):
+            wraps = self.kind[e] == FORM and prose[e] and 2 * whole[e] >= whole[0]
+            gone[e] = gone[e] or gone[self.parent[e]] or self.kind[e] == FORM and not wraps
+        for e, text in zip(self.at, self.texts, strict=True):
+            if not gone[e] and not readers[e]:
+                longest = max(longest, len(text))
+        return [g or r for g, r in zip(gone, readers, strict=True)] if longest >= OUTSIDE else gone
+
+
+def _judge(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """What an element is by its tag, role, names or being hidden, and whether its names speak for boilerplate."""
     if tag in DROPPED and not (tag == "header" and in_article):
-        return True, False
-    doubted = False
+        return FORM if tag == "form" else GONE, False
+    doubted, kind = False, PLAIN
     for m in ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            doubted |= bool(BOILERPLATE.search(value)) and not CONTENT.search(value)
-        if name == "class" and tag == "article":
-            doubted |= bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", value, re.I))
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            if any(READERS.fullmatch(word) for word in value.split()):
+                kind, doubted = COMMENTS, True
+            elif tag != "article":
+                doubted |= bool(BOILERPLATE.search(value)) and not CONTENT.search(value)
         if name == "role" and value.lower() in ROLES:
-            return True, False
+            return GONE, False
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False
-    return False, doubted
+            return GONE, False
+    return kind, doubted
 
 
 class _Open:
@@ -184,7 +221,7 @@ def read_page(page: str) -> Tree:
         if page[lt + 1] == "/":
             i = open_.last(tag)
             # An inline element that a block outlived stays as it is.
-            if i >= 0 and (tag not in INLINE or not open_.blocks or open_.blocks[-1] < i):
+            if i >= 0 and (open_.element[i] >= 0 or not open_.blocks or open_.blocks[-1] < i):
                 close(i)
             continue
         if tag in VOID:
@@ -197,7 +234,7 @@ def read_page(page: str) -> Tree:
                 break
             at = (page.find(">", shut.start()) + 1) or end
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag == "label" and open_.blocks and open_.names[open_.blocks[-1]] in RUNNING:
             open_.push(tag, -1)
             continue
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
@@ -230,7 +267,8 @@ def path_scores(path: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.n
 def main_text(page: str | None) -> str:
     """The article's blocks joined by an empty line; empty if there is none."""
     tree = read_page(page or "")
-    live = [i for i, e in enumerate(tree.at) if not tree.dropped[e]]
+    dropped = tree.dropped()
+    live = [i for i, e in enumerate(tree.at) if not dropped[e]]
     if not live:
         return ""
     at = np.array([tree.at[i] for i in live])

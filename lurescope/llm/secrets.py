@@ -10,6 +10,7 @@ even where no pattern names them. All of it is DataFrame expressions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lurescope.llm.common import skew_safe_join, stage
@@ -26,23 +27,39 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|12345678|abcdefgh"
 
 
-def spans(text: Column, pattern: str, group: int) -> Column:
-    """Matches from left to right as structs s, e (code points, e exclusive), whole, value.
+def matches(text: Column, pattern: str, group: int, order: int, least: int, live_only: bool = False) -> Column:
+    """Matches from left to right as structs ord, pos, gap (code points since the last one), size, fits, value_hash, live.
 
     What lies between the matches is as long as the text split by the pattern says, so
-    places follow from sums of lengths.
+    places follow from running sums of gap and size; matches that don't fit count there.
     """
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)").alias("found"))
+    zipped = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value")), lambda x: x["whole"].isNotNull())
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.coalesce(F.length(x["whole"]), F.lit(0))
-        here = F.struct(s.alias("s"), e.alias("e"), x["value"].alias("value"))
-        return F.struct(e.alias("at"), F.when(x["whole"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(here))).alias("found"))
+    def one(x: Column, i: Column) -> Column:
+        live, fits = live_looking(x["value"]), F.length(x["value"]) >= least
+        return F.struct(
+            F.lit(order).alias("ord"), i.alias("pos"), F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("size"),
+            (live if live_only else fits).alias("fits"), F.sha2(x["value"], 256).alias("value_hash"), live.alias("live"),
+        )
 
-    return F.aggregate(parts, start, add, lambda acc: acc["found"])
+    return F.transform(zipped, one)
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """Rows of matches (uid and the fields of ``matches``) that fit, with s and e, their places in the text.
+
+    A long token that a pattern's match covers or touches is left out: the base match
+    that reaches furthest of those which begin before it, and the next one to begin, tell.
+    """
+    sums = W.partitionBy("uid", "ord").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    at = found.withColumn("e", F.sum(F.col("gap") + F.col("size")).over(sums).cast("int")).withColumn("s", F.col("e") - F.col("size")).filter("fits")
+    base = F.col("ord") < len(KINDS)
+    so_far = W.partitionBy("uid").orderBy("s").rangeBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("uid").orderBy(F.desc("s")).rangeBetween(W.unboundedPreceding, -1)
+    at = at.withColumn("_reach", F.max(F.when(base, F.col("e"))).over(so_far)).withColumn("_next", F.min(F.when(base, F.col("s"))).over(later))
+    free = (F.coalesce("_reach", F.lit(0)) <= F.col("s")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("e")))
+    return at.filter(base | free).drop("gap", "size", "fits", "pos", "_reach", "_next")
 
 
 def live_looking(value: Column) -> Column:
@@ -60,25 +77,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners or more have, "live" for a live-looking value of at most ``max_owners``,
     else "unclear". The owner is the repository's name up to the first slash unless
     given. A null repository counts as one repository of one owner. Null and empty
-    texts have no secrets; other columns are ignored; equal rows are scanned each.
+    texts have no secrets; other columns are ignored; equal rows are scanned each. An empty
+    table gives an empty result. A very long text is scanned whole, its matches are placed
+    by sorted running sums, in time by their number.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     repo = F.coalesce(F.col(repo_col).cast("string"), F.lit(""))
     who = F.coalesce(owner if owner is not None else F.substring_index(F.col(repo_col).cast("string"), "/", 1), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), repo.alias("repo"), who.alias("owner"))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,ord:int,kind:string,value_hash:string,live:boolean>>)")
-    found = []
-    for i, (kind, pattern, group, least) in enumerate(KINDS):
-        hits = F.filter(spans(F.col("text"), pattern, group), _at_least(least))
-        found.append(F.when(F.col("text").rlike(pattern), F.transform(hits, _with(i, kind))).otherwise(none))
-    token = F.when(F.col("text").rlike(r"[A-Za-z0-9+/_=-]{20}"), F.transform(F.filter(spans(F.col("text"), TOKEN, 0), lambda x: live_looking(x["value"])), _with(len(KINDS), "owned"))).otherwise(none)
-    base = F.concat(*found)
-    scanned = slim.select("doc_id", "repo", "owner", base.alias("base"), token.alias("token"))
-    # A token that a pattern's match covers or touches is that match.
-    apart = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    rows = stage(scanned.select("doc_id", "repo", "owner", F.concat("base", apart).alias("spans")).withColumn("uid", F.monotonically_increasing_id()), "secret-spans")
-
-    each = rows.filter("size(spans) > 0").select("uid", "repo", "owner", F.explode("spans").alias("x")).select("uid", "repo", "owner", "x.*")
+    none = F.expr("cast(array() as array<struct<ord:int,pos:int,gap:int,size:int,fits:boolean,value_hash:string,live:boolean>>)")
+    found = [F.when(F.col("text").rlike(pattern), matches(F.col("text"), pattern, group, i, least)).otherwise(none) for i, (_, pattern, group, least) in enumerate(KINDS)]
+    token = F.when(F.col("text").rlike(r"[A-Za-z0-9+/_=-]{20}"), matches(F.col("text"), TOKEN, 0, len(KINDS), 0, live_only=True)).otherwise(none)
+    # Texts stay where they are read; what moves is numbers and hashes of their matches.
+    rows = stage(slim.select("doc_id", "repo", "owner", F.concat(*found, token).alias("matches")).withColumn("uid", F.monotonically_increasing_id()), "secret-matches")
+    some = rows.filter("size(matches) > 0")
+    kind = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS], F.lit("owned")), F.col("ord") + 1)
+    each = placed(some.select("uid", "repo", "owner", F.inline("matches"))).withColumn("kind", kind)
+    each = stage(each.select("uid", "repo", "owner", "s", "e", "ord", "kind", "value_hash", "live"), "secret-spans")
+
     # By value and repository first, so that a value in every document is summed where it is read.
     by_doc = each.groupBy("value_hash", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_doc.groupBy("value_hash", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
@@ -90,20 +106,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = judged.filter((F.col("kind") != "owned") | (F.col("n_owners") <= max_owners))
     per_doc = kept.groupBy("uid").agg(F.array_sort(F.collect_list(secret)).alias("secrets"))
     empty = F.expr("cast(array() as array<struct<s:int,ord:int,e:int,kind:string,value_hash:string,n_seen:bigint,n_repos:bigint,n_owners:bigint,verdict:string>>)")
-    with_any = rows.filter("size(spans) > 0").select("uid", "doc_id").join(per_doc, "uid", "left").select("doc_id", F.coalesce("secrets", empty).alias("secrets"))
-    return with_any.unionByName(rows.filter("size(spans) = 0").select("doc_id", empty.alias("secrets")))
-
-
-def _at_least(n: int):
-    # A lambda with a default argument would be called with the element's index.
-    return lambda x: F.length(x["value"]) >= n
-
-
-def _with(order: int, kind: str):
-    def add(x: Column) -> Column:
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.sha2(x["value"], 256).alias("value_hash"), live_looking(x["value"]).alias("live"))
-
-    return add
+    with_any = some.select("uid", "doc_id").join(per_doc, "uid", "left").select("doc_id", F.coalesce("secrets", empty).alias("secrets"))
+    return with_any.unionByName(rows.filter("size(matches) = 0").select("doc_id", empty.alias("secrets")))
 
 
 def listed(found: Column) -> Column:
