@@ -11,36 +11,37 @@ from lurescope.streaming import chain as ch
 
 def steps_of(events):
     """Events as steps of their user's chain."""
-    return events.select(F.col("user_id").alias("kit_id"), "event_id", F.col("event_type").alias("step"), F.col("ts").alias("at"))
+    return events.select(F.col("user_id").alias("kit_id"), "event_id", F.col("event_type").alias("step"), F.col("ts").cast("timestamp").alias("at"))
 
 
 _CHAIN = """
 with s as (
-  select distinct user_id as kit_id, event_id, event_type as step, ts as at, event_type in ('purchase', 'error') as ends,
+  select distinct user_id as kit_id, event_id, event_type as step, ts as "at", event_type in ('purchase', 'error') as ends,
          list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) as place
   from events where user_id is not null
 ), a as (
-  select *, lead(at) over w as next, cast(1 + coalesce(sum(ends::int) over (w rows between unbounded preceding and 1 preceding), 0) as int) as attempt
-  from s window w as (partition by kit_id order by at, event_id, step)
+  select *, lead("at") over (partition by kit_id order by "at", event_id, step) as next,
+         cast(1 + coalesce(sum(ends::int) over (partition by kit_id order by "at", event_id, step rows between unbounded preceding and 1 preceding), 0) as int) as attempt
+  from s
 ), c as (
   select *, case when f > 1 then f end as cursor
-  from (select *, max(place) over (partition by kit_id, attempt order by at, event_id, step rows unbounded preceding) as f from a)
-), d as (select *, at + case when cursor is null then interval 30 minute else interval 10 minute end as due from c)
-select kit_id, attempt, due as at, case when cursor is null then 'requeue' else 'resume' end as kind, step, cast(cursor as int) as cursor
+  from (select *, max(place) over (partition by kit_id, attempt order by "at", event_id, step rows unbounded preceding) as f from a)
+), d as (select *, "at" + case when cursor is null then interval 30 minute else interval 10 minute end as due from c)
+select kit_id, attempt, due as "at", case when cursor is null then 'requeue' else 'resume' end as kind, step, cast(cursor as int) as cursor
 from d where not ends and (next is null or due < next)
 union all
-select kit_id, attempt, at, case when step = 'purchase' then 'complete' else 'fail' end, step, cast(cursor as int) from d where ends
+select kit_id, attempt, "at", case when step = 'purchase' then 'complete' else 'fail' end, step, cast(cursor as int) from d where ends
 """
 
 
 @query("chain_by_batch", _CHAIN)
 def chain_by_batch(spark, sf_dir):
     """What each kit's chain of steps brings: stalls that are resumed or queued anew, and ends of attempts."""
-    return ch.chain_rows(steps_of(table(spark, sf_dir, "events")))
+    return ch.chain_rows(steps_of(table(spark, sf_dir, "events"))).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("stream_chain", _CHAIN)
 def stream_chain(spark, sf_dir):
     """The same rows by a stream with keyed state and event-time timers."""
     path = f"{sf_dir}/events.parquet"
-    return ch.follow_all(spark, lambda: ch.file_stream(spark, path), steps_of)
+    return ch.follow_all(spark, lambda: ch.file_stream(spark, path), steps_of).withColumn("at", F.col("at").cast("timestamp_ntz"))
