@@ -260,7 +260,8 @@ class Codec:
             kept = vocabulary.__dict__.setdefault("kept", {})
             return pa.array(vocabulary.encode([t or "" for t in text.to_pylist()], kept), pa.binary())
 
-        return docs.withColumn(to, packed(F.col(text_col).cast("string")))
+        # So marked, the function isn't called again for each use of its column.
+        return docs.withColumn(to, packed.asNondeterministic()(F.col(text_col).cast("string")))
 
     def decode(self, docs: DataFrame, tokens_col: str = "tokens", to: str = "text") -> DataFrame:
         """``docs`` with the text of the packed ids of ``tokens_col`` in ``to``; null ids count as none, ids that the vocabulary lacks have no text."""
