@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lurescope.functions import urls
 from lurescope.operators import polymorphism as poly
+from lurescope.operators.linediff import compare
+from lurescope.operators.ranges import number_rows
 from lurescope.operators.rulepack import load_rules, scan_pack, string_matches
-from lurescope.operators.similarity import tlsh_digests
+from lurescope.operators.similarity import tlsh_digests, tlsh_distance, tlsh_parts
 from lurescope.plans.catalog import query
 from lurescope.sources.tables import table
 
@@ -67,3 +69,16 @@ def page_rule_strings(spark, sf_dir):
 def document_rule_strings(spark, sf_dir):
     """Every match of a string of the pack in a document, by offset, with 64 bytes on both sides."""
     return string_matches(table(spark, sf_dir, "documents"), "doc_id", "text", _pack()).withColumnRenamed("id", "doc_id")
+
+
+@query("page_line_diff")
+def page_line_diff(spark, sf_dir):
+    """Each page against the one before it on the same host: changed lines by class, shared structure and digests' distance."""
+    rows = by_host(spark, sf_dir).filter("host is not null")
+    numbered = number_rows(rows.select("host", "page_id"), [F.asc("page_id")], ["host"])
+    pairs = numbered.select("host", "idx", F.col("page_id").alias("b")).join(numbered.select("host", (F.col("idx") + 1).alias("idx"), F.col("page_id").alias("a")), ["host", "idx"])
+    found = compare(rows, pairs, "page_id", "html").withColumn("examples", F.array_join("examples", "\n"))
+    digests = tlsh_digests(rows, "page_id", "html")
+    of = lambda side: digests.select(F.col("page_id").alias(side), F.col("tlsh").alias(f"_{side}"))
+    distance = tlsh_distance(tlsh_parts(F.col("_a")), tlsh_parts(F.col("_b")))
+    return found.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("distance", distance).drop("_a", "_b")
