@@ -1,9 +1,11 @@
-"""Queries over flows in time: chains of steps."""
+"""Queries over flows in time: chains of steps, stages and their resources."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lurescope.operators import manifests as flow
+from lurescope.operators.ranges import as_of, interval_join
 from lurescope.plans.catalog import query
 from lurescope.sources.tables import table
 from lurescope.streaming import chain as ch
@@ -45,3 +47,92 @@ def stream_chain(spark, sf_dir):
     """The same rows by a stream with keyed state and event-time timers."""
     path = f"{sf_dir}/events.parquet"
     return ch.follow_all(spark, lambda: ch.file_stream(spark, path), steps_of).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+# Stages and resources -------------------------------------------------------------------------------
+
+HOUR = 3_600_000_000
+
+
+def _micros(events):
+    return events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+@query("events_within_an_hour", """
+    with e as (select event_id, event_type, ts from events), s as (select event_id as stage, ts as lo, ts + interval 1 hour as hi from e where event_type = 'signup')
+    select stage, count(*) as events, min(event_id) as first_id from s join e on e.ts >= lo and e.ts < hi where e.event_type <> 'signup' group by stage""")
+def events_within_an_hour(spark, sf_dir):
+    """Of all users' events together, as one hot key: those in the hour after each signup."""
+    e = _micros(table(spark, sf_dir, "events")).withColumn("k", F.lit(0))
+    spans = e.filter("event_type = 'signup'").select("k", F.col("event_id").alias("stage"), F.col("us").alias("lo"), (F.col("us") + HOUR).alias("hi"))
+    inside = interval_join(e.filter("event_type <> 'signup'").select("k", "event_id", "us"), spans, "k", "us", "lo", "hi")
+    return inside.groupBy("stage").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"))
+
+
+@query("last_view_before", """
+    with e as (select event_id, user_id, event_type, ts from events where event_type in ('purchase', 'view')), w as (
+      select *, last_value(case when event_type = 'view' then event_id end ignore nulls) over (order by ts, event_type = 'purchase', event_id rows unbounded preceding) as any_view,
+             last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_type = 'purchase', event_id rows unbounded preceding) as own_view from e)
+    select event_id, user_id, any_view, own_view from w where event_type = 'purchase'""")
+def last_view_before(spark, sf_dir):
+    """Of each purchase: the last view by anyone, all events being one hot key, and the last by its user."""
+    e = _micros(table(spark, sf_dir, "events")).withColumn("k", F.lit(0))
+    buys, views = e.filter("event_type = 'purchase'").select("k", "user_id", "event_id", "us"), e.filter("event_type = 'view'").withColumn("view", F.col("event_id"))
+    anyone = as_of(buys, views.withColumnRenamed("view", "any_view"), "k", "us", "event_id", ["any_view"])
+    own = as_of(anyone, views.withColumnRenamed("view", "own_view"), "user_id", "us", "event_id", ["own_view"])
+    return own.select("event_id", "user_id", "any_view", "own_view")
+
+
+_STAGES = """
+with navs as (
+  select user_id as kit_id, event_id, props as url, ts, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as seq, count(*) over (partition by user_id) as n
+  from events where event_type = 'signup' and user_id is not null
+), res as (select user_id as kit_id, event_id, props as url, ts, value, event_type from events where event_type <> 'signup' and user_id is not null
+)"""
+
+
+def _stages(spark, sf_dir):
+    """Signups as navigations of a kit, other events as its responses; the JSON of an event stands for an address."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.select(F.col("user_id").alias("kit_id"), "event_id", F.col("props").alias("url"), "at", "value", "event_type")
+    return e.filter("event_type = 'signup'"), e.filter("event_type <> 'signup'")
+
+
+@query("resource_stages", _STAGES + """
+    , logged as (select kit_id, url, arg_min(cast(event_id % 4 as int), (ts, event_id)) as doc_seq from res where event_type = 'error' group by all),
+    w as (select kit_id, event_id, url, ts, null as seq, 1 as side from res where event_type <> 'error' union all select kit_id, event_id, null, ts, seq, 0 from navs),
+    f as (select *, last_value(seq ignore nulls) over (partition by kit_id order by ts, side, event_id rows unbounded preceding) as inside from w)
+    select f.kit_id, f.event_id, cast(coalesce(l.doc_seq, f.inside, n.n - 1, 0) as int) as seq, case when l.doc_seq is not null then 'log' when f.inside is not null then 'time' when n.n is not null then 'last' else 'none' end as found_by
+    from f left join logged l on l.kit_id = f.kit_id and l.url = f.url left join (select distinct kit_id, n from navs) n on n.kit_id = f.kit_id where side = 1""")
+def resource_stages(spark, sf_dir):
+    """The stage that each resource belongs to: the one its log names, else the one open at its time, else the last."""
+    navs, res = _stages(spark, sf_dir)
+    log = res.filter("event_type = 'error'").select("kit_id", "url", "at", "event_id", (F.col("event_id") % 4).cast("int").alias("doc_seq"))
+    return flow.attribute(res.filter("event_type <> 'error'").select("kit_id", "event_id", "url", "at"), navs, log, "kit_id", "at", "event_id").select("kit_id", "event_id", "seq", "found_by")
+
+
+@query("stage_manifest", _STAGES + """
+    , resp as (select kit_id, url, arg_max(event_id, (ts, event_id)) as response, arg_max(cast(floor(value) as int), (ts, event_id)) as status from res group by all),
+    ends as (select kit_id, max(ts) as last_ts from res group by 1)
+    select n.kit_id, n.seq, n.url, n.seq = n.n - 1 as is_final, case when n.seq = 0 then 'initial' end as nav_method, r.response, r.status,
+           case when n.seq = n.n - 1 then 'rendered' when r.response is not null then 'response' else 'none' end as body,
+           greatest(n.ts, coalesce(lead(n.ts) over (partition by n.kit_id order by n.seq), e.last_ts, n.ts)) as ended_at
+    from navs n left join resp r on r.kit_id = n.kit_id and r.url = n.url left join ends e on e.kit_id = n.kit_id""")
+def stage_manifest(spark, sf_dir):
+    """Navigations as ordered stages: end by the next start, last response of the address, the rendered page for the last stage."""
+    navs, res = _stages(spark, sf_dir)
+    out = flow.manifest(navs, res.withColumn("status", F.floor("value").cast("int")), "kit_id", "at", "event_id")
+    return out.withColumn("ended_at", F.timestamp_micros("ended").cast("timestamp_ntz")).drop("event_id", "started", "ended")
+
+
+@query("hop_manifest", """
+    with h as (select user_id as kit_id, event_id, props as url, cast(300 + floor(value) as int) as status, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, count(*) over (partition by user_id) as n
+               from events where event_type = 'click' and user_id is not null), r as (select *, lead(status, -1) over (partition by kit_id order by seq) as before from h)
+    select kit_id, cast(seq as int) as seq, url, case when seq = 0 then 'initial' when status between 300 and 399 then 'http_3xx' else 'js_location' end as nav_method, status, false as terminal from h
+    union all
+    select kit_id, cast(n as int), url, case when status between 300 and 399 then 'http_3xx' else 'js_location' end, 200, true from h where seq = n - 1""")
+def hop_manifest(spark, sf_dir):
+    """Redirect hops as stages: one for each hop and the terminal one, by how each was reached."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'click' and user_id is not null")
+    hops = e.select(F.col("user_id").alias("kit_id"), "event_id", F.col("props").alias("url"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (300 + F.floor("value")).cast("int").alias("status"))
+    return flow.hop_stages(hops, "kit_id", "at", "event_id").select("kit_id", "seq", "url", "nav_method", "status", "terminal")
