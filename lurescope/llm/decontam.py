@@ -4,7 +4,8 @@ Each shard of the index holds a run of documents whole: for every term of the
 benchmark the sorted positions of its occurrences. Shards are rows of a table in the
 shared folder, so neither building nor searching shuffles text. A window's lists are
 intersected from its rarest term in the shard on, each list shifted by the term's
-place in the window; what is left are the places of the exact phrase.
+place in the window; what is left are the places of the exact phrase. Near its places,
+within SLOP words and but for one word in ten, a window is a proximity match.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from lurescope.llm.common import small_batches, stage, worker_cache
 
 WINDOW = 10
+#: Words that each term of a proximity match may be off its place.
+SLOP = 2
 #: Words in a shard of the index, about.
 SHARD_WORDS = 1 << 20
 #: Bytes of benchmark text that are searched for in one pass; a larger benchmark takes more passes.
@@ -87,29 +90,69 @@ def build_index(docs: DataFrame, vocabulary: set[bytes], id_col: str = "doc_id",
     return stage(index.withColumn("shard", F.monotonically_increasing_id()), "decontam-index")
 
 
+def in_list(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the values the sorted places have."""
+    if not len(places):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(places, values)
+    at[at == len(places)] = 0
+    return places[at] == values
+
+
+def near_places(gram: np.ndarray, order: np.ndarray, lists, starts: np.ndarray, ends: np.ndarray, slop: int, loose: int) -> np.ndarray:
+    """Documents of a shard with a proximity match of a window; ``order`` has its words' places, rarest first.
+
+    All but ``loose`` words are near their places, so one of the ``loose`` + 1 rarest is:
+    the places around their occurrences are all there are to look at, and most of them
+    are given up after the next rarest words.
+    """
+    span = np.arange(-slop, slop + 1)
+    base, doc = [], []
+    for j in order[: loose + 1]:
+        p = lists(gram[j]).astype(np.int64)
+        base.append((p[:, None] - j + span).ravel())
+        doc.append(np.repeat(np.searchsorted(starts, p, side="right") - 1, len(span)))
+    base, doc = np.unique(np.stack([np.concatenate(base), np.concatenate(doc)]), axis=1)
+    missed, exact = np.zeros(len(base), dtype=np.int64), np.zeros(len(base), dtype=bool)
+    for j in order:
+        if not len(base):
+            break
+        p = lists(gram[j])
+        low, high = np.maximum(base + j - slop, starts[doc]), np.minimum(base + j + slop, ends[doc] - 1)
+        found = np.searchsorted(p, high, side="right") > np.searchsorted(p, low, side="left")
+        exact |= in_list(base + j, p) & (base + j >= starts[doc]) & (base + j < ends[doc])
+        missed += ~found
+        keep = missed <= loose
+        base, doc, missed, exact = base[keep], doc[keep], missed[keep], exact[keep]
+    return np.unique(doc[exact])
+
+
 def search(index: DataFrame, items: list[tuple[str, list[bytes]]], vocabulary: set[bytes], window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Matches of the items' windows, a row for each document of the index.
 
     Returns shard, ord, doc_id, n_words, hits (positions of words inside an exact
-    occurrence), items (ids with an exact occurrence) and near (ids of which some
-    window has its three rarest terms within ``slop`` words of each other; none where
-    ``slop`` is null).
+    occurrence), items (ids with an exact occurrence) and near (ids of which some window
+    has a proximity match; none where ``slop`` is null). A window of n words matches near
+    a place if one of its words stands exactly as far from it as in the window and all
+    but n // 10 of its words have an occurrence within ``slop`` words from there, in
+    the same document. So an exact occurrence is a proximity match too.
     """
     spark = index.sparkSession
     ids = {w: i for i, w in enumerate(sorted(vocabulary))}
-    grams: dict[tuple[int, ...], list[int]] = {}
+    # Windows of one length are rows of a table; equal ones are one row, with all their owners.
+    lengths: dict[int, list[tuple[np.ndarray, int]]] = {}
     for k, (_, words) in enumerate(items):
-        for g in windows_of(words, window):
-            grams.setdefault(tuple(ids[w] for w in g), []).append(k)
-    by_length: dict[int, list[tuple[int, ...]]] = {}
-    for g in grams:
-        by_length.setdefault(len(g), []).append(g)
-    query = spark.sparkContext.broadcast(([(n, np.array(g, dtype=np.int32), [grams[x] for x in g]) for n, g in by_length.items()], [i for i, _ in items], len(ids)))
-
-    def in_list(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(places, values)
-        at[at == len(places)] = 0
-        return places[at] == values
+        if words:
+            coded = np.fromiter((ids[w] for w in words), dtype=np.int32, count=len(words))
+            lengths.setdefault(min(len(words), window), []).append((coded, k))
+    tables = []
+    for n, held in lengths.items():
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, n) for c, _ in held])
+        owner = np.concatenate([np.full(len(c) - n + 1, k, dtype=np.int32) for c, k in held])
+        table, at = np.unique(rows, axis=0, return_inverse=True)
+        order = np.argsort(at.ravel(), kind="stable")
+        tables.append((n, table, owner[order], np.append(0, np.cumsum(np.bincount(at.ravel(), minlength=len(table))))))
+    query = spark.sparkContext.broadcast((tables, [i for i, _ in items], len(ids)))
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, names, n_terms = query.value
@@ -124,32 +167,26 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], vocabulary: s
                 hit = np.zeros(int(starts[-1] + n_words[-1]) + window if len(starts) else 0, dtype=bool)
                 exact: list[set[int]] = [set() for _ in doc_ids]
                 near: list[set[int]] = [set() for _ in doc_ids]
-                for n, table, owners in groups:
+                ends = starts + n_words
+                for n, table, owner, cuts in groups:
                     sizes = length[table]
-                    for g in np.flatnonzero(sizes.min(axis=1) > 0):
+                    loose = n // WINDOW if slop is not None else 0
+                    for g in np.flatnonzero((sizes > 0).sum(axis=1) >= n - loose):
                         order = np.argsort(sizes[g], kind="stable")
-                        gram = table[g]
+                        gram, owners = table[g], owner[cuts[g] : cuts[g + 1]].tolist()
                         at = lists(gram[order[0]]).astype(np.int64) - order[0]
                         for j in order[1:]:
-                            at = at[in_list(at + j, lists(gram[j]))]
                             if not len(at):
                                 break
+                            at = at[in_list(at + j, lists(gram[j]))]
                         if len(at):
                             for j in range(n):
                                 hit[at + j] = True
                             for d in np.unique(np.searchsorted(starts, at, side="right") - 1):
-                                exact[d].update(owners[g])
+                                exact[d].update(owners)
                         if slop is not None:
-                            rare = list(dict.fromkeys(gram[order].tolist()))[:3]
-                            base = lists(rare[0]).astype(np.int64)
-                            ok = np.ones(len(base), dtype=bool)
-                            d = np.searchsorted(starts, base, side="right") - 1
-                            low, high = np.maximum(base - slop, starts[d]), np.minimum(base + slop, starts[d] + n_words[d] - 1)
-                            for t in rare[1:]:
-                                p = lists(t)
-                                ok &= np.searchsorted(p, high, side="right") > np.searchsorted(p, low, side="left")
-                            for x in np.unique(d[ok]):
-                                near[x].update(owners[g])
+                            for d in near_places(gram, order, lists, starts, ends, slop, loose):
+                                near[d].update(owners)
                 hits = [np.flatnonzero(hit[s : s + n]).astype(np.int32) for s, n in zip(starts.tolist(), n_words.tolist(), strict=True)]
                 for i in range(0, len(doc_ids), 2000):
                     part = slice(i, i + 2000)

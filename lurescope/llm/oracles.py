@@ -51,11 +51,29 @@ with low as (
 ), owned as (
   select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha
   from (select distinct doc_id, item from found) group by doc_id
+), gram as (
+  select row_number() over () as g, n, gram, string_split(gram, ' ') as ts from (select distinct n, gram from wins)
+), term as (select g, n, unnest(ts) as w, unnest(range(0, n)) as j from gram
+), place as (select doc_id, unnest(ws) as w, unnest(range(0, len(ws))) as i from low
+), able as (
+  select g, doc_id from term join (select distinct doc_id, w from place) using (w) group by g, doc_id having count(distinct j) >= any_value(n) - any_value(n) // 10
+), spot as (
+  select t.g, t.n, p.doc_id, p.i - t.j as base, t.j from able a join term t using (g) join place p on p.doc_id = a.doc_id and p.w = t.w
+), near as (
+  select distinct g, doc_id from (
+    select x.g, x.doc_id, x.base, count(distinct y.j) as held, any_value(x.n) as n
+    from (select distinct g, n, doc_id, base from spot) x, range(-2, 3) r(d), spot y
+    where y.g = x.g and y.doc_id = x.doc_id and y.base = x.base + r.d group by x.g, x.doc_id, x.base
+  ) where held >= n - n // 10
+), loose as (
+  select doc_id, count(*) as n_near, string_agg(item, ',' order by item) as near_items
+  from (select distinct doc_id, item from near join gram using (g) join wins w on w.gram = gram.gram and w.n = gram.n) group by doc_id
 )
 select l.doc_id, cast(len(l.ws) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit,
        cast(coalesce(o.n_items, 0) as bigint) as n_items, coalesce(o.sha, sha256('')) as items_sha256,
-       coalesce(h.n_hit, 0) > 0 as contaminated
-from low l left join hits h using (doc_id) left join owned o using (doc_id)
+       coalesce(h.n_hit, 0) > 0 as contaminated,
+       cast(coalesce(z.n_near, 0) as bigint) as n_near, coalesce(z.near_items, '') as near_items
+from low l left join hits h using (doc_id) left join owned o using (doc_id) left join loose z using (doc_id)
 """
 
 OP9 = r"""

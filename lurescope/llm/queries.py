@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope.llm.bpe import encode_and_decode
-from lurescope.llm.decontam import decontaminate
+from lurescope.llm.decontam import SLOP, decontaminate
 from lurescope.llm.exact_dedup import exact_dedup
 from lurescope.llm.html_text import extract
 from lurescope.llm.langid import identify
@@ -44,11 +44,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     n_hit = F.size("hits").cast("long")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.array_join(F.array_sort("near"), ",").alias("near_items"),
     )
 
 

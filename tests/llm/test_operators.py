@@ -159,6 +159,36 @@ def test_mixing(docs, empty):
     assert all(0 <= r["t"] - r["n"] + 1 and r["t"] - r["n"] < r["largest"] for r in sums)
 
 
+def test_proximity_against_brute_force(spark):
+    r = random.Random(12)
+    letters = [f"w{k}" for k in range(40)]
+    items = [[r.choice(letters) for _ in range(r.choice([3, 10, 12, 25]))] for _ in range(6)]
+    rows = [(0, None), (1, ""), (2, "w1 w2")]
+    for i in range(60):
+        w = list(r.choice(items)) if i % 4 else [r.choice(letters) for _ in range(30)]
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = [r.choice(letters + ["new"]) for _ in range(r.randint(0, 2))]
+        rows.append((10 + i, " ".join([r.choice(letters) for _ in range(r.randint(0, 4))] + w)))
+    near = {}
+    for d, t in rows:
+        w, own = (t or "").split(), set()
+        places = {x: [i for i, y in enumerate(w) if y == x] for x in set(w)}
+        for k, item in enumerate(items):
+            n = min(10, len(item))
+            for g in (item[i : i + n] for i in range(len(item) - n + 1)):
+                for base in {i - j for j, x in enumerate(g) for i in places.get(x, [])}:
+                    held = sum(any(abs(i - j - base) <= 2 for i in places.get(x, [])) for j, x in enumerate(g))
+                    if held >= n - n // 10:
+                        own.add(str(k))
+        near[d] = sorted(own)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontam.decontaminate(df, bench, slop=decontam.SLOP).collect()
+    assert {x["doc_id"]: sorted(x["near"]) for x in got} == near
+    assert sum(map(bool, near.values())) > sum(bool(x["items"]) for x in got) > 0 and all(set(x["items"]) <= set(x["near"]) for x in got)
+
+
 def test_targets_are_capped_and_shared_anew():
     got = mixing.targets_of({"a": 10, "b": 10, None: 980})
     assert got["a"] == 30 and got["b"] == 30 and got[None] == pytest.approx(940)
