@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lurescope.operators import manifests as flow
+from lurescope.operators.duplicates import decide, number_closeness
 from lurescope.operators.ranges import as_of, interval_join
 from lurescope.plans.catalog import query
 from lurescope.sources.tables import table
@@ -136,3 +137,42 @@ def hop_manifest(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'click' and user_id is not null")
     hops = e.select(F.col("user_id").alias("kit_id"), "event_id", F.col("props").alias("url"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (300 + F.floor("value")).cast("int").alias("status"))
     return flow.hop_stages(hops, "kit_id", "at", "event_id").select("kit_id", "seq", "url", "nav_method", "status", "terminal")
+
+
+# Repeated kits --------------------------------------------------------------------------------------
+
+
+@query("repeated_kits", """
+    with recursive k as (
+      select o_orderkey as kit_id, case when o_orderkey >= 10 then o_orderkey // 10 end as parent, o_custkey % 20 as inv, o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') as rendered,
+             o_orderpriority || '/' || floor(o_totalprice)::bigint % 40 as url, case when floor(o_totalprice)::bigint % 7 > 0 then cast(floor(o_totalprice)::bigint % 5000 as varchar) end as sha,
+             case when floor(o_totalprice)::bigint % 3 > 0 then floor(o_totalprice)::bigint end as digest, o_orderdate as created from orders
+    ), up as (
+      select kit_id, parent as at, 1 as depth from k where rendered and parent is not null
+      union all select u.kit_id, k.parent, depth + 1 from up u join k on k.kit_id = u.at where k.parent is not null and depth < 5
+    ), a as (
+      select c.kit_id, o.kit_id as matched, depth, case when o.rendered and o.url = c.url then 'url' when abs(c.digest - o.digest) <= 30 then 'digest' when c.sha = o.sha then 'sha256' end as via
+      from up join k c on c.kit_id = up.kit_id join k o on o.kit_id = up.at
+    ), anc as (select kit_id, arg_min(matched, depth) as matched, arg_min(via, depth) as via, min(depth) as depth from a where via is not null group by 1),
+    rest as (select * from k where rendered and kit_id not in (select kit_id from anc)),
+    s as (
+      select c.kit_id, o.kit_id as matched, case when abs(c.digest - o.digest) <= 30 then 'digest' when c.sha = o.sha then 'sha256' end as via, row_number() over (partition by c.kit_id order by o.created, o.kit_id) as r
+      from rest c join k o on o.parent = c.parent and o.kit_id <> c.kit_id and o.rendered where abs(c.digest - o.digest) <= 30 or c.sha = o.sha
+    ), sib as (select kit_id, matched, via from s where r = 1),
+    x as (
+      select c.kit_id, o.kit_id as matched, row_number() over (partition by c.kit_id order by o.inv is distinct from c.inv, o.created, o.kit_id) as r
+      from rest c join k o on o.sha = c.sha and o.kit_id <> c.kit_id where c.kit_id not in (select kit_id from sib)
+    ), f as (
+      select kit_id, matched, 'ancestor' as relation, via, depth from anc union all select kit_id, matched, 'sibling', via, null from sib union all select kit_id, matched, 'content', 'sha256', null from x where r = 1
+    )
+    select f.kit_id, matched, relation, via, cast(depth as int) as depth, case when p.inv is distinct from q.inv then 'correlated' when relation = 'ancestor' then 'stuck_at_gate' else 'duplicate' end as verdict
+    from f join k p on p.kit_id = f.kit_id join k q on q.kit_id = f.matched""")
+def repeated_kits(spark, sf_dir):
+    """Which rendered kits repeat an ancestor, a sibling or another kit, and what follows. Sizes stand for digests and, by remainder, for contents and addresses."""
+    o, size = table(spark, sf_dir, "orders"), F.floor("o_totalprice").cast("long")
+    kits = o.select(
+        F.col("o_orderkey").alias("kit_id"), F.when(F.col("o_orderkey") >= 10, F.expr("o_orderkey div 10")).alias("parent_kit_id"), (F.col("o_custkey") % 20).alias("investigation_id"),
+        F.concat("o_orderpriority", F.lit("/"), (size % 40).cast("string")).alias("url"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM").alias("rendered"),
+        F.when(size % 7 > 0, (size % 5000).cast("string")).alias("sha"), F.when(size % 3 > 0, size).alias("digest"), F.col("o_orderdate").alias("created_at"),
+    )
+    return decide(kits, number_closeness(30))
