@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lurescope.operators import manifests as flow
 from lurescope.operators.duplicates import decide, number_closeness
+from lurescope.operators.frontier import expand
 from lurescope.operators.ranges import as_of, interval_join
 from lurescope.plans.catalog import query
 from lurescope.sources.tables import table
@@ -176,3 +177,42 @@ def repeated_kits(spark, sf_dir):
         F.when(size % 7 > 0, (size % 5000).cast("string")).alias("sha"), F.when(size % 3 > 0, size).alias("digest"), F.col("o_orderdate").alias("created_at"),
     )
     return decide(kits, number_closeness(30))
+
+
+# Expansion ------------------------------------------------------------------------------------------
+
+BUDGET, LEVELS = 2000, 4
+
+
+def _expansion_sql() -> str:
+    columns = "inv, key, url, parent_url, depth, source, rank"
+    parts = ["""
+    l as (
+      select distinct 'http://k.example/' || o_orderkey // 10 as url, 'http://k.example/' || o_orderkey as target, case when o_orderkey % 3 > 0 then 1 else 2 end as kind, o_orderkey % 10 as position from orders where o_orderkey >= 10
+      union all select 'http://k.example/' || o_orderkey, 'http://K.example/' || (o_orderkey // 2 + 1) || '/', 3, 0 from orders
+    ), once as (select url, target, min(struct_pack(kind := kind, position := position)) as o from l where target <> url group by all),
+    f as (select url, target, ['redirect', 'eml_link', 'qr_code'][o.kind] as source, rank from (select *, row_number() over (partition by url order by o, target) as rank from once) where rank <= 10),
+    s0 as (select o_orderkey % 3 as inv, 'http://k.example/' || o_orderkey as key, 'http://k.example/' || o_orderkey as url, null as parent_url, 0 as depth, null as source, null as rank from orders where o_orderkey < 10)"""]
+    for d in range(1, LEVELS + 1):
+        parts.append(f"""
+    m{d} as (
+      select inv, key, min(struct_pack(parent_url := p.url, rank := f.rank, target := f.target, source := f.source)) as m
+      from (select inv, url from s{d - 1} where depth = {d - 1}) p join f using (url), lateral (select lower(rtrim(f.target, '/')) as key) group by inv, key
+    ), n{d} as (
+      select inv, key, m, row_number() over (partition by inv order by m.parent_url, m.rank, key) as place from m{d} anti join s{d - 1} using (inv, key)
+    ), s{d} as (
+      select * from s{d - 1} union all
+      select n.inv, key, m.target, m.parent_url, {d}, m.source, m.rank from n{d} n join (select inv, count(*) as used from s{d - 1} group by inv) u using (inv) where place + used <= {BUDGET}
+    )""")
+    return "with " + ",".join(parts) + f" select inv as investigation_id, url, parent_url, cast(depth as int) as depth, source, cast(rank as int) as rank from (select {columns} from s{LEVELS})"
+
+
+@query("frontier_expansion", _expansion_sql())
+def frontier_expansion(spark, sf_dir):
+    """Pages reached from three investigations' roots along links of the tree and across it, with a budget each."""
+    key, url = F.col("o_orderkey"), lambda k, host="k", end="": F.concat(F.lit(f"http://{host}.example/"), k.cast("string"), F.lit(end))
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    down = o.filter("o_orderkey >= 10").select(url(F.expr("o_orderkey div 10")).alias("url"), url(key).alias("target"), F.when(key % 3 > 0, "redirect").otherwise("eml_link").alias("source"), (key % 10).alias("position"))
+    across = o.select(url(key).alias("url"), url(F.expr("o_orderkey div 2 + 1"), "K", "/").alias("target"), F.lit("qr_code").alias("source"), F.lit(0).alias("position"))
+    roots = o.filter("o_orderkey < 10").select((key % 3).alias("investigation_id"), url(key).alias("url"))
+    return expand(roots, down.unionByName(across), LEVELS, 10, BUDGET)
