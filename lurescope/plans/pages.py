@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurescope.functions import urls
+from lurescope.operators import digest_index as index
 from lurescope.operators import polymorphism as poly
 from lurescope.operators.linediff import compare
-from lurescope.operators.ranges import number_rows
+from lurescope.operators.ranges import number_rows, staged
 from lurescope.operators.rulepack import load_rules, scan_pack, string_matches
 from lurescope.operators.similarity import tlsh_digests, tlsh_distance, tlsh_parts
 from lurescope.plans.catalog import query
@@ -82,3 +84,38 @@ def page_line_diff(spark, sf_dir):
     of = lambda side: digests.select(F.col("page_id").alias(side), F.col("tlsh").alias(f"_{side}"))
     distance = tlsh_distance(tlsh_parts(F.col("_a")), tlsh_parts(F.col("_b")))
     return found.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("distance", distance).drop("_a", "_b")
+
+
+# Digests --------------------------------------------------------------------------------------------
+
+
+def _document_digests(spark, sf_dir):
+    return tlsh_digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("tlsh_pairs_indexed")
+def tlsh_pairs_indexed(spark, sf_dir):
+    """The pairs of tlsh_pairs_blocked by an index of the digests' parts."""
+    return index.pairs(staged(_document_digests(spark, sf_dir), "digests"), "doc_id", "tlsh", 30)
+
+
+@query("tlsh_search")
+def tlsh_search(spark, sf_dir):
+    """For each document whose id 20 divides, all close ones, nearest first."""
+    rows = staged(_document_digests(spark, sf_dir), "digests")
+    found = index.search(rows.filter("doc_id % 20 = 0"), rows, "doc_id", "tlsh", 30)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))
+
+
+@query("tlsh_index_share")
+def tlsh_index_share(spark, sf_dir):
+    """How many pairs of digests the index compares."""
+    return index.share_compared(staged(_document_digests(spark, sf_dir), "digests"), "tlsh", 30)
+
+
+@query("site_variants")
+def site_variants(spark, sf_dir):
+    """Pairs of pages of one registrable domain with close digests and sizes within 15 per cent."""
+    rows = table(spark, sf_dir, "pages").withColumn("site", F.nullif(urls.etld1(F.col("url")), F.lit(""))).withColumn("size", F.octet_length("html"))
+    rows = staged(rows.join(tlsh_digests(rows, "page_id", "html"), "page_id").select("page_id", "site", "size", "tlsh"), "digests")
+    return index.variants(rows, "page_id", "site", "tlsh", "size").withColumnRenamed("grp", "site")
