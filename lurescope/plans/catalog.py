@@ -561,5 +561,6 @@ def stream_victim_state(spark, sf_dir):
 
 
 from lurescope.plans import lists as _lists  # noqa: E402, F401  (registers its queries)
+from lurescope.plans import attribution as _attribution  # noqa: E402, F401
 from lurescope.plans import flows as _flows  # noqa: E402, F401
 from lurescope.plans import pages as _pages  # noqa: E402, F401
