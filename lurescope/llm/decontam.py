@@ -103,28 +103,37 @@ def near_places(gram: np.ndarray, order: np.ndarray, lists, starts: np.ndarray,
     """Documents of a shard with a proximity match of a window; ``order`` has its words' places, rarest first.
 
     All but ``loose`` words are near their places, so one of the ``loose`` + 1 rarest is:
-    the places around their occurrences are all there are to look at, and most of them
-    are given up after the next rarest words.
+    the places around their occurrences are all there are to look at. Two words that are
+    near their places are at most twice ``slop`` off their distance in the window, which
+    leaves few occurrences after the next rarest words. Places are 32-bit throughout, as
+    the lists are, since searching in a list of another type would copy it.
     """
-    span = np.arange(-slop, slop + 1)
-    base, doc = [], []
-    for j in order[: loose + 1]:
-        p = lists(gram[j]).astype(np.int64)
-        base.append((p[:, None] - j + span).ravel())
-        doc.append(np.repeat(np.searchsorted(starts, p, side="right") - 1, len(span)))
-    base, doc = np.unique(np.stack([np.concatenate(base), np.concatenate(doc)]), axis=1)
-    missed, exact = np.zeros(len(base), dtype=np.int64), np.zeros(len(base), dtype=bool)
-    for j in order:
-        if not len(base):
-            break
+    span = np.arange(-slop, slop + 1, dtype=np.int32)
+    base = []
+    for j in order[: loose + 1].tolist():
         p = lists(gram[j])
-        low, high = np.maximum(base + j - slop, starts[doc]), np.minimum(base + j + slop, ends[doc] - 1)
-        found = np.searchsorted(p, high, side="right") > np.searchsorted(p, low, side="left")
-        exact |= in_list(base + j, p) & (base + j >= starts[doc]) & (base + j < ends[doc])
-        missed += ~found
-        keep = missed <= loose
-        base, doc, missed, exact = base[keep], doc[keep], missed[keep], exact[keep]
-    return np.unique(doc[exact])
+        missed = np.zeros(len(p), dtype=np.int8)
+        for k in order.tolist():
+            if k == j or not len(p):
+                continue
+            q, at = lists(gram[k]), p + np.int32(k - j)
+            missed += np.searchsorted(q, at + np.int32(2 * slop), side="right") == np.searchsorted(q, at - np.int32(2 * slop), side="left")
+            keep = missed <= loose
+            p, missed = p[keep], missed[keep]
+        if len(p):
+            doc = np.searchsorted(starts, p, side="right") - 1
+            base.append(np.stack([(p[:, None] - np.int32(j) + span).ravel(), np.repeat(doc, len(span)).astype(np.int32)]))
+    if not base:
+        return np.zeros(0, dtype=np.int64)
+    base, doc = np.unique(np.concatenate(base, axis=1), axis=1)
+    first, last = starts[doc].astype(np.int32), (ends[doc] - 1).astype(np.int32)
+    missed, exact = np.zeros(len(base), dtype=np.int64), np.zeros(len(base), dtype=bool)
+    for j in order.tolist():
+        p, at = lists(gram[j]), base + np.int32(j)
+        low, high = np.maximum(at - np.int32(slop), first), np.minimum(at + np.int32(slop), last)
+        missed += np.searchsorted(p, high, side="right") <= np.searchsorted(p, low, side="left")
+        exact |= in_list(at, p) & (at >= first) & (at <= last)
+    return np.unique(doc[exact & (missed <= loose)])
 
 
 def search(index: DataFrame, items: list[tuple[str, list[bytes]]], vocabulary: set[bytes], window: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -174,8 +183,8 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], vocabulary: s
                     for g in np.flatnonzero((sizes > 0).sum(axis=1) >= n - loose):
                         order = np.argsort(sizes[g], kind="stable")
                         gram, owners = table[g], owner[cuts[g] : cuts[g + 1]].tolist()
-                        at = lists(gram[order[0]]).astype(np.int64) - order[0]
-                        for j in order[1:]:
+                        at = lists(gram[order[0]]) - np.int32(order[0])
+                        for j in order[1:].astype(np.int32):
                             if not len(at):
                                 break
                             at = at[in_list(at + j, lists(gram[j]))]
