@@ -273,8 +273,10 @@ def canonical_same_source(spark, sf_dir):
 def kit_siblings(spark, sf_dir):
     """Siblings need no self-join: a parent's children are counted, and the two smallest tell the first that is another one."""
     k = model.kits(spark, sf_dir).filter("parent_kit_id is not null").select("kit_id", "parent_kit_id")
-    own = k.groupBy("parent_kit_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("kit_id", "kit_id").alias("a"), F.slice(F.array_sort(F.collect_list("kit_id")), 2, 1).alias("b")).filter("n > 1")
-    first = F.when(F.col("kit_id") == F.col("a"), F.element_at("b", 1)).otherwise(F.col("a"))
+    own = k.groupBy("parent_kit_id").agg(F.count(F.lit(1)).alias("n"), F.min("kit_id").alias("a")).filter("n > 1")
+    second = k.join(own, "parent_kit_id").filter("kit_id > a").groupBy("parent_kit_id").agg(F.min("kit_id").alias("b"))
+    own = own.join(second, "parent_kit_id")
+    first = F.when(F.col("kit_id") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     return k.join(own, "parent_kit_id").select("kit_id", (F.col("n") - 1).alias("siblings"), first.alias("first_sibling"))
 
 

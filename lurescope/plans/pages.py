@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lurescope.functions import urls
 from lurescope.operators import digest_index as index
 from lurescope.operators import polymorphism as poly
+from lurescope.operators.layers import replay
 from lurescope.operators.linediff import compare
 from lurescope.operators.ranges import number_rows, staged
 from lurescope.operators.rulepack import load_rules, scan_pack, string_matches
@@ -119,3 +120,14 @@ def site_variants(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").withColumn("site", F.nullif(urls.etld1(F.col("url")), F.lit(""))).withColumn("size", F.octet_length("html"))
     rows = staged(rows.join(tlsh_digests(rows, "page_id", "html"), "page_id").select("page_id", "site", "size", "tlsh"), "digests")
     return index.variants(rows, "page_id", "site", "tlsh", "size").withColumnRenamed("grp", "site")
+
+
+@query("layered_documents", """select doc_id, 'window.x="' || text || '"' as plaintext, 'b64,reverse,b64' as steps from documents where length(text) >= 9""")
+def layered_documents(spark, sf_dir):
+    """Each whole document, hidden in the layers of a loader's source, as the recorded steps give it back."""
+    plain = F.concat(F.lit('window.x="'), F.col("text"), F.lit('"'))
+    coded = lambda c: F.regexp_replace(F.base64(c.cast("binary")), r"\s", "")  # noqa: E731  (without line ends)
+    seed = coded(F.reverse(coded(plain)))
+    source = F.concat(F.lit("var x='"), seed, F.lit("';x=atob(x);x=x.split('').reverse().join('');x=atob(x);"))
+    found = replay(table(spark, sf_dir, "documents").select("doc_id", source.alias("source")), "doc_id", "source")
+    return found.select(F.col("id").alias("doc_id"), "plaintext", F.array_join("steps", ",").alias("steps"))
