@@ -99,37 +99,46 @@ def in_list(values: np.ndarray, places: np.ndarray) -> np.ndarray:
     return places[at] == values
 
 
-def near_places(gram: np.ndarray, order: np.ndarray, lists, starts: np.ndarray, ends: np.ndarray, slop: int, loose: int) -> np.ndarray:
-    """Documents of a shard with a proximity match of a window; ``order`` has its words' places, rarest first.
+def near_anchors(gram: list[int], order: list[int], lists, slop: int, loose: int) -> list[tuple[int, np.ndarray]]:
+    """Words of a window (their places in it) and occurrences of theirs that a proximity match may hold; ``order`` has the words, rarest first.
 
     All but ``loose`` words are near their places, so one of the ``loose`` + 1 rarest is:
-    the places around their occurrences are all there are to look at. Two words that are
-    near their places are at most twice ``slop`` off their distance in the window, which
-    leaves few occurrences after the next rarest words. Places are 32-bit throughout, as
-    the lists are, since searching in a list of another type would copy it.
+    their occurrences are all there are to look around. Two words that are near their
+    places are at most twice ``slop`` off their distance in the window, which leaves few
+    occurrences after the next rarest words. Places are 32-bit throughout, as the lists
+    are, since searching in a list of another type would copy it.
     """
-    span = np.arange(-slop, slop + 1, dtype=np.int32)
-    base = []
-    for j in order[: loose + 1].tolist():
+    out, twice = [], 2 * slop
+    for j in order[: loose + 1]:
         p = lists(gram[j])
         missed = np.zeros(len(p), dtype=np.int8)
-        for k in order.tolist():
-            if k == j or not len(p):
+        for k in order:
+            if not len(p):
+                break
+            if k == j:
                 continue
-            q, at = lists(gram[k]), p + np.int32(k - j)
-            missed += np.searchsorted(q, at + np.int32(2 * slop), side="right") == np.searchsorted(q, at - np.int32(2 * slop), side="left")
+            q = lists(gram[k])
+            missed += np.searchsorted(q, p + np.int32(k - j + twice), side="right") == np.searchsorted(q, p + np.int32(k - j - twice), side="left")
             keep = missed <= loose
-            p, missed = p[keep], missed[keep]
+            if not keep.all():
+                p, missed = p[keep], missed[keep]
         if len(p):
-            doc = np.searchsorted(starts, p, side="right") - 1
-            base.append(np.stack([(p[:, None] - np.int32(j) + span).ravel(), np.repeat(doc, len(span)).astype(np.int32)]))
-    if not base:
-        return np.zeros(0, dtype=np.int64)
+            out.append((j, p))
+    return out
+
+
+def near_places(gram: list[int], around: list[tuple[int, np.ndarray]], lists, starts: np.ndarray, ends: np.ndarray, slop: int, loose: int) -> np.ndarray:
+    """Documents of a shard with a proximity match of a window, which has one of the occurrences in ``around``."""
+    span = np.arange(-slop, slop + 1, dtype=np.int32)
+    base = []
+    for j, p in around:
+        doc = np.searchsorted(starts, p, side="right") - 1
+        base.append(np.stack([(p[:, None] - np.int32(j) + span).ravel(), np.repeat(doc, len(span)).astype(np.int32)]))
     base, doc = np.unique(np.concatenate(base, axis=1), axis=1)
     first, last = starts[doc].astype(np.int32), (ends[doc] - 1).astype(np.int32)
     missed, exact = np.zeros(len(base), dtype=np.int64), np.zeros(len(base), dtype=bool)
-    for j in order.tolist():
-        p, at = lists(gram[j]), base + np.int32(j)
+    for j, term in enumerate(gram):
+        p, at = lists(term), base + np.int32(j)
         low, high = np.maximum(at - np.int32(slop), first), np.minimum(at + np.int32(slop), last)
         missed += np.searchsorted(p, high, side="right") <= np.searchsorted(p, low, side="left")
         exact |= in_list(at, p) & (at >= first) & (at <= last)
@@ -172,7 +181,8 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], vocabulary: s
                 n_words, starts, terms, firsts, places = (col(c).to_numpy() for c in ("n_words", "starts", "terms", "firsts", "places"))
                 lo, length = np.zeros(n_terms, dtype=np.int64), np.zeros(n_terms, dtype=np.int64)
                 lo[terms], length[terms] = firsts[:-1], np.diff(firsts)
-                lists = lambda t, lo=lo, length=length, places=places: places[lo[t] : lo[t] + length[t]]
+                begin, end = lo.tolist(), (lo + length).tolist()
+                lists = lambda t, begin=begin, end=end, places=places: places[begin[t] : end[t]]
                 hit = np.zeros(int(starts[-1] + n_words[-1]) + window if len(starts) else 0, dtype=bool)
                 exact: list[set[int]] = [set() for _ in doc_ids]
                 near: list[set[int]] = [set() for _ in doc_ids]
@@ -180,21 +190,26 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], vocabulary: s
                 for n, table, owner, cuts in groups:
                     sizes = length[table]
                     loose = n // WINDOW if slop is not None else 0
-                    for g in np.flatnonzero((sizes > 0).sum(axis=1) >= n - loose):
-                        order = np.argsort(sizes[g], kind="stable")
-                        gram, owners = table[g], owner[cuts[g] : cuts[g + 1]].tolist()
+                    orders = np.argsort(sizes, axis=1, kind="stable").tolist()
+                    for g in np.flatnonzero((sizes > 0).sum(axis=1) >= n - loose).tolist():
+                        order, gram = orders[g], table[g].tolist()
+                        if slop is not None:
+                            around = near_anchors(gram, order, lists, slop, loose)
+                            if not around:
+                                continue  # no exact occurrence either
+                        owners = owner[cuts[g] : cuts[g + 1]].tolist()
                         at = lists(gram[order[0]]) - np.int32(order[0])
-                        for j in order[1:].astype(np.int32):
+                        for j in order[1:]:
                             if not len(at):
                                 break
-                            at = at[in_list(at + j, lists(gram[j]))]
+                            at = at[in_list(at + np.int32(j), lists(gram[j]))]
                         if len(at):
                             for j in range(n):
                                 hit[at + j] = True
                             for d in np.unique(np.searchsorted(starts, at, side="right") - 1):
                                 exact[d].update(owners)
                         if slop is not None:
-                            for d in near_places(gram, order, lists, starts, ends, slop, loose):
+                            for d in near_places(gram, around, lists, starts, ends, slop, loose):
                                 near[d].update(owners)
                 hits = [np.flatnonzero(hit[s : s + n]).astype(np.int32) for s, n in zip(starts.tolist(), n_words.tolist(), strict=True)]
                 for i in range(0, len(doc_ids), 2000):
