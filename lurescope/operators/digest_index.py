@@ -1,10 +1,13 @@
-"""Search of locality-sensitive digests by an index of their parts, exact at small distances.
+"""Search of locality-sensitive digests by an index of their headers, exact at small distances.
 
-A digest's body is 128 two-bit codes in 16 parts of 8. The distance of two digests is at
-least the sum of their codes' differences, so digests at most ``most`` apart have a part
-whose codes differ by most // 16 in sum. An index holds each digest under its 16 parts, and
-a query looks under all values that near each of its own: what it meets is compared in
-full, the rest can't be close. Equal digests are one entry.
+A digest's header has its length and two ratios, and the distance of two digests is at
+least that of their headers. The index holds each digest under its header, of which there
+are 65,536 at most, and a query looks under all headers near its own: what it meets is
+compared, the rest can't be close. Equal digests are one entry.
+
+``candidates`` finds the same by the body, 128 two-bit codes in 16 parts of 8: digests at
+most ``most`` apart have a part whose codes differ by most // 16 in sum. Texts of one
+language have like bodies, so it meets more and holds each entry 16 times.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.operators.similarity import tlsh_distance, tlsh_parts
+from lurescope.operators.similarity import cell_counts, near_cells, near_classes, tlsh_pairs, tlsh_parts
 
 PARTS, CODES = 16, 8
 #: Beyond this distance a part's neighbours are so many that tiles of all pairs are cheaper.
@@ -55,8 +58,10 @@ def _digests(df: DataFrame, digest_col: str) -> DataFrame:
 
 def near_digests(queries: DataFrame, entries: DataFrame, most: int) -> DataFrame:
     """x, y, distance of all digests (column d, distinct) at ``most`` or less, equal ones included."""
-    distance = tlsh_distance(F.col("p"), F.col("q"))
-    return candidates(queries, entries, most).withColumn("distance", distance).filter(F.col("distance") <= most).select("x", "y", "distance").distinct()
+    own = lambda df, asked: df.select("d", F.lit(asked).alias("asked"), F.lit(not asked).alias("held"))
+    both = own(queries, True).unionByName(own(entries, False)).groupBy("d").agg(F.max("asked").alias("asked"), F.max("held").alias("held"))
+    near = near_classes(both.withColumn("id", F.col("d")), most, queries=True).select(F.col("a").alias("x"), F.col("b").alias("y"), "distance")
+    return near.unionByName(both.filter("asked and held").select(F.col("d").alias("x"), F.col("d").alias("y"), F.lit(0).alias("distance")))
 
 
 def search(queries: DataFrame, rows: DataFrame, id_col: str, digest_col: str, most: int) -> DataFrame:
@@ -69,28 +74,27 @@ def search(queries: DataFrame, rows: DataFrame, id_col: str, digest_col: str, mo
 
 def pairs(df: DataFrame, id_col: str, digest_col: str, most: int) -> DataFrame:
     """Pairs a < b of rows at ``most`` or less."""
-    return search(df, df, id_col, digest_col, most).filter("query < id").select(F.col("query").alias("a"), F.col("id").alias("b"), "distance")
+    return tlsh_pairs(df, id_col, digest_col, most)
 
 
 def share_compared(df: DataFrame, digest_col: str, most: int) -> DataFrame:
     """One row: digests, pairs of them, and how many the index compares."""
-    held = _digests(df, digest_col)
-    met = candidates(held, held, most).filter("x < y").select("x", "y").distinct().agg(F.count(F.lit(1)).alias("compared"))
-    total = held.agg(F.count(F.lit(1)).alias("digests")).withColumn("pairs", F.expr("digests * (digests - 1) div 2"))
-    return total.crossJoin(F.broadcast(met))
+    cells, n = cell_counts(_digests(df, digest_col))
+    compared = total = int(n.sum())
+    if total:
+        x, y = near_cells(cells, most)
+        compared = (sum(int(i) * int(j) for i, j in zip(n[x], n[y], strict=True)) - total) // 2
+    return df.sparkSession.createDataFrame([(total, total * (total - 1) // 2, compared)], "digests long, pairs long, compared long")
 
 
 def variants(df: DataFrame, id_col: str, group_col: str, digest_col: str, size_col: str, most: int = 30, ratio: float = 1.15) -> DataFrame:
     """Pairs a < b of one group whose digests are at ``most`` or less and whose sizes are within ``ratio``.
 
-    Digests meet within their group only, so groups take the place of the whole table in
-    the index. Null groups and sizes of 0 match nothing.
+    Null groups and sizes of 0 match nothing.
     """
     rows = df.filter(F.col(group_col).isNotNull() & F.col(digest_col).isNotNull() & (F.col(size_col) > 0)).select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), F.upper(digest_col).alias("d"), F.col(size_col).alias("n"))
-    keys = rows.select("g", "d").distinct().withColumn("p", tlsh_parts(F.col("d"))).withColumn("_s", F.explode(parts_of(F.col("d"))))
-    asked = keys.select("g", F.col("d").alias("x"), "p", F.col("_s.part").alias("part"), F.explode(values_near(F.col("_s.value"), most // PARTS)).alias("value"))
-    held = keys.select("g", F.col("d").alias("y"), F.col("p").alias("q"), F.col("_s.part").alias("part"), F.col("_s.value").alias("value"))
-    near = asked.join(held, ["g", "part", "value"]).withColumn("distance", tlsh_distance(F.col("p"), F.col("q"))).filter(F.col("distance") <= most).select("g", "x", "y", "distance").distinct()
+    keys = rows.select("d").distinct()
+    near = near_digests(keys, keys, most)
     of = lambda i, n, d: rows.select("g", F.col("id").alias(i), F.col("n").alias(n), F.col("d").alias(d))
-    both = near.join(of("a", "_n", "x"), ["g", "x"]).join(of("b", "_m", "y"), ["g", "y"]).filter("a < b")
+    both = near.join(of("a", "_n", "x"), "x").join(of("b", "_m", "y"), ["g", "y"]).filter("a < b")
     return both.filter(F.greatest("_n", "_m") <= F.least("_n", "_m") * ratio).select(F.col("g").alias("grp"), "a", "b", "distance")

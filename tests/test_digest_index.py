@@ -72,3 +72,16 @@ def test_search_and_variants(spark, brute):
     share = index.share_compared(df, "d", 30).first()
     assert share["digests"] == len({d.upper() for _, d in data if d}) and 0 < share["compared"] < share["pairs"]
     assert index.pairs(df.limit(0), "id", "d", 30).count() == 0
+
+
+def test_cells_of_several_parts(spark, monkeypatch):
+    """Parts far smaller than a cell, and a count of what the index compares that needs no pairs."""
+    monkeypatch.setattr(similarity, "DIGESTS", 9)
+    data = [(i, d) for i, d in rows() if d]
+    df = spark.createDataFrame(data, "id int, d string")
+    all_ = lambda ds: similarity.tlsh_distances(*[similarity.pd.DataFrame({"d": ds})] * 2)
+    far = all_([d.upper() for _, d in data])
+    got = Counter((r["a"], r["b"], r["distance"]) for r in similarity.tlsh_pairs(df, "id", "d", 30).collect())
+    assert got == {(a, b, far[i, j]): 1 for i, (a, _) in enumerate(data) for j, (b, _) in enumerate(data) if a < b and far[i, j] <= 30}
+    heads = all_(["T100" + d[4:8] + "0" * 64 for d in sorted({d.upper() for _, d in data})])
+    assert index.share_compared(df, "d", 30).first()["compared"] == np.triu(heads <= 30, 1).sum()
