@@ -7,25 +7,32 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurescope.operators.ranges import staged
 from lurescope.session import shared_folder
 
 
+#: Rows of a level that are sent to all tasks; larger levels are shuffled.
+SENT = 200_000
+
+
 def descendants(kits: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, kit_id, depth) of each root's subtree, the root itself at depth 0. ``roots`` has kit_id.
 
-    Each level is checkpointed and joined with the table of parents, to whatever depth
-    there is. A kit that a cycle leads to again is not visited again.
+    The links of parents are written once, and so is each level, to whatever depth there
+    is; levels of at most SENT rows are broadcast to the links, so that these aren't
+    shuffled. A kit that a cycle leads to again is not visited again.
     """
-    _checkpoint_dir(kits)
-    down = kits.filter("parent_kit_id is not null").select(F.col("parent_kit_id").alias("up"), F.col("kit_id").alias("child"))
-    levels = [roots.select(F.col("kit_id").alias("root"), "kit_id", F.lit(0).alias("depth")).distinct().checkpoint()]
-    while True:
-        below = levels[-1].join(down, F.col("kit_id") == F.col("up")).select("root", F.col("child").alias("kit_id"), F.lit(len(levels)).alias("depth"))
+    down = staged(kits.filter("parent_kit_id is not null").select(F.col("parent_kit_id").alias("up"), F.col("kit_id").alias("child")), "links")
+    levels = [staged(roots.select(F.col("kit_id").alias("root"), "kit_id", F.lit(0).alias("depth")).distinct(), "level")]
+    rows = [levels[0].count()]
+    way = lambda df, n: F.broadcast(df) if n <= SENT else df.hint("merge")
+    while rows[-1]:
+        below = down.join(way(levels[-1], rows[-1]), F.col("kit_id") == F.col("up")).select("root", F.col("child").alias("kit_id"), F.lit(len(levels)).alias("depth"))
         seen = reduce(DataFrame.unionByName, levels).select("root", "kit_id")
-        level = below.distinct().join(seen, ["root", "kit_id"], "left_anti").checkpoint()
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(level)
+        levels.append(staged(below.distinct().join(way(seen, sum(rows)), ["root", "kit_id"], "left_anti"), "level"))
+        rows.append(levels[-1].count())
+    found = reduce(DataFrame.unionByName, levels)
+    return found if sum(rows) <= SENT else found.hint("merge")
 
 
 def ancestors(kits: DataFrame, subjects: DataFrame, max_depth: int = 5) -> DataFrame:
