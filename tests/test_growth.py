@@ -1,6 +1,6 @@
 """Steps whose memory or shuffle must not grow faster than their input."""
 
-from lurescope.operators import graph
+from lurescope.operators import graph, scoring
 
 
 def test_levels_sent_or_shuffled(spark, monkeypatch):
@@ -11,3 +11,14 @@ def test_levels_sent_or_shuffled(spark, monkeypatch):
         monkeypatch.setattr(graph, "SENT", sent)
         got = [tuple(r) for r in graph.descendants(kits, kits.filter("kit_id in (1, 6)").select("kit_id")).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PAIRS", 50)
+    rows = spark.createDataFrame([(i, "R", str(i % 3)) for i in range(60)], "kit_id long, type string, value string")
+    out = scoring.shared_indicator_scores(rows, {"R": 30}, 8)
+    assert out.rdd.getNumPartitions() >= 24 and out.count() == 3 * 20 * 19 // 2
+    actors = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "kit_id long, actor long")
+    both = scoring.shared_indicator_scores(rows, {"R": 30}, 8, ordered=False)
+    top = scoring.rank_entities(both, actors, "actor").filter("kit_id = 0").collect()
+    assert [(r["actor"], r["score"], r["supporting"]) for r in top] == [(1, 30, 10), (0, 30, 9)]
