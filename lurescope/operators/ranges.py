@@ -83,3 +83,24 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, at: str, lo
     laid = laid.withColumn("_block", F.explode(F.sequence(shift(lo), shift(F.col(hi).cast("long") - 1))))
     looking = points.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).drop("_sizes").withColumn("_block", shift(at))
     return looking.join(laid, [key, "_size", "_block"]).filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_size", "_block")
+
+
+def summed_in_spans(points: DataFrame, spans: DataFrame, id_col: str, at: str, size: int) -> DataFrame:
+    """stage, events, first_id: how many ``points`` are in [lo, lo + size) of each of ``spans`` (stage, lo) and their smallest id; spans without any are left out.
+
+    A span is the end of one block of ``size`` and the start of the next, so running counts
+    from both sides of the blocks give its sums and no point meets a span.
+    """
+    start = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(size))
+    no = F.lit(None).cast("long")
+    stage, kind = F.lit(None).cast(spans.schema["stage"].dataType), points.schema[id_col].dataType
+    held = points.select(start(at).alias("_block"), F.col(at).alias("_at"), stage.alias("stage"), F.col(id_col).alias("_id"))
+    ask = lambda block, when: spans.select(block.alias("_block"), when.alias("_at"), "stage", no.cast(kind).alias("_id"))
+    from_lo = W.partitionBy("_block").orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    to_hi = W.partitionBy("_block").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+    sums = None
+    for rows, frame in ((ask(start("lo"), F.col("lo")), from_lo), (ask(start("lo") + size, F.col("lo") + size), to_hi)):
+        both = held.unionByName(rows).withColumn("_n", F.count("_id").over(frame)).withColumn("_first", F.min("_id").over(frame))
+        part = both.filter("stage is not null").select("stage", "_n", "_first")
+        sums = part if sums is None else sums.unionByName(part)
+    return sums.groupBy("stage").agg(F.sum("_n").alias("events"), F.min("_first").alias("first_id")).filter("events > 0")

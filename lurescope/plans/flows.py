@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lurescope.operators import manifests as flow
 from lurescope.operators.duplicates import decide, number_closeness
 from lurescope.operators.frontier import expand
-from lurescope.operators.ranges import as_of, interval_join
+from lurescope.operators.ranges import as_of, summed_in_spans
 from lurescope.plans.catalog import query
 from lurescope.sources.tables import table
 from lurescope.streaming import chain as ch
@@ -65,10 +65,9 @@ def _micros(events):
     select stage, count(*) as events, min(event_id) as first_id from s join e on e.ts >= lo and e.ts < hi where e.event_type <> 'signup' group by stage""")
 def events_within_an_hour(spark, sf_dir):
     """Of all users' events together, as one hot key: those in the hour after each signup."""
-    e = _micros(table(spark, sf_dir, "events")).withColumn("k", F.lit(0))
-    spans = e.filter("event_type = 'signup'").select("k", F.col("event_id").alias("stage"), F.col("us").alias("lo"), (F.col("us") + HOUR).alias("hi"))
-    inside = interval_join(e.filter("event_type <> 'signup'").select("k", "event_id", "us"), spans, "k", "us", "lo", "hi")
-    return inside.groupBy("stage").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"))
+    e = _micros(table(spark, sf_dir, "events")).filter("us is not null")
+    spans = e.filter("event_type = 'signup'").select(F.col("event_id").alias("stage"), F.col("us").alias("lo"))
+    return summed_in_spans(e.filter("event_type <> 'signup'").select("event_id", "us"), spans, "event_id", "us", HOUR)
 
 
 @query("last_view_before", """

@@ -1,6 +1,8 @@
 """Steps whose memory or shuffle must not grow faster than their input."""
 
-from lurescope.operators import graph, scoring
+import random
+
+from lurescope.operators import graph, ranges, scoring
 
 
 def test_levels_sent_or_shuffled(spark, monkeypatch):
@@ -22,3 +24,12 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     both = scoring.shared_indicator_scores(rows, {"R": 30}, 8, ordered=False)
     top = scoring.rank_entities(both, actors, "actor").filter("kit_id = 0").collect()
     assert [(r["actor"], r["score"], r["supporting"]) for r in top] == [(1, 30, 10), (0, 30, 9)]
+
+
+def test_spans_without_meetings(spark):
+    r = random.Random(5)
+    points = [(i, r.randrange(-500, 1000)) for i in range(300)] + [(900, 100), (901, 200), (902, -100)]
+    spans = [(i, r.randrange(-500, 1000)) for i in range(60)] + [(60, 100), (61, 5000), (62, -200)]
+    got = ranges.summed_in_spans(spark.createDataFrame(points, "id long, t long"), spark.createDataFrame(spans, "stage long, lo long"), "id", "t", 100).collect()
+    want = {s: [i for i, t in points if lo <= t < lo + 100] for s, lo in spans}
+    assert {(x["stage"], x["events"], x["first_id"]) for x in got} == {(s, len(v), min(v)) for s, v in want.items() if v}
