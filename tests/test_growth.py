@@ -2,6 +2,7 @@
 
 import random
 
+from lurescope.operators import attribution as at
 from lurescope.operators import graph, ranges, scoring, similarity
 
 
@@ -45,3 +46,23 @@ def test_spans_without_meetings(spark):
     got = ranges.summed_in_spans(spark.createDataFrame(points, "id long, t long"), spark.createDataFrame(spans, "stage long, lo long"), "id", "t", 100).collect()
     want = {s: [i for i, t in points if lo <= t < lo + 100] for s, lo in spans}
     assert {(x["stage"], x["events"], x["first_id"]) for x in got} == {(s, len(v), min(v)) for s, v in want.items() if v}
+
+
+def test_suggestions_without_pairs_of_one_rule(spark):
+    """The same as over every pair, where entities have many kits above a rule's points, few, or none."""
+    r = random.Random(8)
+    frame = spark.createDataFrame
+    for seldom in (2, 60):
+        iocs = [(r.randrange(90), "email", str(r.randrange(30 * seldom))) for _ in range(150)]
+        rules = [(r.randrange(90), f"r{r.randrange(12)}") for _ in range(260)]
+        roots, hosts = [(r.randrange(90), f"s{r.randrange(200)}") for _ in range(40)], [(r.randrange(90), f"h{r.randrange(200)}") for _ in range(60)]
+        keys = at.signal_keys(frame(iocs, "kit_id long, type string, value string"), frame(rules, "kit_id long, rule string"), frame(roots, "kit_id long, root string"), frame(hosts, "kit_id long, host string"))
+        near = frame([(*sorted(r.sample(range(90), 2)), r.choice([0, 31, 123, 149, 160])) for _ in range(30)], "a long, b long, distance int")
+        able = frame([(k,) for k in range(90) if k % 3], "kit_id long")
+        members = frame([(r.randrange(90), r.choice([1, 2, 3, 4, None])) for _ in range(60)] + [(1, 5), (2, 6)], "kit_id long, entity long")
+        n = 3 if seldom == 2 else 20
+        every = at.staged(at.pair_scores(keys, near, able), "test")
+        got, want = at.suggest_from_keys(keys, near, members, able, n=n), at.suggest(every, members, able, n=n)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
+    beyond = every.join(able.withColumnRenamed("kit_id", "a"), "a", "left_semi").filter("not (yara = 9 and score = 9)")
+    assert sorted(map(tuple, at.pairs_beyond_a_rule(keys, near, able).collect())) == sorted(map(tuple, beyond.collect()))
