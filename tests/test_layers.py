@@ -65,3 +65,8 @@ def test_keys_are_searched_among_strings(spark):
     rows += [(20, rows[0][1].replace("^", "+")), (21, None), (22, "p[i] = c[i] ^ k[i % k.length]; 'QUJDREVGR0hJSktMTU5PUFFS'")]
     df = spark.createDataFrame(rows, "id int, body string")
     assert {x["id"]: x["plaintext"] for x in layers.cycled_texts(df, "id", "body").collect()} == want
+
+
+def test_steps_are_replayed_once(spark):
+    files = spark.createDataFrame([(1, "x")], "id long, source string")
+    assert layers.replay(files, "id", "source")._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
