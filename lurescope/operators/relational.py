@@ -38,6 +38,16 @@ def count_by(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("n"), *keys).limit(n) if n else out
 
 
+#: Rows of one input that a task of ``dealt`` gets, about.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to so many tasks that each gets about TASK_ROWS, so a task's memory stays as tables grow."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def through(members: DataFrame, junction: DataFrame, key: str) -> DataFrame:
     """Members reached by a junction, once for each link."""
     return members.join(junction, key)
