@@ -314,8 +314,15 @@ def actor_metadata(spark, sf_dir):
 
 @query("family_polymorphism", with_views("family_kits", "kits") + " select family, count(*) as kits, count(distinct file_size) as sizes, count(distinct investigation_id) as investigations, round(count(distinct file_size) / count(*), 3) as spread from family_kits join kits using (kit_id) group by 1")
 def family_polymorphism(spark, sf_dir):
-    linked = model.family_kits(spark, sf_dir).join(model.kits(spark, sf_dir), "kit_id")
-    out = linked.groupBy("family").agg(F.count(F.lit(1)).alias("kits"), F.countDistinct("file_size").alias("sizes"), F.countDistinct("investigation_id").alias("investigations"))
+    li, kits = table(spark, sf_dir, "lineitem"), model.kits(spark, sf_dir).select("kit_id", "file_size", "investigation_id")
+    lines = rel.dealt(li.select(F.col("l_orderkey").alias("kit_id"), F.col("l_partkey").alias("part")), "part")
+    members = rel.dealt(lines.join(model.parts(spark, sf_dir).select("part", F.col("brand").alias("family")), "part").select("kit_id", "family"), "kit_id").distinct()
+    linked = members.join(rel.dealt(kits, "kit_id"), "kit_id")
+    counts = linked.groupBy("family").agg(F.count(F.lit(1)).alias("kits"))
+    kinds = F.array(F.struct(F.lit(True).alias("size"), F.col("file_size").cast("long").alias("id")), F.struct(F.lit(False).alias("size"), F.col("investigation_id").cast("long").alias("id")))
+    seen = linked.select(F.col("family").alias("_k"), F.explode(kinds).alias("_x")).filter("_x.id is not null").distinct()
+    seen = seen.groupBy("_k").agg(F.count(F.when(F.col("_x.size"), 1)).alias("sizes"), F.count(F.when(~F.col("_x.size"), 1)).alias("investigations"))
+    out = counts.join(seen, F.col("family").eqNullSafe(F.col("_k")), "left").drop("_k").fillna(0, ["sizes", "investigations"])
     return out.withColumn("spread", F.round(F.col("sizes") / F.col("kits"), 3))
 
 

@@ -66,3 +66,15 @@ def test_suggestions_without_pairs_of_one_rule(spark):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
     beyond = every.join(able.withColumnRenamed("kit_id", "a"), "a", "left_semi").filter("not (yara = 9 and score = 9)")
     assert sorted(map(tuple, at.pairs_beyond_a_rule(keys, near, able).collect())) == sorted(map(tuple, beyond.collect()))
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    from lurescope.operators import relational
+    from lurescope.plans import catalog
+
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    rows = spark.range(9000).withColumnRenamed("id", "kit_id")
+    assert relational.dealt(rows, "kit_id").rdd.getNumPartitions() == 18
+    for name in ("campaign_stats_counts", "family_polymorphism"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [kit_id" in plan and "Expand" not in plan
