@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.operators.similarity import any_pair_between
+from lurescope.session import small_batches
 
 # What counts as a token made for one page, in attribute values and in whole pages.
 TOKENS = [
@@ -102,6 +103,7 @@ def read_elements(page: str, exact: bool = False) -> Elements:
 def elements(pages: DataFrame, id_col: str, html_col: str, group_col: str | None = None, flush: int = 20_000) -> DataFrame:
     """One row for each element of each page: id, grp, at, path, parent, tag, depth, text_hash, field. A null page has none."""
     slim = pages.select(F.col(id_col).alias("id"), (F.col(group_col) if group_col else F.lit(None).cast("string")).alias("grp"), F.col(html_col).cast("string").alias("html")).filter("html is not null")
+    small_batches(pages.sparkSession)
     names = ["id", "grp", *[c.split()[0] for c in ELEMENT.split(", ")]]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +189,7 @@ def polymorphism(pages: DataFrame, digests: DataFrame, id_col: str, group_col: s
     )
     fields = field_counts(found, sizes.select("grp", "variants")).groupBy("grp").agg(F.count(F.lit(1)).alias("n_fields"), F.sum((~F.col("constant")).cast("int")).alias("n_variable_fields"))
     held = rows.select(F.col(id_col), F.col(group_col).alias("grp")).join(digests, id_col)
+    small_batches(pages.sparkSession)
     between = any_pair_between(held, "grp", "tlsh", above, most).withColumn("is_polymorphic", F.lit(True))
     out = sizes.join(paths, "grp", "left").join(fields, "grp", "left").join(between, "grp", "left")
     out = out.na.fill(0, ["n_paths", "n_constant", "n_stable", "n_fields", "n_variable_fields"]).na.fill(False, ["is_polymorphic"])

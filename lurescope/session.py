@@ -30,3 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (base or "file://" + tempfile.mkdtemp(prefix="lurescope-")).rstrip("/")
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "2m") -> None:
+    """Bound what goes to a Python worker at once, for rows that hold whole pages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

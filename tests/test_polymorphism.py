@@ -152,3 +152,9 @@ def test_queries_run_over_given_pages(spark):
     got = catalog.QUERIES["page_structural_diff"](spark, "/root/testdata/sf0.001")
     one = got.groupBy("host").agg({"n_pages": "max", "variants": "max"}).collect()
     assert one and all(r["max(n_pages)"] <= r["max(variants)"] for r in one)
+
+
+def test_pages_go_to_workers_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    poly.elements(spark.createDataFrame([(1, "<a>")], "page_id long, html string"), "page_id", "html")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m" and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1024"
