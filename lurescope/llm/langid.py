@@ -30,6 +30,8 @@ SHORT = 64
 LEARNED = 32
 #: Words whose likelihoods a worker keeps in each of two generations, and the least likelihood that plain floats hold well.
 CACHE_WORDS, TINY = 40_000, 1e-250
+#: Words of one length that are summed at once.
+TOGETHER = 2048
 #: Probability of a letter that no piece has, and what an unseen piece counts.
 FLOOR, UNSEEN = 1e-7, 0.02
 
@@ -162,6 +164,60 @@ def long_likelihoods(word: str, trie: dict, probs: list[tuple[float, ...]]) -> l
     return [math.log(x) + s for x, s in zip(ahead[0], scale, strict=True)]
 
 
+class Automaton:
+    """The trie of pieces as a table of nodes by letters, for the likelihoods of many words at once."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        # Letters with which pieces begin, and letters further on, which are fewer; 0 stands for any other.
+        self.first, self.later = np.zeros(0x110000, dtype=np.int32), np.zeros(0x110000, dtype=np.int32)
+        later = sorted({c for p in pieces for c in p[1:]})
+        self.later[[ord(c) for c in later]] = np.arange(1, len(later) + 1)
+        edges: dict[tuple[int, str], int] = {}
+        ends = {}
+        for i, p in enumerate(pieces):
+            node = 1
+            for c in p:
+                node = edges.setdefault((node, c), len(edges) + 2)
+            ends[node] = i
+        # Node 0 is outside the trie, node 1 its root. Only nodes that go on have a row.
+        self.row = np.zeros(len(edges) + 2, dtype=np.int32)
+        inner = sorted({n for n, _ in edges if n > 1})
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.next = np.zeros((len(inner) + 1, len(later) + 1), dtype=np.int32)
+        for (node, c), to in edges.items():
+            if node == 1:
+                self.first[ord(c)] = to
+            else:
+                self.next[self.row[node], self.later[ord(c)]] = to
+        self.piece = np.full(len(edges) + 2, -1, dtype=np.int32)
+        self.piece[list(ends)] = list(ends.values())
+
+    def sums(self, words: list[str], probs: np.ndarray) -> np.ndarray:
+        """The likelihoods of words of one length with their mark, a row each, as in ``word_likelihoods`` and added in its order; ``probs`` ends with the floor."""
+        n, count = len(words[0]) + 1, len(words)
+        points = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(count, n).T
+        starts, codes = self.first[points], self.later[points]
+        forward = np.zeros((n + 1, count, probs.shape[1]))
+        forward[0] = 1.0
+        for i in range(n):
+            # A letter that is no piece counts as the floor, which is the last row.
+            node = starts[i]
+            forward[i + 1] += forward[i] * probs[self.piece[node]]
+            alive = np.flatnonzero(self.row[node])
+            node = node[alive]
+            for j in range(i + 1, n):
+                if not len(alive):
+                    break
+                node = self.next[self.row[node], codes[j, alive]]
+                got = self.piece[node]
+                ends = np.flatnonzero(got >= 0)
+                if len(ends):
+                    forward[j + 1, alive[ends]] += forward[i, alive[ends]] * probs[got[ends]]
+                on = np.flatnonzero(self.row[node])
+                alive, node = alive[on], node[on]
+        return forward[n]
+
+
 # The common width is written out; it is the inner loop.
 def _reach(forward: list, j: int, at: list[float], q: tuple[float, ...]) -> None:
     got = forward[j]
@@ -190,49 +246,86 @@ class LanguageModel:
         self.trie: dict | None = None
 
     def _open(self) -> None:
-        """The trie, rows of probabilities that equal pieces share, and room for words: made where they are used."""
+        """The trie, its table, rows of probabilities that equal pieces share, and room for words: made where they are used."""
         self.trie, rows = build_trie(self.pieces), {}
         self.rows = [rows.setdefault(r, r) for r in map(tuple, self.probs.tolist())]
+        self.automaton = Automaton(self.pieces)
         self.young, self.old = self._words(), self._words()
 
     def _words(self) -> tuple[dict[str, int], np.ndarray]:
         return {}, np.zeros((CACHE_WORDS, len(self.langs)))
 
+    def _likelihoods(self, words: list[str]) -> np.ndarray:
+        """Rows of log-likelihoods of words of up to SHORT letters, by length."""
+        out, by_length = np.zeros((len(words), len(self.langs))), {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for places in by_length.values():
+            for at in range(0, len(places), TOGETHER):
+                part = places[at : at + TOGETHER]
+                got = self.automaton.sums([words[i] for i in part], self.probs)
+                low = np.flatnonzero(got.min(axis=1) <= TINY)
+                got[low] = 1.0
+                out[part] = np.array([*map(math.log, got.ravel().tolist())]).reshape(got.shape)
+                for i in low:
+                    out[part[i]] = long_likelihoods(words[part[i]], self.trie, self.rows)
+        return out
+
     def of_words(self, words: list[str]) -> np.ndarray:
-        """Rows of log-likelihoods of at most CACHE_WORDS words; the words met last are kept."""
+        """Rows of log-likelihoods of at most CACHE_WORDS different words; the words met last are kept."""
         at, table = self.young
         if len(at) + len(words) > CACHE_WORDS:
             self.young, self.old = self._words(), self.young
             at, table = self.young
-        one = (1.0,) * len(self.langs)
-        for w in words:
-            if w not in at:
-                held = self.old[0].get(w)
-                table[len(at)] = word_likelihoods(w, self.trie, self.rows, one) if held is None else self.old[1][held]
-                at[w] = len(at)
+        fresh = [w for w in words if w not in at]
+        held, old = self.old
+        kept = [w for w in fresh if w in held]
+        new = [w for w in fresh if w not in held] if held else fresh
+        n = len(at)
+        table[n : n + len(kept)] = old[[held[w] for w in kept]]
+        table[n + len(kept) : n + len(fresh)] = self._likelihoods(new)
+        at.update(zip([*kept, *new], range(n, n + len(fresh))))
         return table[[at[w] for w in words]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if self.trie is None:
             self._open()
-        langs, scores = [], []
+        langs, scores, waiting, words = [], [], [], set()
         for text in texts:
             counts = words_of(text)
+            words.update(counts)
+            waiting.append(counts)
+            if len(words) > 20_000:
+                self._judge(waiting, words, langs, scores)
+                waiting, words = [], set()
+        self._judge(waiting, words, langs, scores)
+        return langs, scores
+
+    def _judge(self, texts: list[Counter], known: set[str], langs: list[str], scores: list[float]) -> None:
+        """Adds each text's language and score; words of all texts together are made known first, so that they are many at once."""
+        long = {w for w in known if len(w) > SHORT}
+        at_once = bool(self.langs) and len(known) <= CACHE_WORDS
+        if at_once:
+            self.of_words(list(known - long) if long else list(known))
+            places, table = self.young
+        for counts in texts:
             if not counts or not self.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
             words, total = list(counts), np.zeros(len(self.langs))
             for i in range(0, len(words), 20_000):
-                part = [w for w in words[i : i + 20_000] if len(w) <= SHORT]
-                total += np.array([counts[w] for w in part], dtype=float) @ self.of_words(part)
-            for w in words:
+                part = words[i : i + 20_000]
+                if long:
+                    part = [w for w in part if len(w) <= SHORT]
+                rows = table[[places[w] for w in part]] if at_once else self.of_words(part)
+                total += np.array([counts[w] for w in part], dtype=float) @ rows
+            for w in words if long else ():
                 if len(w) > SHORT:
                     total += counts[w] * np.array(long_likelihoods(w, self.trie, self.rows))
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1.0 / np.exp(np.minimum(0.0, total - total[best])).sum()))
-        return langs, scores
 
 
 def fit_languages(rows: DataFrame, text_col: str, lang_col: str, id_col: str, vocabulary: str = VOCABULARY, per_lang: int = 150) -> LanguageModel:

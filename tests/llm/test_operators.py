@@ -272,6 +272,23 @@ def test_language_id_sums_all_segmentations():
     assert langid.word_likelihoods("ab", trie, probs, (1.0,))[0] == pytest.approx(np.log(want))
 
 
+def test_language_id_sums_many_words_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = sorted({"a", "b", "ab", "ba", "bab", "▁", "▁a", "▁ba", "漢", "▁漢", "漢a", "abababab"})
+    model = langid.LanguageModel(["x", "y", "z"], pieces, rng.random((len(pieces), 3)))
+    words = ["".join(rng.choice(list("abé漢𝒳"), int(n))) for n in rng.integers(1, 65, 300)] + ["é" * 64, "a"]
+    one = (1.0,) * 3
+    model._open()
+    want = [langid.word_likelihoods(w, model.trie, model.rows, one) for w in words]
+    assert model._likelihoods(words).tolist() == want
+    texts = [" ".join(words[i : i + 7]) for i in range(0, 300, 7)] + ["", None, words[0] * 80]
+    alone = [model.predict([t]) for t in texts]
+    monkeypatch.setattr(langid, "word_likelihoods", None)
+    fresh = langid.LanguageModel(model.langs, pieces, model.probs[:-1])
+    langs, scores = fresh.predict(texts)
+    assert langs == [x for x, _ in (([a[0][0], a[1][0]]) for a in alone)] and scores == [a[1][0] for a in alone]
+
+
 def test_language_id(spark, empty):
     r = random.Random(1)
     syllables = {"xx": ["ba", "ko", "ti", "lu"], "yy": ["schr", "ung", "eit", "ver"]}
