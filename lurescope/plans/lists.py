@@ -400,7 +400,9 @@ def ranked_neighbours(spark, sf_dir):
     from lurescope.operators.similarity import hamming_pairs
 
     near = hamming_pairs(model.perceptual_hashes(spark, sf_dir), "vec_id", "phash", 18)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    # Both ways from one row: a union would find all pairs twice.
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("w")
+    both = near.select("distance", ways).select("w.a", "w.b", "distance")
     place = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
     return both.withColumn("place", place).filter("place <= 10")
 

@@ -78,3 +78,18 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     for name in ("campaign_stats_counts", "family_polymorphism"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [kit_id" in plan and "Expand" not in plan
+
+
+def test_hashes_meet_once_in_tiles(spark, monkeypatch):
+    from lurescope.operators import similarity
+    from lurescope.plans import catalog
+
+    monkeypatch.setattr(similarity, "HASHES", 40)
+    r = random.Random(5)
+    base = [r.getrandbits(64) - 2**63 for _ in range(60)]
+    rows = [(i, (base[i % 60] ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63))) if i % 3 else base[i % 60]) for i in range(200)] + [(200, None)]
+    got = sorted(tuple(x) for x in similarity.hamming_pairs(spark.createDataFrame(rows, "v long, h long"), "v", "h", 4).collect())
+    bits = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    assert got == [(i, j, bits(x, y)) for i, x in rows[:200] for j, y in rows[:200] if i < j and bits(x, y) <= 4] and len(got) > 200
+    plan = catalog.QUERIES["ranked_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
