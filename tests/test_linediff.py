@@ -72,3 +72,21 @@ def test_query_equals_plain_counts(spark):
         common = plain_lcs(x, y)
         assert (r["removed"], r["added"]) == (len(x) - common, len(y) - common)
         assert sum(r[n] for n in ld.NAMES) <= r["removed"] + r["added"]
+
+
+def test_lines_without_marks_are_not_searched(monkeypatch):
+    searched = []
+
+    class Pattern:
+        def __init__(self, p):
+            self.p = p
+
+        def search(self, line):
+            searched.append(line)
+            return self.p.search(line)
+
+    lines = ["plain words", "a = b", "ID = 'x'", '<h2 claſs="x">', '<a href="x">', "<title>", "hrefs: 'x'", "<p>", "it's = a name='y'", ""]
+    want = [next((n for n, p in ld.CLASSES if p.search(x)), ld.OTHER) for x in lines]
+    monkeypatch.setattr(ld, "CLASSES", [(n, Pattern(p)) for n, p in ld.CLASSES])
+    assert [ld.class_of(x) for x in lines] == want and len(set(want)) == 5
+    assert not {"plain words", "a = b", "hrefs: 'x'", ""} & set(searched)
