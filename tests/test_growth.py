@@ -93,3 +93,26 @@ def test_hashes_meet_once_in_tiles(spark, monkeypatch):
     assert got == [(i, j, bits(x, y)) for i, x in rows[:200] for j, y in rows[:200] if i < j and bits(x, y) <= 4] and len(got) > 200
     plan = catalog.QUERIES["ranked_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_meetings_in_slices(spark, monkeypatch):
+    """Many slices give what all pairs give, and what one slice shuffled is gone when the next one begins."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    rows = spark.createDataFrame([(r.randrange(80), r.choice("RAN"), r.choice([*map(str, range(40)), "Ab", "aB", None])) for _ in range(400)], "kit_id long, type string, value string")
+    actors = spark.createDataFrame([(r.randrange(80), r.randrange(9)) for _ in range(120)], "kit_id long, actor long")
+    weights, tags = {"R": 30, "A": 15}, []
+    every = scoring.shared_indicator_scores(rows, weights, 8, ordered=False)
+    best = sorted((a, max((s, -b) for x, b, s, _ in every.collect() if x == a)) for a in {x["a"] for x in every.collect()})
+    ranked = sorted(map(tuple, scoring.rank_entities(every, actors, "actor", n=3).collect()))
+    for name, n in (("LEAST_ROUND", 200), ("ROUND", 0), ("BLOCK", 30), ("TILE", 5)):
+        monkeypatch.setattr(scoring, name, n)
+    written = scoring.staged
+    monkeypatch.setattr(scoring, "staged", lambda df, tag: tags.append(tag) or written(df, tag))
+    assert sorted((x["kit_id"], (x["score"], -x["peer"])) for x in scoring.best_peers(rows, weights, 8).collect()) == best and tags.count("slice") > 5
+    assert sorted(map(tuple, scoring.peer_entities(rows, actors, "actor", weights, 8, n=3).collect())) == ranked
+    shuffles = lambda: len(list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()))
+    before = shuffles()
+    ranges.staged(rows.groupBy("type").agg(F.count(F.lit(1)).alias("n")), "test").collect()
+    assert shuffles() <= before
