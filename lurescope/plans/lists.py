@@ -360,10 +360,8 @@ def host_path(spark, sf_dir):
     p as (select a.kit_id as a, b.kit_id as b, least(40, cast(sum(a.weight) as bigint)) as score from k a join k b on a.type = b.type and a.value = b.value and a.kit_id <> b.kit_id group by all)
     select a as kit_id, b as peer, score from (select *, row_number() over (partition by a order by score desc, b) as r from p) where r = 1""")
 def best_peer(spark, sf_dir):
-    """The best peer of each kit: one aggregate over the pairs."""
-    pairs = scoring.shared_indicator_scores(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8, ordered=False)
-    best = pairs.groupBy(F.col("a").alias("kit_id")).agg(F.max(F.struct(F.col("ioc_score"), (-F.col("b")).alias("b"))).alias("x"))
-    return best.select("kit_id", (-F.col("x.b")).alias("peer"), F.col("x.ioc_score").alias("score"))
+    """The best peer of each kit, in slices of kits."""
+    return scoring.best_peers(model.indicators(spark, sf_dir), {"R": 30, "A": 15}, 8)
 
 
 @query("first_known_actor", with_views("indicators") + """
