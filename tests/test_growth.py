@@ -116,3 +116,21 @@ def test_meetings_in_slices(spark, monkeypatch):
     before = shuffles()
     ranges.staged(rows.groupBy("type").agg(F.count(F.lit(1)).alias("n")), "test").collect()
     assert shuffles() <= before
+
+
+def test_suggestions_in_slices(spark, monkeypatch):
+    """Kits of an entity met in several slices, where later ones leave out what can't be among its best, give what all pairs give."""
+    r = random.Random(12)
+    frame = spark.createDataFrame
+    some = lambda n, of: [(r.randrange(60), f"{of}{r.randrange(n)}") for _ in range(130)]
+    keys = at.signal_keys(frame([(k, "email", v) for k, v in some(4, "m")], "kit_id long, type string, value string"), frame(some(6, "r"), "kit_id long, rule string"), frame(some(30, "s"), "kit_id long, root string"), frame(some(9, "h"), "kit_id long, host string"))
+    near = frame([(*sorted(r.sample(range(60), 2)), r.choice([0, 31, 149, 160])) for _ in range(30)], "a long, b long, distance int")
+    able = frame([(k,) for k in range(60) if k % 5], "kit_id long")
+    members = frame([(r.randrange(60), r.choice([1, 2, 3, None])) for _ in range(60)] + [(1, 5)], "kit_id long, entity long")
+    want = at.suggest(at.staged(at.pair_scores(keys, near, able), "test"), members, able, n=4)
+    tags, written = [], at.staged
+    monkeypatch.setattr(at, "staged", lambda df, tag: tags.append(tag) or written(df, tag))
+    monkeypatch.setattr(at, "SLICE", 1)
+    monkeypatch.setattr(at, "BLOCK", 100)
+    got = at.suggest_from_keys(keys, near, members, able, n=4)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and tags.count("free") > 2
